@@ -163,18 +163,23 @@ FROM (SELECT l_partkey % 2500 AS cell, CAST(year(l_shipdate) AS INT) AS year,
 GROUP BY cell, year, month
 """
 
-# Flight lines over the grid: transects 1-12, two pieces each, the second sloping.
-SEGMENTS = _values(
-    [
-        row
-        for t in range(1, 13)
-        for row in (
-            (t, 1, "CAST(2 AS DOUBLE)", f"CAST({4 * t - 2} AS DOUBLE)", "CAST(24 AS DOUBLE)", f"CAST({4 * t - 2} AS DOUBLE)"),
-            (t, 2, "CAST(24 AS DOUBLE)", f"CAST({4 * t - 2} AS DOUBLE)", "CAST(44 AS DOUBLE)", f"CAST({4 * t - 2 + t % 3} AS DOUBLE)"),
-        )
-    ],
-    "transect, seq, x1, y1, x2, y2",
-)
+# Flight lines over the grid: every order is a line, its line numbers the pieces flown.
+# Consecutive pieces meet; a missing number leaves a gap. Each line belongs to a transect.
+PIECES = """
+SELECT DISTINCT l_orderkey AS line_id, CAST(l_orderkey % 66 + 1 AS INT) AS transect, l_linenumber AS seq,
+  CAST(l_orderkey * 7 % 41 + l_linenumber AS DOUBLE) AS x1,
+  CAST(l_orderkey * 11 % 37 + (l_orderkey + l_linenumber) % 3 AS DOUBLE) AS y1,
+  CAST(l_orderkey * 7 % 41 + l_linenumber + 1 AS DOUBLE) AS x2,
+  CAST(l_orderkey * 11 % 37 + (l_orderkey + l_linenumber + 1) % 3 AS DOUBLE) AS y2
+FROM {lineitem}
+"""
+
+# Places in degrees.
+PLACES = """
+SELECT l_orderkey AS record_id, l_linenumber AS line,
+  CAST(l_partkey % 600 AS DOUBLE) / 100 - 93 AS lon, CAST(l_suppkey * 13 % 450 AS DOUBLE) / 100 + 42 AS lat
+FROM {lineitem}
+"""
 
 # A border: one outer ring with a notch, and a hole.
 _OUTER = [(5.5, 4.5), (40.5, 2.5), (46.5, 24.5), (30.5, 28.5), (42.5, 45.5), (10.5, 43.5), (14.5, 22.5)]
@@ -217,7 +222,8 @@ VIEWS = {
     "trend_results": TREND_RESULTS,
     "series": SERIES,
     "grid": GRID,
-    "segments": SEGMENTS,
+    "pieces": PIECES,
+    "places": PLACES,
     "ring": RING,
     "year_batches": YEAR_BATCHES,
     "text_counts": TEXT_COUNTS,

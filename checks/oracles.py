@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.adapters import SLOTS, STEMS, VIEWS, view_sql
-from checks.queries import DIGITS, SINCE, WIDE_LABELS, YEAR
+from checks.queries import CLASSES, DIGITS, DIST, RECENT, SINCE, WIDE_LABELS, YEAR
 
 ORACLES: dict[str, str] = {}
 
@@ -583,3 +583,360 @@ oracle(
               row_number() OVER (PARTITION BY species ORDER BY pop_est DESC, region DESC) AS rn FROM by_region) q
       WHERE rn = 1""",
 )
+
+# ------------------------------------------------------------------ F
+
+step(
+    "all_estimates",
+    ("pop_estimates", "swan_estimates"),
+    "SELECT * FROM pop_estimates UNION ALL SELECT * FROM swan_estimates",
+)
+oracle(
+    "series_prep",
+    "all_estimates",
+    """SELECT g.species, CAST(g.year AS INT) AS year, e.n, ln(e.n) AS log_n
+      FROM (SELECT species, unnest(range(min(year), max(year) + 1)) AS year FROM all_estimates
+            WHERE year >= CASE species WHEN 'canada goose' THEN 1996 WHEN 'trumpeter swan' THEN 1997 ELSE 1973 END
+            GROUP BY species) g
+      LEFT JOIN all_estimates e ON g.species = e.species AND g.year = e.year""",
+)
+oracle(
+    "trend_with_survey",
+    ("trend_results", "all_estimates"),
+    """SELECT t.species, t.year, mean, sd, lcl, ucl, median, e.n FROM trend_results t
+      LEFT JOIN all_estimates e ON t.species = e.species AND t.year = e.year""",
+)
+
+# ------------------------------------------------------------------ G
+
+
+def _each(template: str, columns=CLASSES) -> str:
+    return ", ".join(template.format(c=c) + f" AS {c}" for c in columns)
+
+
+step(
+    "recent_wet",
+    "wetlands",
+    f"""SELECT * FROM wetlands WHERE year >= (SELECT min(year) FROM
+      (SELECT DISTINCT year FROM wetlands ORDER BY year DESC LIMIT {RECENT}) y)""",
+)
+step(
+    "change_previous",
+    "wetlands",
+    f"""SELECT b.region, b.year, {_each("(b.{c} / NULLIF(a.{c}, 0) - 1) * 100")}
+      FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY year DESC) AS rn FROM wetlands) a
+      JOIN (SELECT *, row_number() OVER (PARTITION BY region ORDER BY year DESC) AS rn FROM wetlands) b
+      ON a.region = b.region AND a.rn = 2 AND b.rn = 1""",
+)
+step(
+    "mean_recent",
+    "wetlands",
+    f"""SELECT region, '{RECENT}-year mean (' || min(year) || '-' || max(year) || ')' AS label, {_each("avg({c})")}
+      FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY year DESC) AS rn FROM wetlands) q
+      WHERE rn <= {RECENT} GROUP BY region""",
+)
+step(
+    "mean_past",
+    "wetlands",
+    f"SELECT region, {_each('avg({c})')} FROM wetlands WHERE year < {YEAR} GROUP BY region",
+)
+step(
+    "change_past",
+    ("wetlands", "mean_past"),
+    f"""SELECT w.region, {_each("(w.{c} / NULLIF(p.{c}, 0) - 1) * 100")} FROM wetlands w
+      JOIN mean_past p ON w.region = p.region WHERE w.year = {YEAR}""",
+)
+oracle("last_n_surveys", "recent_wet", "SELECT * FROM recent_wet")
+oracle("pct_change_previous", "change_previous", "SELECT * FROM change_previous")
+oracle("recent_mean", "mean_recent", "SELECT * FROM mean_recent")
+oracle("long_term_mean", "mean_past", "SELECT * FROM mean_past")
+oracle("pct_change_long_term", "change_past", "SELECT * FROM change_past")
+_ONE = "printf('%.1f', round_even({c}, 1) + 0)"
+_PERCENT = "printf('%.1f', round_even({c}, 1) + 0) || '%'"
+oracle(
+    "wetland_summary_table",
+    ("recent_wet", "change_previous", "mean_past", "change_past", "mean_recent"),
+    f"""SELECT region, 1 AS row_order, CAST(year AS VARCHAR) AS label, {_each(_ONE)} FROM recent_wet
+      UNION ALL SELECT region, 2, '% Change from previous year', {_each(_PERCENT)} FROM change_previous
+      UNION ALL SELECT region, 3, 'Long-term mean (1973--{YEAR - 1})', {_each(_ONE)} FROM mean_past
+      UNION ALL SELECT region, 4, '% Change from long-term mean', {_each(_PERCENT)} FROM change_past
+      UNION ALL SELECT region, 5, label, {_each(_ONE)} FROM mean_recent""",
+)
+
+
+def _told(table: str, since: str) -> str:
+    return ", ".join(
+        f"""replace(printf('%.1f', round_even({table}.{m}, 1) + 0), '-', '') || '%' AS percent_change_{since}_{m},
+        CASE WHEN printf('%.1f', round_even({table}.{m}, 1) + 0) LIKE '-%' THEN 'down' ELSE 'up' END AS direction_{since}_{m}"""
+        for m in ("non_linear", "linear")
+    )
+
+
+oracle(
+    "change_narrative",
+    ("change_previous", "change_past"),
+    f"""SELECT a.region, {_told("a", "previous")}, {_told("b", "long_term")}
+      FROM change_previous a JOIN change_past b ON a.region = b.region""",
+)
+
+
+def _comma(column: str) -> str:
+    return f"format('{{:,}}', CAST(round_even({column}, 0) AS BIGINT))"
+
+
+def _moved(new: str, old: str) -> str:
+    return f"printf('%.1f', round_even(({new} / {old} - 1) * 100, 1) + 0) || '%'"
+
+
+oracle(
+    "trend_narrative",
+    "trend_results",
+    f"""SELECT t.species, {_comma("t.mean")} AS mean, {_comma("t.lcl")} AS lower, {_comma("t.ucl")} AS upper,
+        replace({_moved("t.mean", "p.mean")}, '-', '') AS deviation_previous_year,
+        CASE WHEN {_moved("t.mean", "p.mean")} LIKE '-%' THEN 'lower' ELSE 'higher' END AS direction_previous_year,
+        replace({_moved("t.mean", "l.mean")}, '-', '') AS deviation_long_term_mean,
+        CASE WHEN {_moved("t.mean", "l.mean")} LIKE '-%' THEN 'lower' ELSE 'higher' END AS direction_long_term_mean,
+        {_comma("p.mean")} AS previous_year_mean
+      FROM trend_results t JOIN trend_results p ON t.species = p.species AND p.year = {YEAR - 1}
+      JOIN (SELECT species, avg(mean) AS mean FROM trend_results WHERE year < {YEAR} GROUP BY species) l
+      ON t.species = l.species WHERE t.year = {YEAR}""",
+)
+TABLE_COLUMNS = {
+    f"{kind}_{s.replace('-', '_').replace(' ', '_')}": (s, value)
+    for s in ("mallard", "blue-winged teal", "wood duck", "other ducks", "total ducks", "canada goose")
+    for kind, value in (("survey_n", "n"), ("ssm_n", "mean"))
+}
+_WIDE = ", ".join(
+    f"sum({value}) FILTER (WHERE species = '{s}') AS {c}" for c, (s, value) in TABLE_COLUMNS.items()
+)
+step("wide_trend", "trend_results", f"SELECT year, {_WIDE} FROM trend_results GROUP BY year")
+_PAST = f"(SELECT avg({{c}}) FROM wide_trend WHERE year < {YEAR})"
+_START = YEAR - 3  # the last three rows, and one year before
+_COLS = tuple(TABLE_COLUMNS)
+oracle(
+    "survey_vs_trend_table",
+    "wide_trend",
+    f"""SELECT 1 AS row_order, CAST(year AS VARCHAR) AS label, {_each(_comma("{c}").replace("{:,}", "{{:,}}"), _COLS)}
+        FROM wide_trend
+      UNION ALL SELECT 2, 'Long-term mean (1973--{YEAR - 1})',
+        {_each(_comma("avg({c})").replace("{:,}", "{{:,}}"), _COLS)} FROM wide_trend WHERE year < {YEAR}
+      UNION ALL SELECT 3, '3-year mean ({_START}--{YEAR})',
+        {_each(_comma("avg({c})").replace("{:,}", "{{:,}}"), _COLS)} FROM wide_trend WHERE year >= {_START}
+      UNION ALL SELECT 4, '% change from previous year', {_each("COALESCE(" + _moved("b.{c}", "a.{c}") + ", '')", _COLS)}
+        FROM wide_trend a JOIN wide_trend b ON a.year = {YEAR - 1} AND b.year = {YEAR}
+      UNION ALL SELECT 5, '% change from 1973--{YEAR - 1}',
+        {_each("COALESCE(" + _moved("b.{c}", _PAST) + ", 'NA%')", _COLS)} FROM wide_trend b WHERE b.year = {YEAR}""",
+)
+oracle(
+    "recent_species_table",
+    "trend_results",
+    f"""SELECT year, {_comma("n")} AS survey_estimate, {_comma("mean")} AS model_estimate FROM trend_results
+      WHERE species = 'trumpeter swan' AND year >= 1997""",
+)
+_TITLES = """(VALUES (1, 1, 'Mallard'), (2, 2, 'Blue-winged teal'), (3, 3, 'Wood duck'), (5, 4, 'Other duck species'),
+      (4, 5, 'Canada goose')) AS l(code, species_order, title)"""
+oracle(
+    "estimate_table",
+    "by_region",
+    f"""SELECT species_order, region AS stratum_order, title AS species,
+        CASE region WHEN 1 THEN 'SEC' WHEN 2 THEN 'NHI' WHEN 3 THEN 'NLO' ELSE 'SWD' END AS stratum,
+        {_comma("area")} AS area, printf('%.3f', round_even(b, 3)) AS density, printf('%.3f', round_even(r, 3)) AS correction,
+        {_comma("pop_est")} AS estimate, {_comma("pop_se_1")} AS standard_error
+      FROM by_region JOIN {_TITLES} ON species = code
+      UNION ALL SELECT species_order, 5, title, 'Statewide total', NULL, NULL, NULL, {_comma("sum(pop_est)")},
+        {_comma("sqrt(sum(pop_var))")} FROM by_region JOIN {_TITLES} ON species = code GROUP BY species_order, title""",
+)
+oracle(
+    "figure_series",
+    "wetlands",
+    """SELECT q.region, name, year, series, value FROM (
+        SELECT region, year, 'Non-linear' AS series, non_linear AS value FROM wetlands
+        UNION ALL SELECT region, year, 'Linear', linear FROM wetlands
+        UNION ALL SELECT DISTINCT region, 2020, s, CAST(NULL AS DOUBLE) FROM wetlands,
+          (VALUES ('Linear'), ('Non-linear')) AS k(s)) q
+      JOIN (VALUES (1, 'Southeast Central region'), (2, 'Northern High Density region'),
+        (3, 'Northern Low Density region'), (4, 'Southwest Driftless region')) AS r(region, name) ON q.region = r.region""",
+)
+oracle(
+    "figure_series_cranes",
+    "indexed",
+    f"""SELECT year, 'Total' AS series, sum(seen) AS value FROM indexed WHERE {AIR} AND species = 86 GROUP BY year
+      UNION ALL SELECT year, 'Excluding groups', sum(seen) FILTER (WHERE groups = 0) FROM indexed
+        WHERE {AIR} AND species = 86 GROUP BY year
+      UNION ALL SELECT 2020, s, NULL FROM (VALUES ('Total'), ('Excluding groups')) AS k(s)""",
+)
+step(
+    "observer_rows",
+    ("clean", "observers"),
+    """SELECT year, k.code, substr(full_name, 1, strpos(full_name, ',') - 1) AS last_name,
+        substr(full_name, strpos(full_name, ',') + 2) AS first_name,
+        substr(full_name, strpos(full_name, ',') + 2) || ' ' || substr(full_name, 1, strpos(full_name, ',') - 1) AS name
+      FROM (SELECT year, observer1 AS code FROM clean WHERE grd = 2
+            UNION SELECT year, observer2 FROM clean WHERE grd = 2) k
+      LEFT JOIN observers o ON k.code = o.code WHERE k.code IS NOT NULL""",
+)
+oracle("observer_list", "observer_rows", "SELECT * FROM observer_rows")
+oracle(
+    "observer_text",
+    "observer_rows",
+    """SELECT year, string_agg(name, ', ' ORDER BY last_name, first_name) AS observers FROM observer_rows
+      WHERE last_name IS NOT NULL GROUP BY year""",
+)
+oracle(
+    "survey_year_count",
+    "structured",
+    """SELECT region, p_species, count(*) AS n_years
+      FROM (SELECT DISTINCT region, p_species, year FROM structured WHERE year >= 1997) q GROUP BY ALL""",
+)
+oracle(
+    "survey_year_count_series",
+    "trend_results",
+    """SELECT species, count(*) AS n_years FROM (SELECT DISTINCT species, year FROM trend_results WHERE n IS NOT NULL) q
+      GROUP BY species""",
+)
+
+# ------------------------------------------------------------------ H
+
+_LEN = "sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))"
+oracle(
+    "dissolve_lines",
+    "pieces",
+    f"""SELECT line_id, count(*) AS n_pieces, sum({_LEN}) AS length, min(least(x1, x2)) AS xmin,
+      max(greatest(x1, x2)) AS xmax, min(least(y1, y2)) AS ymin, max(greatest(y1, y2)) AS ymax
+      FROM pieces GROUP BY line_id""",
+)
+oracle(
+    "line_centroid",
+    "pieces",
+    f"""SELECT line_id, sum((x1 + x2) / 2 * {_LEN}) / sum({_LEN}) AS x, sum((y1 + y2) / 2 * {_LEN}) / sum({_LEN}) AS y
+      FROM pieces GROUP BY line_id""",
+)
+# Brute force: every piece against every point near its box, by projection parameter.
+step(
+    "jointed",
+    "pieces",
+    """SELECT p.*, b.seq IS NOT NULL AS joint1, a.seq IS NOT NULL AS joint2 FROM pieces p
+      LEFT JOIN pieces b ON b.line_id = p.line_id AND b.seq = p.seq - 1
+      LEFT JOIN pieces a ON a.line_id = p.line_id AND a.seq = p.seq + 1""",
+)
+
+
+def _near(points: str) -> str:
+    d = DIST
+    return f"""SELECT DISTINCT line_id, transect, c.* FROM
+        (SELECT *, (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) AS l2 FROM jointed) p
+      JOIN ({points}) c ON x >= x1 - {d} AND x <= x2 + {d} AND y >= least(y1, y2) - {d} AND y <= greatest(y1, y2) + {d}
+      WHERE (((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / l2 BETWEEN 0 AND 1
+             AND abs((x - x1) * (y2 - y1) - (y - y1) * (x2 - x1)) / sqrt(l2) <= {d})
+        OR (joint1 AND sqrt((x - x1) * (x - x1) + (y - y1) * (y - y1)) <= {d})
+        OR (joint2 AND sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)) <= {d})"""
+
+
+step("near_cells", ("jointed", "grid"), _near("SELECT DISTINCT cell_id, x, y FROM grid"))
+oracle("within_corridor", "near_cells", "SELECT DISTINCT line_id, cell_id FROM near_cells")
+step("zones", "near_cells", "SELECT DISTINCT transect, cell_id FROM near_cells")
+oracle(
+    "zonal_mean",
+    ("zones", "grid"),
+    """SELECT transect, year, avg(value) AS value FROM zones z JOIN grid g ON z.cell_id = g.cell_id
+      GROUP BY transect, year""",
+)
+step(
+    "near_points",
+    ("jointed", "grid"),
+    _near(
+        """SELECT cell_id, x + ox AS x, y + oy AS y FROM (SELECT DISTINCT cell_id, x, y FROM grid) g,
+        (VALUES ((0.5::DOUBLE / 3) - 0.5), ((1.5::DOUBLE / 3) - 0.5), ((2.5::DOUBLE / 3) - 0.5)) AS a(ox),
+        (VALUES ((0.5::DOUBLE / 3) - 0.5), ((1.5::DOUBLE / 3) - 0.5), ((2.5::DOUBLE / 3) - 0.5)) AS b(oy)"""
+    ),
+)
+oracle(
+    "zonal_mean_weighted",
+    ("near_points", "grid"),
+    """SELECT line_id, sum(total * hits) / sum(n * hits) AS value
+      FROM (SELECT line_id, cell_id, CAST(count(*) AS DOUBLE) AS hits FROM near_points GROUP BY line_id, cell_id) w
+      JOIN (SELECT cell_id, sum(value) AS total, count(*) AS n FROM grid GROUP BY cell_id) g ON w.cell_id = g.cell_id
+      GROUP BY line_id""",
+)
+step(
+    "seasons",
+    "grid",
+    """SELECT *, CASE WHEN month IN (10, 11, 12, 1, 2) THEN 'winter' WHEN month IN (3, 4, 5) THEN 'spring' END AS season,
+      CASE WHEN month >= 10 THEN year + 1 WHEN month <= 5 THEN year END AS season_year FROM grid""",
+)
+oracle("season_of", "seasons", "SELECT * FROM seasons")
+for _name, _fun in (("season_stack", "sum"), ("season_stack_mean", "avg")):
+    oracle(
+        _name,
+        "seasons",
+        f"""SELECT cell_id, season, season_year, {_fun}(value) AS value FROM seasons
+          WHERE season IS NOT NULL GROUP BY cell_id, season, season_year""",
+    )
+oracle(
+    "mask_polygon",
+    ("grid", "ring"),
+    """SELECT * FROM grid WHERE cell_id IN (
+      SELECT cell_id FROM (SELECT DISTINCT cell_id, x, y FROM grid) c JOIN
+        (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM ring a
+         JOIN (SELECT ring, max(seq) AS last FROM ring GROUP BY ring) m ON a.ring = m.ring
+         JOIN ring b ON b.ring = a.ring AND b.seq = a.seq % m.last + 1) e
+      ON (ay > y) <> (b_y > y) AND x < ax + (y - ay) / (b_y - ay) * (bx - ax)
+      GROUP BY cell_id HAVING count(*) % 2 = 1)""",
+)
+step(
+    "season_pairs",
+    "seasons",
+    f"""SELECT c.cell_id, c.season, c.value, n.normal
+      FROM (SELECT cell_id, season, sum(value) AS value FROM seasons
+            WHERE season IS NOT NULL AND season_year = {YEAR} GROUP BY ALL) c
+      JOIN (SELECT cell_id, season, avg(value) AS normal
+            FROM (SELECT cell_id, season, season_year, sum(value) AS value FROM seasons
+                  WHERE season IS NOT NULL AND season_year < {YEAR} GROUP BY ALL) y
+            GROUP BY cell_id, season) n ON c.cell_id = n.cell_id AND c.season = n.season""",
+)
+oracle(
+    "cell_anomaly",
+    "season_pairs",
+    "SELECT cell_id, season, value - normal AS value FROM season_pairs",
+)
+
+
+def _krueger() -> str:
+    f = 1 / 298.257222101
+    n = f / (2 - f)
+    unit = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    k = 2 * n**0.5 / (1 + n)
+    east = "eta + " + " + ".join(
+        f"{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(a, start=1)
+    )
+    north = "xi + " + " + ".join(
+        f"{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(a, start=1)
+    )
+    return f"""SELECT record_id, line, lon, lat, {unit!r}::DOUBLE * ({east}) + 520000 AS x,
+        {unit!r}::DOUBLE * ({north}) - 4480000 AS y
+      FROM (SELECT *, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta
+            FROM (SELECT *, radians(lon + 90) AS turn,
+                    sinh(atanh(sin(radians(lat))) - {k!r}::DOUBLE * atanh({k!r}::DOUBLE * sin(radians(lat)))) AS t
+                  FROM places) q) p"""
+
+
+oracle("project_points", "places", _krueger())
+oracle("unproject_points", "places", "SELECT record_id, line, lon, lat FROM places")
+oracle(
+    "pearson_corr",
+    ("zones", "grid", "indexed", "species_codes"),
+    f"""SELECT common_name, corr(value, birds) AS corr, count(*) AS n_pairs
+      FROM (SELECT transect, avg(value) AS value FROM zones z JOIN grid g ON z.cell_id = g.cell_id GROUP BY transect) m
+      JOIN (SELECT transect, common_name, avg(birds) AS birds
+            FROM (SELECT transect, species, year, sum(indicated) AS birds FROM indexed
+                  WHERE {AIR} AND species IN (50, 32, 40, 44) GROUP BY ALL) y
+            LEFT JOIN species_codes c ON y.species = c.species GROUP BY transect, common_name) k
+      ON m.transect = k.transect GROUP BY common_name""",
+)
+oracle(
+    "model_r2",
+    "season_pairs",
+    """SELECT var_samp(4 + 0.75::DOUBLE * normal) /
+      (var_samp(4 + 0.75::DOUBLE * normal) + var_samp(value - (4 + 0.75::DOUBLE * normal))) AS r2 FROM season_pairs""",
+)

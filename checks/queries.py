@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from checks.adapters import SLOTS, STEMS, view
 from fieldcount.design import SANDHILL_CRANE, SWAN, WHOOPING_CRANE, SurveyDesign
 from fieldcount.functions.columns import seen_birds
-from fieldcount.operators import estimate, habitat, structure, summaries
-from fieldcount.session import scratch_path
+from fieldcount.operators import (
+    estimate,
+    grid,
+    habitat,
+    report,
+    robust,
+    structure,
+    summaries,
+    trend,
+)
+from fieldcount.session import materialize, scratch_path
 from fieldcount.sources import ingest, store
 from fieldcount.streaming.append import append_stream
 
@@ -469,3 +478,280 @@ def _(spark, sf):
 @query("top_region_share")
 def _(spark, sf):
     return estimate.top_region_share(by_region(spark, sf), DESIGN)
+
+
+# ------------------------------------------------------------------ F: trend
+
+# The tables end in 2001, so the later series start earlier than in the default design.
+SERIES_DESIGN = SurveyDesign(
+    series_start=(("canada goose", 1996), ("trumpeter swan", 1997)), missing_years=(1998,)
+)
+
+
+def prepared(spark, sf):
+    return trend.series_prep(
+        view(spark, sf, "pop_estimates"), view(spark, sf, "swan_estimates"), SERIES_DESIGN
+    )
+
+
+query("series_prep", log_n=9)(prepared)
+
+
+@query("local_level_trend", mean=4, sd=4, lcl=3, ucl=3, median=3)
+def _(spark, sf):
+    """Monthly totals of every flag as series, one month missing."""
+    series = view(spark, sf, "series").withColumn("log_n", F.ln("n"))
+    return trend.local_level_trend(series, "series_id", "t")
+
+
+@query("local_level_trend_species", mean=4, sd=4, lcl=3, ucl=3, median=3, n=1)
+def _(spark, sf):
+    """Yearly estimates of every species, prepared, smoothed and joined back."""
+    series = materialize(prepared(spark, sf), "series")
+    return trend.trend_with_survey(trend.local_level_trend(series), series)
+
+
+@query("trend_with_survey")
+def _(spark, sf):
+    survey = view(spark, sf, "pop_estimates").unionByName(view(spark, sf, "swan_estimates"))
+    return trend.trend_with_survey(view(spark, sf, "trend_results").drop("n"), survey)
+
+
+# ------------------------------------------------------------------ G: report tables
+
+RECENT = 5
+CLASS_DIGITS = {c: 6 for c in CLASSES}
+
+
+def wetland_stage(spark, sf):
+    """The wetland stage table, written once like every stage result and read back."""
+    return materialize(wetlands(spark, sf), "wetland_summaries")
+
+
+def trend_stage(spark, sf):
+    return materialize(view(spark, sf, "trend_results"), "trend_results")
+
+
+@query("last_n_surveys", **CLASS_DIGITS)
+def _(spark, sf):
+    return report.last_n_surveys(wetland_stage(spark, sf), RECENT)
+
+
+@query("pct_change_previous", **CLASS_DIGITS)
+def _(spark, sf):
+    return report.pct_change_previous(wetlands(spark, sf))
+
+
+@query("recent_mean", **CLASS_DIGITS)
+def _(spark, sf):
+    return report.recent_mean(wetlands(spark, sf), RECENT)
+
+
+@query("long_term_mean", **CLASS_DIGITS)
+def _(spark, sf):
+    return report.long_term_mean(wetlands(spark, sf), YEAR)
+
+
+@query("pct_change_long_term", **CLASS_DIGITS)
+def _(spark, sf):
+    return report.pct_change_long_term(wetlands(spark, sf), YEAR)
+
+
+@query("wetland_summary_table")
+def _(spark, sf):
+    return report.wetland_summary_table(wetland_stage(spark, sf), YEAR, RECENT, DESIGN)
+
+
+@query("change_narrative")
+def _(spark, sf):
+    return report.change_narrative(wetland_stage(spark, sf), YEAR)
+
+
+@query("trend_narrative")
+def _(spark, sf):
+    return report.trend_narrative(view(spark, sf, "trend_results"), YEAR)
+
+
+@query("survey_vs_trend_table")
+def _(spark, sf):
+    return report.survey_vs_trend_table(trend_stage(spark, sf), YEAR, 3, design=DESIGN)
+
+
+@query("recent_species_table")
+def _(spark, sf):
+    return report.recent_species_table(view(spark, sf, "trend_results"), start_year=1997)
+
+
+@query("estimate_table")
+def _(spark, sf):
+    return report.estimate_table(by_region(spark, sf), DESIGN)
+
+
+@query("figure_series", value=6)
+def _(spark, sf):
+    named = wetland_stage(spark, sf).withColumn("name", DESIGN.region_name(F.col("region")))
+    measures = {"non_linear": "Non-linear", "linear": "Linear"}
+    return report.figure_series(named, measures, ("region", "name"))
+
+
+@query("figure_series_cranes")
+def _(spark, sf):
+    totals = summaries.total_vs_ungrouped(structured(spark, sf), SANDHILL_CRANE)
+    measures = {"cranes_total": "Total", "cranes_no_groups": "Excluding groups"}
+    return report.figure_series(totals, measures)
+
+
+def observers(spark, sf):
+    return report.observer_list(clean(spark, sf), view(spark, sf, "observers"))
+
+
+query("observer_list")(observers)
+
+
+@query("observer_text")
+def _(spark, sf):
+    return report.observer_text(observers(spark, sf))
+
+
+@query("survey_year_count")
+def _(spark, sf):
+    return report.survey_year_count(structured(spark, sf), ("region", "p_species"), 1997)
+
+
+@query("survey_year_count_series")
+def _(spark, sf):
+    return report.survey_year_count(view(spark, sf, "trend_results"), ("species",), value="n")
+
+
+# ------------------------------------------------------------------ H: lines and grids
+
+DIST = 1.2
+
+
+def pieces(spark, sf):
+    return view(spark, sf, "pieces")
+
+
+def cells(spark, sf):
+    return view(spark, sf, "grid")
+
+
+@query("dissolve_lines", length=6)
+def _(spark, sf):
+    return grid.dissolve_lines(pieces(spark, sf), "line_id")
+
+
+@query("line_centroid", x=6, y=6)
+def _(spark, sf):
+    return grid.line_centroid(pieces(spark, sf), "line_id")
+
+
+@query("within_corridor")
+def _(spark, sf):
+    return grid.within_corridor(cells(spark, sf), pieces(spark, sf), DIST, key="line_id")
+
+
+def zones(spark, sf):
+    """Cells inside the corridors of each transect's lines."""
+    found = grid.within_corridor(
+        cells(spark, sf), pieces(spark, sf), DIST, key="line_id"
+    )
+    lines = pieces(spark, sf).select("line_id", "transect").distinct()
+    return found.join(lines, "line_id").select("transect", "cell_id").distinct()
+
+
+@query("zonal_mean", value=6)
+def _(spark, sf):
+    return grid.zonal_mean(cells(spark, sf), zones(spark, sf), by=("year",))
+
+
+@query("zonal_mean_weighted", value=9)
+def _(spark, sf):
+    """Cells weighted by the share of 3 x 3 points in the corridor of each line."""
+    weights = grid.corridor_coverage(
+        cells(spark, sf), pieces(spark, sf), DIST, 1.0, 3, key="line_id"
+    )
+    return grid.zonal_mean(cells(spark, sf), weights, "line_id", weight="weight")
+
+
+@query("season_of")
+def _(spark, sf):
+    return grid.season_of(cells(spark, sf))
+
+
+@query("season_stack")
+def _(spark, sf):
+    return grid.season_stack(cells(spark, sf), F.sum)
+
+
+@query("season_stack_mean", value=6)
+def _(spark, sf):
+    return grid.season_stack(cells(spark, sf), F.avg)
+
+
+@query("mask_polygon")
+def _(spark, sf):
+    return grid.mask_polygon(cells(spark, sf), view(spark, sf, "ring"))
+
+
+def current_and_normal(spark, sf):
+    """Season totals of the current year, and their mean over the years before."""
+    totals = grid.season_stack(cells(spark, sf), F.sum)
+    current = totals.filter(F.col("season_year") == YEAR)
+    past = totals.filter(F.col("season_year") < YEAR)
+    normal = past.groupBy("cell_id", "season").agg(F.avg("value").alias("value"))
+    return current, normal
+
+
+@query("cell_anomaly", value=6)
+def _(spark, sf):
+    return grid.cell_anomaly(*current_and_normal(spark, sf))
+
+
+@query("project_points", x=2, y=2)
+def _(spark, sf):
+    return grid.project_points(view(spark, sf, "places"))
+
+
+@query("unproject_points", lon=6, lat=6)
+def _(spark, sf):
+    """There and back again: the places as given."""
+    plane = grid.project_points(view(spark, sf, "places")).drop("lon", "lat")
+    return grid.unproject_points(plane).drop("x", "y")
+
+
+def transect_pairs(spark, sf):
+    """Per transect and species, corridor mean beside mean count."""
+    means = grid.zonal_mean(cells(spark, sf), zones(spark, sf))
+    counts = summaries.mean_count_by_transect(
+        structured(spark, sf), view(spark, sf, "species_codes")
+    )
+    return means.join(counts, "transect")
+
+
+@query("pearson_corr", corr=9)
+def _(spark, sf):
+    return grid.pearson_corr(transect_pairs(spark, sf), "value", "count", ("common_name",))
+
+
+@query("robust_bivariate", mu_x=2, mu_y=2, sigma_x=2, sigma_y=2, rescor=3, nu=0)
+def _(spark, sf):
+    teal = transect_pairs(spark, sf).filter(F.col("common_name") == "Blue-winged Teal")
+    return robust.robust_bivariate(teal, "value", "count")
+
+
+def season_pairs(spark, sf):
+    """Per cell and season, the current total beside the normal."""
+    current, normal = current_and_normal(spark, sf)
+    named = normal.withColumnRenamed("value", "normal")
+    return current.join(named, ["cell_id", "season"])
+
+
+@query("robust_regression", intercept=2, slope=3, sigma=2, nu=0)
+def _(spark, sf):
+    return robust.robust_regression(season_pairs(spark, sf), "normal", "value")
+
+
+@query("model_r2", r2=9)
+def _(spark, sf):
+    return robust.model_r2(season_pairs(spark, sf), "normal", "value", 4.0, 0.75)

@@ -28,8 +28,8 @@ def pct_change(new: Column, old: Column) -> Column:
 
 
 def decimal_text(value: Column, places: int = 1) -> Column:
-    """Half-even rounding to a fixed number of decimals, as text."""
-    return F.format_string(f"%.{places}f", F.bround(value, places))
+    """Half-even rounding to a fixed number of decimals, as text; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.bround(value, places)))
 
 
 def percent_text(value: Column, places: int = 1) -> Column:
