@@ -850,6 +850,12 @@ step(
         (VALUES ((0.5::DOUBLE / 3) - 0.5), ((1.5::DOUBLE / 3) - 0.5), ((2.5::DOUBLE / 3) - 0.5)) AS b(oy)"""
     ),
 )
+oracle(
+    "corridor_coverage",
+    "near_points",
+    """SELECT line_id, cell_id, CAST(count(*) AS INT) AS points, CAST(count(*) AS DOUBLE) / 9 AS weight FROM near_points
+      GROUP BY line_id, cell_id""",
+)
 oracle(
     "zonal_mean_weighted",
     ("near_points", "grid"),

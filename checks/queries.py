@@ -648,16 +648,14 @@ def _(spark, sf):
 
 @query("within_corridor")
 def _(spark, sf):
-    return grid.within_corridor(cells(spark, sf), pieces(spark, sf), DIST, key="line_id")
+    return grid.within_corridor(cells(spark, sf), pieces(spark, sf), DIST, keys=["line_id"])
 
 
 def zones(spark, sf):
     """Cells inside the corridors of each transect's lines."""
-    found = grid.within_corridor(
-        cells(spark, sf), pieces(spark, sf), DIST, key="line_id"
-    )
-    lines = pieces(spark, sf).select("line_id", "transect").distinct()
-    return found.join(lines, "line_id").select("transect", "cell_id").distinct()
+    keys = ["line_id", "transect"]
+    found = grid.within_corridor(cells(spark, sf), pieces(spark, sf), DIST, keys=keys)
+    return found.select("transect", "cell_id").distinct()
 
 
 @query("zonal_mean", value=6)
@@ -665,13 +663,20 @@ def _(spark, sf):
     return grid.zonal_mean(cells(spark, sf), zones(spark, sf), by=("year",))
 
 
+@query("corridor_coverage", weight=9)
+def _(spark, sf):
+    """Share of 3 x 3 points of each cell in the corridor of each line."""
+    return grid.corridor_coverage(
+        cells(spark, sf), pieces(spark, sf), DIST, 1.0, 3, keys=["line_id"]
+    )
+
+
 @query("zonal_mean_weighted", value=9)
 def _(spark, sf):
-    """Cells weighted by the share of 3 x 3 points in the corridor of each line."""
     weights = grid.corridor_coverage(
-        cells(spark, sf), pieces(spark, sf), DIST, 1.0, 3, key="line_id"
+        cells(spark, sf), pieces(spark, sf), DIST, 1.0, 3, keys=["line_id"]
     )
-    return grid.zonal_mean(cells(spark, sf), weights, "line_id", weight="weight")
+    return grid.zonal_mean(cells(spark, sf), weights, ["line_id"], weight="points")
 
 
 @query("season_of")

@@ -43,23 +43,23 @@ def line_centroid(pieces: DataFrame, key: str = "transect") -> DataFrame:
     )
 
 
-def _with_joints(pieces: DataFrame, key: str) -> DataFrame:
+def _with_joints(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mark the piece ends where another piece of the line goes on (``joint1``, ``joint2``)."""
-    ends = pieces.select(
-        key,
-        F.explode(
-            F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")),
-                    F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-        ).alias("p"),
-    )
+    ends = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)])
     joints = (
-        ends.groupBy(key, "p").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    ).select(key, F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    for i in ("1", "2"):
+        pieces.select(*keys, F.inline(ends))
+        .groupBy(*keys, "x", "y")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > 1)
+    )
+    for i in (1, 2):
         mark = joints.select(
-            key, F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.lit(True).alias(f"joint{i}")
+            *keys,
+            F.col("x").alias(f"x{i}"),
+            F.col("y").alias(f"y{i}"),
+            F.lit(True).alias(f"joint{i}"),
         )
-        pieces = pieces.join(mark, [key, f"x{i}", f"y{i}"], "left")
+        pieces = pieces.join(mark, [*keys, f"x{i}", f"y{i}"], "left")
     return pieces.fillna(False, subset=["joint1", "joint2"])
 
 
@@ -89,15 +89,15 @@ def _piece_buckets(pieces: DataFrame, dist: float, size: float) -> DataFrame:
     )
 
 
-def _near_piece(dist: float) -> Column:
+def _near_piece(dist: float, x: Column, y: Column) -> Column:
     """Point (x, y) within ``dist`` of the piece: beside it, or around one of its joints.
     Free ends are cut off flat."""
-    px, py = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    qx, qy = F.col("x") - F.col("x2"), F.col("y") - F.col("y2")
-    length2 = dx * dx + dy * dy
-    along = px * dx + py * dy
-    across = px * dy - py * dx
+    px, py = x - F.col("x1"), y - F.col("y1")
+    qx, qy = x - F.col("x2"), y - F.col("y2")
+    vx, vy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length2 = vx * vx + vy * vy
+    along = px * vx + py * vy
+    across = px * vy - py * vx
     beside = (along >= 0) & (along <= length2) & (across * across <= length2 * dist**2)
     around = (F.col("joint1") & (px * px + py * py <= dist**2)) | (
         F.col("joint2") & (qx * qx + qy * qy <= dist**2)
@@ -105,26 +105,40 @@ def _near_piece(dist: float) -> Column:
     return ((length2 > 0) & beside) | around
 
 
+def _candidates(
+    cells: DataFrame, pieces: DataFrame, reach: float, bucket: float | None, keys: Sequence[str]
+) -> DataFrame:
+    """Distinct cells beside the pieces whose bucket they share. A cell has one bucket and a
+    piece each bucket within ``reach``, so a (cell, piece) pair comes up at most once."""
+    size = bucket or 2 * reach
+    if size < reach:
+        raise ValueError("the bucket must not be smaller than the corridor distance")
+    keyed = (
+        cells.select("cell_id", "x", "y")
+        .distinct()
+        .withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
+    )
+    met = keyed.join(_piece_buckets(_with_joints(pieces, keys), reach, size), ["bx", "by"])
+    in_box = [
+        F.col(c).between(
+            F.least(f"{c}1", f"{c}2") - reach, F.greatest(f"{c}1", f"{c}2") + reach
+        )
+        for c in ("x", "y")
+    ]
+    return met.filter(in_box[0] & in_box[1])
+
+
 def within_corridor(
-    points: DataFrame,
+    cells: DataFrame,
     pieces: DataFrame,
     dist: float = 201.168,
     bucket: float | None = None,
-    key: str = "transect",
-    ids: Sequence[str] = ("cell_id",),
+    keys: Sequence[str] = ("transect",),
 ) -> DataFrame:
-    """Distinct (line, point id) pairs of the points inside the flat-ended corridors."""
-    size = bucket or 4 * dist
-    if size < dist:
-        raise ValueError("the bucket must not be smaller than the corridor distance")
-    spots = points.select(*ids, "x", "y").distinct()
-    keyed = spots.withColumns(
-        {"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)}
-    )
-    near = keyed.join(
-        _piece_buckets(_with_joints(pieces, key), dist, size), ["bx", "by"]
-    ).filter(_near_piece(dist))
-    return near.select(key, *ids).distinct()
+    """Distinct (line, cell) pairs of the cells inside the flat-ended corridors."""
+    inside = _near_piece(dist, F.col("x"), F.col("y"))
+    near = _candidates(cells, pieces, dist, bucket, keys).filter(inside)
+    return near.select(*keys, "cell_id").distinct()
 
 
 def corridor_coverage(
@@ -134,28 +148,43 @@ def corridor_coverage(
     cell_size: float,
     n: int = 5,
     bucket: float | None = None,
-    key: str = "transect",
+    keys: Sequence[str] = ("transect",),
 ) -> DataFrame:
-    """Share of each cell inside each corridor, from n x n points spread over the cell."""
-    steps = [(i + 0.5) / n - 0.5 for i in range(n)]
-    offsets = F.array(*[F.lit(s * cell_size) for s in steps])
-    points = (
-        cells.select("cell_id", "x", "y")
-        .distinct()
-        .withColumn("ox", F.explode(offsets))
-        .withColumn("oy", F.explode(offsets))
-        .select("cell_id", (F.col("x") + F.col("ox")).alias("x"), (F.col("y") + F.col("oy")).alias("y"), "ox", "oy")
+    """Points (of n x n spread over the cell) and share of each cell inside each corridor.
+
+    The points are bits: pieces of a line cover a point once however many of them reach it,
+    so their bits are or-ed, which happens before the shuffle already.
+    """
+    steps = [((i + 0.5) / n - 0.5) * cell_size for i in range(n)]
+    reach = dist + cell_size * 0.5**0.5
+    points = F.array(
+        *[
+            F.struct(
+                F.lit(dx).alias("dx"),
+                F.lit(dy).alias("dy"),
+                F.lit(k // 62).alias("word"),
+                F.lit(1 << (k % 62)).cast("long").alias("bit"),
+            )
+            for k, (dx, dy) in enumerate((dx, dy) for dy in steps for dx in steps)
+        ]
     )
-    inside = within_corridor(points, pieces, dist, bucket, key, ("cell_id", "ox", "oy"))
-    return inside.groupBy(key, "cell_id").agg(
-        (F.count(F.lit(1)).cast("double") / (n * n)).alias("weight")
+    line_cell = [*keys, "cell_id"]
+    covered = (
+        _candidates(cells, pieces, reach, bucket, keys)
+        .select("*", F.inline(points))
+        .filter(_near_piece(dist, F.col("x") + F.col("dx"), F.col("y") + F.col("dy")))
+        .groupBy(*line_cell, *(["word"] if n * n > 62 else []))
+        .agg(F.bit_count(F.bit_or("bit")).alias("points"))
     )
+    if n * n > 62:
+        covered = covered.groupBy(*line_cell).agg(F.sum("points").cast("int").alias("points"))
+    return covered.withColumn("weight", F.col("points").cast("double") / (n * n))
 
 
 def zonal_mean(
     values: DataFrame,
     zones: DataFrame,
-    key: str = "transect",
+    keys: Sequence[str] = ("transect",),
     by: Sequence[str] = (),
     value: str = "value",
     weight: str | None = None,
@@ -173,7 +202,7 @@ def zonal_mean(
     w = F.col(weight) if weight else F.lit(1.0)
     return (
         zones.join(per_cell, "cell_id")
-        .groupBy(key, *by)
+        .groupBy(*keys, *by)
         .agg(ratio(F.sum(F.col("_sum") * w), F.sum(F.col("_n") * w)).alias(value))
     )
 
