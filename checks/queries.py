@@ -247,21 +247,18 @@ def _(spark, sf):
 
 @query("platform_views")
 def _(spark, sf):
-    """Records of each platform view, counted by year."""
-    df = structured(spark, sf)
-    views = ["air", "all", "paired", "ground", "known"]
-    parts = [
-        structure.platform_view(df, v).select(F.lit(v).alias("view"), "year", "species", "transect")
-        for v in views
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.groupBy("view", "year").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("species").alias("sum_species"),
-        F.sum("transect").alias("sum_transect"),
+    """Records of each platform view by year: counted by code, then handed to the views."""
+    by_code = (
+        structured(spark, sf)
+        .groupBy("year", "grd")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("species").alias("sum_species"),
+            F.sum("transect").alias("sum_transect"),
+        )
     )
+    sums = [F.sum(c).alias(c) for c in ("n", "sum_species", "sum_transect")]
+    return structure.platform_views(by_code).groupBy("view", "year").agg(*sums)
 
 
 # ------------------------------------------------------------------ C: summaries
@@ -701,7 +698,7 @@ def _(spark, sf):
 
 def current_and_normal(spark, sf):
     """Season totals of the current year, and their mean over the years before."""
-    totals = grid.season_stack(cells(spark, sf), F.sum)
+    totals = materialize(grid.season_stack(cells(spark, sf), F.sum), "season_totals")
     current = totals.filter(F.col("season_year") == YEAR)
     past = totals.filter(F.col("season_year") < YEAR)
     normal = past.groupBy("cell_id", "season").agg(F.avg("value").alias("value"))

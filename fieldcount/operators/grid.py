@@ -44,23 +44,35 @@ def line_centroid(pieces: DataFrame, key: str = "transect") -> DataFrame:
 
 
 def _with_joints(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mark the piece ends where another piece of the line goes on (``joint1``, ``joint2``)."""
-    ends = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)])
-    joints = (
-        pieces.select(*keys, F.inline(ends))
-        .groupBy(*keys, "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > 1)
+    """Mark the piece ends where another piece of the line goes on (``joint1``, ``joint2``).
+
+    A piece flown twice, in either direction, is one piece. Ends are counted per line and
+    point, not per line, so a line of very many pieces still spreads over tasks.
+    """
+    ends = [
+        F.struct(F.col(f"x{i}").alias("px"), F.col(f"y{i}").alias("py")) for i in (1, 2)
+    ]
+    unique = pieces.select(
+        *keys, F.least(*ends).alias("low"), F.greatest(*ends).alias("high")
+    ).distinct()
+    met = F.count(F.lit(1)).over(Window.partitionBy(*keys, "px", "py")) > 1
+    both = F.array(
+        F.struct(F.lit(1).alias("end"), "low.px", "low.py"),
+        F.struct(F.lit(2).alias("end"), "high.px", "high.py"),
     )
-    for i in (1, 2):
-        mark = joints.select(
-            *keys,
-            F.col("x").alias(f"x{i}"),
-            F.col("y").alias(f"y{i}"),
-            F.lit(True).alias(f"joint{i}"),
-        )
-        pieces = pieces.join(mark, [*keys, f"x{i}", f"y{i}"], "left")
-    return pieces.fillna(False, subset=["joint1", "joint2"])
+    joints = [F.bool_or((F.col("end") == i) & F.col("met")).alias(f"joint{i}") for i in (1, 2)]
+    marked = (
+        unique.select(*keys, "low", "high", F.inline(both))
+        .withColumn("met", met)
+        .groupBy(*keys, "low", "high")
+        .agg(*joints)
+    )
+    named = [
+        F.col(f"{end}.p{c}").alias(f"{c}{i}")
+        for i, end in ((1, "low"), (2, "high"))
+        for c in ("x", "y")
+    ]
+    return marked.select(*keys, *named, "joint1", "joint2")
 
 
 def _piece_buckets(pieces: DataFrame, dist: float, size: float) -> DataFrame:

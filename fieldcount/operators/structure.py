@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcount.design import (
@@ -214,13 +214,28 @@ PLATFORMS = {
 }
 
 
-def platform_view(df: DataFrame, view: str, platform: str = "grd") -> DataFrame:
-    """``air``, ``paired``, ``ground``, ``known`` (any code from 1) or ``all``."""
+def in_view(view: str, platform: str = "grd") -> Column:
+    """Whether a record belongs to a view: ``air``, ``paired``, ``ground``, ``known`` (any
+    code from 1) or ``all``."""
     if view == "all":
-        return df
+        return F.lit(True)
     if view == "known":
-        return df.filter(F.col(platform) >= 1)
-    return df.filter(F.col(platform).isin(*PLATFORMS[view]))
+        return F.col(platform) >= 1
+    return F.col(platform).isin(*PLATFORMS[view])
+
+
+def platform_view(df: DataFrame, view: str, platform: str = "grd") -> DataFrame:
+    return df.filter(in_view(view, platform))
+
+
+def platform_views(
+    df: DataFrame,
+    views: Sequence[str] = ("air", "all", "paired", "ground", "known"),
+    platform: str = "grd",
+) -> DataFrame:
+    """Every record once per view it belongs to, from a single scan."""
+    names = F.array(*[F.when(in_view(v, platform), v) for v in views])
+    return df.select(F.explode(F.array_compact(names)).alias("view"), "*")
 
 
 def clean_counts(raw: DataFrame, slots: int = 9) -> DataFrame:

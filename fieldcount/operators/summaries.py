@@ -231,6 +231,31 @@ def _survey_date() -> Column:
     return F.make_date("year", "month", "day")
 
 
+def _survey_days(clean: DataFrame, keys: Sequence[str], platforms: Sequence[int]) -> DataFrame:
+    """Distinct survey days per unit and platform, each ground-segment day with its lag.
+
+    Within a unit the air-over-ground days come first, then the ground days, then the rest,
+    so ``lag`` of a paired day only ever sees another paired day.
+    """
+    kind = (
+        F.when(F.col("grd") == AIR_OVER_GROUND, 1).when(F.col("grd") == GROUND, 2).otherwise(3)
+    )
+    unit = Window.partitionBy(*keys)
+    previous = F.lag("date").over(unit.orderBy("kind", "date"))
+    paired = F.col("kind") <= 2
+    return (
+        clean.filter(F.col("grd").isin(*platforms))
+        .select(*keys, _survey_date().alias("date"), "grd", kind.alias("kind"))
+        .distinct()
+        .withColumn("kinds", F.count_if(paired).over(unit))
+        .withColumn("previous", previous)
+        .withColumn("first_kind", F.min("kind").over(unit))
+        .withColumn(
+            "diff", F.when(paired & (F.col("kinds") == 2), F.date_diff("date", "previous"))
+        )
+    )
+
+
 def air_ground_lag_days(
     clean: DataFrame, keys: Sequence[str] = ("year", "transect"), strict: bool = False
 ) -> DataFrame:
@@ -239,66 +264,40 @@ def air_ground_lag_days(
     Only units with exactly two survey days are paired. Two days of one platform count as
     a pair as well unless ``strict``.
     """
-    unit = Window.partitionBy(*keys)
-    order = unit.orderBy("survey_type", "date")
-    days = (
-        clean.filter(F.col("grd").isin(AIR_OVER_GROUND, GROUND))
-        .select(*keys, _survey_date().alias("date"), "grd")
-        .distinct()
-        .withColumn(
-            "survey_type", F.when(F.col("grd") == AIR_OVER_GROUND, "aerial").otherwise("ground")
-        )
-        .withColumn("n", F.count(F.lit(1)).over(unit))
-        .filter(F.col("n") == 2)
-    )
+    days = _survey_days(clean, keys, (AIR_OVER_GROUND, GROUND)).filter(F.col("diff").isNotNull())
     if strict:
-        both = (F.min("grd").over(unit) != F.max("grd").over(unit)).alias("both")
-        days = days.select("*", both).filter("both")
-    lag = F.date_diff(F.col("date"), F.lag("date").over(order))
-    return (
-        days.withColumn("diff", lag)
-        .filter(F.col("diff").isNotNull())
-        .select(*keys, "date", "grd", "diff")
-    )
+        days = days.filter(F.col("first_kind") != F.col("kind"))
+    return days.select(*keys, "date", "grd", "diff")
 
 
 def survey_timing(clean: DataFrame, year: int | None = None) -> DataFrame:
     """First and last day, number of days and air-to-ground lag of each survey year.
 
-    The end day stays NULL where a platform flew on a single day.
+    The end day stays NULL where a platform flew on a single day. The days of all transects
+    are worked out once; everything else is one aggregate over them.
     """
     kept = clean if year is None else clean.filter(F.col("year") == year)
-    air = F.col("platform") == "air"
-    ground = F.col("platform") == "ground"
+    ground = F.col("grd") == GROUND
     date = F.col("date")
+    air_date, ground_date = F.when(~ground, date), F.when(ground, date)
     days = (
-        kept.filter(F.col("grd").isin(AIR_OVER_GROUND, GROUND, AIR_ONLY))
-        .select(
-            "year",
-            _survey_date().alias("date"),
-            F.when(F.col("grd") == GROUND, "ground").otherwise("air").alias("platform"),
-        )
-        .distinct()
+        _survey_days(kept, ("year", "transect"), (AIR_OVER_GROUND, GROUND, AIR_ONLY))
         .groupBy("year")
         .agg(
-            F.min(F.when(air, date)).alias("air_min"),
-            F.max(F.when(air, date)).alias("air_max"),
-            F.count_if(air).alias("aerial_total_survey_days"),
-            F.min(F.when(ground, date)).alias("ground_min"),
-            F.max(F.when(ground, date)).alias("ground_max"),
-            F.count_if(ground).alias("ground_total_survey_days"),
+            F.min(air_date).alias("air_min"),
+            F.max(air_date).alias("air_max"),
+            F.count_distinct(air_date).alias("aerial_total_survey_days"),
+            F.min(ground_date).alias("ground_min"),
+            F.max(ground_date).alias("ground_max"),
+            F.count_distinct(ground_date).alias("ground_total_survey_days"),
             F.min(date).alias("any_min"),
             F.max(date).alias("any_max"),
+            F.max(F.abs("diff")).alias("air_ground_overlap"),
         )
     )
-    lags = (
-        air_ground_lag_days(kept)
-        .groupBy("year")
-        .agg(F.max(F.abs("diff")).alias("air_ground_overlap"))
-    )
     aerial_end = F.when(F.col("aerial_total_survey_days") > 1, day_text(F.col("air_max")))
     ground_end = F.when(F.col("ground_total_survey_days") > 1, day_text(F.col("ground_max")))
-    return days.join(lags, "year", "left").select(
+    return days.select(
         "year",
         day_text(F.col("air_min")).alias("aerial_start_survey_date"),
         aerial_end.alias("aerial_end_survey_date"),

@@ -37,7 +37,8 @@ def structure_stage(
     raw = ingest.load_table(spark, root, RAW_COUNTS)
     structured = structure.structure_counts(raw, design=design, slots=slots)
     store.write_partitioned(structured, f"{out}/structured", "year")
-    return structure.clean_counts(raw, slots), spark.read.parquet(f"{out}/structured")
+    stored = spark.read.schema(structured.schema).parquet(f"{out}/structured")
+    return structure.clean_counts(raw, slots), stored
 
 
 def analyze_survey(
@@ -56,8 +57,7 @@ def analyze_survey(
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         store.write_output(df, f"{out}/{name}", year)
-        stored = spark.read.parquet(f"{out}/{name}")
-        results[name] = stored.filter(F.col("analysis_year") == year).drop("analysis_year")
+        results[name] = store.read_output(spark, f"{out}/{name}", year, df.schema)
         return results[name]
 
     keep("groups_and_birds", summaries.group_and_bird_union(structured, design))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -33,10 +34,32 @@ def write_output(df: DataFrame, path: str, analysis_year: int) -> None:
     )
 
 
+def read_output(
+    spark: SparkSession, path: str, analysis_year: int, schema: StructType
+) -> DataFrame:
+    """One analysis year of a stage result. The schema is given: a result may be empty."""
+    whole = StructType([*schema.fields, StructField("analysis_year", IntegerType())])
+    stored = spark.read.schema(whole).parquet(path)
+    return stored.filter(F.col("analysis_year") == analysis_year).drop("analysis_year")
+
+
+# A list of stored years up to this long is checked by value, a longer one by a join.
+YEAR_LIST_LIMIT = 1000
+
+
 def new_years(existing: DataFrame, incoming: DataFrame, year_col: str = "year") -> DataFrame:
-    """The incoming rows of years that are not stored yet."""
-    stored = existing.select(year_col).distinct()
-    return incoming.join(stored, year_col, "left_anti").select(*incoming.columns)
+    """The incoming rows of years that are not stored yet.
+
+    The stored years are few, so they are looked up first and become a plain filter: the
+    incoming rows are neither shuffled nor joined. Past the limit an anti join takes over.
+    """
+    stored = existing.select(year_col).filter(F.col(year_col).isNotNull()).distinct()
+    known = [r[0] for r in stored.limit(YEAR_LIST_LIMIT + 1).collect()]
+    if len(known) > YEAR_LIST_LIMIT:
+        return incoming.join(stored, year_col, "left_anti").select(*incoming.columns)
+    if not known:
+        return incoming
+    return incoming.filter(F.col(year_col).isNull() | ~F.col(year_col).isin(known))
 
 
 def append_year(existing: DataFrame, incoming: DataFrame, year_col: str = "year") -> DataFrame:

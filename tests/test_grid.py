@@ -64,6 +64,13 @@ def test_free_ends_are_flat(spark):
     assert [r.cell_id for r in found.collect()] == [1]
 
 
+def test_a_piece_flown_back_leaves_the_end_flat(spark):
+    df = cells(spark, [(-0.5, 0), (0.5, 0.9), (10.5, 0)])
+    there_and_back = [(1, 1, 0, 0, 10, 0), (1, 2, 10, 0, 0, 0), (1, 3, 0, 0, 10, 0)]
+    found = grid.within_corridor(df, lines(spark, there_and_back), 1.0)
+    assert [r.cell_id for r in found.collect()] == [1]
+
+
 def test_bucket_must_hold_the_corridor(spark):
     with pytest.raises(ValueError):
         grid.within_corridor(cells(spark, [(0, 0)]), lines(spark, [(1, 1, 0, 0, 1, 0)]), 2.0, 1.0)

@@ -127,3 +127,13 @@ def test_replace_mode_overwrites_the_year(spark, tmp_path):
     assert years(spark, table) == {2000: 9, 2001: 1}
     with pytest.raises(ValueError):
         batch_writer(table, "s", mode="merge")
+
+
+def test_many_stored_years_fall_back_to_a_join(spark, monkeypatch):
+    monkeypatch.setattr(store, "YEAR_LIST_LIMIT", 2)
+    existing = spark.range(1990, 1995).select(F.col("id").cast("int").alias("year"))
+    incoming = spark.createDataFrame([(1990,), (1996,), (None,)], "year int")
+    got = store.new_years(existing, incoming).collect()
+    assert sorted(str(r.year) for r in got) == ["1996", "None"]
+    monkeypatch.undo()
+    assert sorted(str(r.year) for r in store.new_years(existing, incoming).collect()) == ["1996", "None"]
