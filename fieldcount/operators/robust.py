@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -105,25 +106,31 @@ def _iterate(
     return {**state, "n_iter": step, "n_pairs": m["n"]}
 
 
+@contextmanager
 def _standardized(df: DataFrame, x: str, y: str):
-    """Pairs centred and scaled, kept in memory across iterations, with what undoes it."""
+    """Pairs centred and scaled, cached across iterations, with the moments that undo it.
+    A cached block lost with its executor is computed again from its source."""
     pairs = df.dropna(subset=[x, y]).select(
         F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
     pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    s = pairs.agg(
-        F.avg("x").alias("mx"),
-        F.avg("y").alias("my"),
-        F.stddev_samp("x").alias("sx"),
-        F.stddev_samp("y").alias("sy"),
-    ).first()
-    if not s.sx or not s.sy:
+    try:
+        s = pairs.agg(
+            F.avg("x").alias("mx"),
+            F.avg("y").alias("my"),
+            F.stddev_samp("x").alias("sx"),
+            F.stddev_samp("y").alias("sy"),
+        ).first()
+        if not s.sx or not s.sy:
+            raise ValueError("needs at least two pairs and some spread in both columns")
+        yield (
+            pairs.select(
+                ((F.col("x") - s.mx) / s.sx).alias("x"), ((F.col("y") - s.my) / s.sy).alias("y")
+            ),
+            s,
+        )
+    finally:
         pairs.unpersist()
-        raise ValueError("needs at least two pairs and some spread in both columns")
-    scaled = pairs.select(
-        ((F.col("x") - s.mx) / s.sx).alias("x"), ((F.col("y") - s.my) / s.sy).alias("y")
-    )
-    return pairs, scaled, s
 
 
 def robust_bivariate(
@@ -135,8 +142,6 @@ def robust_bivariate(
     max_iter: int = 100,
 ) -> DataFrame:
     """Bivariate Student-t: centre, scales, correlation and degrees of freedom, as one row."""
-    pairs, scaled, s = _standardized(df, x, y)
-
     def distance2(p: dict) -> str:
         det = p["sxx"] * p["syy"] - p["sxy"] ** 2
         dx, dy = f"(x - ({p['mx']!r}D))", f"(y - ({p['my']!r}D))"
@@ -154,8 +159,8 @@ def robust_bivariate(
         return {"mx": mx, "my": my, "sxx": sxx * size, "sxy": sxy * size, "syy": syy * size}
 
     start = {"mx": 0.0, "my": 0.0, "sxx": 1.0, "sxy": 0.0, "syy": 1.0}
-    p = _iterate(scaled, start, 2, distance2, update, nu, tol, max_iter)
-    pairs.unpersist()
+    with _standardized(df, x, y) as (scaled, s):
+        p = _iterate(scaled, start, 2, distance2, update, nu, tol, max_iter)
     row = (
         s.mx + p["mx"] * s.sx,
         s.my + p["my"] * s.sy,
@@ -182,8 +187,6 @@ def robust_regression(
     max_iter: int = 100,
 ) -> DataFrame:
     """Straight line of ``y`` on ``x`` with Student-t errors, as one row."""
-    pairs, scaled, s = _standardized(df, x, y)
-
     def distance2(p: dict) -> str:
         miss = f"(y - ({p['intercept']!r}D) - x * ({p['slope']!r}D))"
         return f"{miss} * {miss} * ({1 / p['s2']!r}D)"
@@ -199,8 +202,8 @@ def robust_regression(
         }
 
     start = {"slope": 0.0, "intercept": 0.0, "s2": 1.0}
-    p = _iterate(scaled, start, 1, distance2, update, nu, tol, max_iter)
-    pairs.unpersist()
+    with _standardized(df, x, y) as (scaled, s):
+        p = _iterate(scaled, start, 1, distance2, update, nu, tol, max_iter)
     slope = p["slope"] * s.sy / s.sx
     row = (
         s.my + p["intercept"] * s.sy - slope * s.mx,
