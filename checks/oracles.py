@@ -117,9 +117,15 @@ oracle(
 _WETLAND = ["year", "month", "transect", "ground", *[f"typ{i}" for i in range(1, 9)], "str", "dit"]
 oracle(
     "file_catalog",
+    ("raw_counts", "raw_wetlands"),
+    """SELECT DISTINCT year || '_waterfowl.csv' AS file_name, 'waterfowl' AS file_type, year AS file_year FROM raw_counts
+      UNION ALL SELECT DISTINCT year || '_air_wetlands.csv', 'air_wetlands', year FROM raw_wetlands""",
+)
+oracle(
+    "read_year_files",
     "raw_wetlands",
     f"""SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _WETLAND)},
-      'air_wetlands' AS file_type FROM raw_wetlands WHERE year = {YEAR}""",
+      '{YEAR}_air_wetlands.csv' AS file_name FROM raw_wetlands WHERE year = {YEAR}""",
 )
 oracle(
     "load_table",

@@ -87,19 +87,26 @@ def _(spark, sf):
     return ingest.read_counts(spark, path, [c.upper() for c in df.columns])
 
 
+def deliveries(spark, sf) -> str:
+    """A folder of deliveries, one per kind and year, named as they arrive."""
+    path = scratch_path(spark, "deliveries")
+    counts = raw(spark, sf).select("year", "month", "transect", "sp1", "pr1")
+    for kind, df in (("waterfowl", counts), ("air_wetlands", view(spark, sf, "raw_wetlands"))):
+        named = df.withColumn("delivery", F.concat("year", F.lit(f"_{kind}.csv")))
+        named.write.mode("append").partitionBy("delivery").option("header", True).csv(path)
+    return path
+
+
 @query("file_catalog")
 def _(spark, sf):
-    """All deliveries by name, and from them the rows of one kind and year."""
-    path = scratch_path(spark, "catalog")
-    for kind, name in (("waterfowl", "raw_counts"), ("air_wetlands", "raw_wetlands")):
-        df = view(spark, sf, name)
-        delivery = F.concat("year", F.lit(f"_{kind}.csv")).alias("delivery")
-        df.select("*", delivery).write.mode("append").partitionBy("delivery").option(
-            "header", True
-        ).csv(path)
-    rows = ingest.read_year_files(spark, path, "air_wetlands", YEAR, df.columns)
-    catalog = ingest.file_catalog(spark, path).withColumnRenamed("file_year", "year")
-    return rows.join(catalog.filter(F.col("file_type") == "air_wetlands"), "year").drop("file_name")
+    return ingest.file_catalog(spark, deliveries(spark, sf))
+
+
+@query("read_year_files")
+def _(spark, sf):
+    """The rows of one kind and year, found by file name among all deliveries."""
+    columns = view(spark, sf, "raw_wetlands").columns
+    return ingest.read_year_files(spark, deliveries(spark, sf), "air_wetlands", YEAR, columns)
 
 
 @query("load_table")

@@ -50,8 +50,9 @@ def type_counts(df: DataFrame, text_columns: Sequence[str] = TEXT_COLUMNS) -> Da
 
 
 def _delivery(path: Column) -> Column:
-    """Name of the file, or of the folder when the file is one part of a written folder."""
-    return F.regexp_extract(path, r"([^/]+?)(?:/part-[^/]*)?$", 1)
+    """Name of the file, or of the folder when the file is one part of a written folder; a
+    ``column=`` in front of the folder's name is left out."""
+    return F.regexp_extract(path, r"(?:^|/)(?:[^/=]+=)?([^/=]+?)(?:/part-[^/]*)?$", 1)
 
 
 def _file_type(name: Column, types: Sequence[str]) -> Column:
@@ -90,8 +91,8 @@ def read_year_files(
     types: Sequence[str] = FILE_TYPES,
     text_columns: Sequence[str] = TEXT_COLUMNS,
 ) -> DataFrame:
-    """The deliveries of one kind and year. The filter is on file metadata alone, so Spark
-    drops the other files before it plans a task."""
+    """The deliveries of one kind and year, each row with the name of its delivery. The filter
+    is on file metadata alone, so Spark drops the other files before it plans a task."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     name = _delivery(F.col("_metadata.file_path"))
     raw = (
@@ -100,8 +101,9 @@ def read_year_files(
         .schema(schema)
         .csv(path)
         .filter((_file_type(name, types) == file_type) & (_file_year(name) == year))
+        .select("*", name.alias("file_name"))
     )
-    return type_counts(raw, text_columns)
+    return type_counts(raw, [*text_columns, "file_name"])
 
 
 def load_table(

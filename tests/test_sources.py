@@ -42,7 +42,7 @@ def test_catalog_and_year_files(spark, tmp_path):
         ("wsds22.csv", "wsds", 2022),
     ]
     df = ingest.read_year_files(spark, str(tmp_path), "air_wetlands", 2023, ["year", "typ1"])
-    assert [tuple(r) for r in df.collect()] == [(2023.0, 5.0)]
+    assert [tuple(r) for r in df.collect()] == [(2023.0, 5.0, "2023_air_wetlands.csv")]
 
 
 def test_stored_years_are_pruned(spark, tmp_path):
