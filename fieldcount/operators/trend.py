@@ -36,7 +36,7 @@ def series_prep(
     start = lookup(F.col("species"), dict(design.series_start), design.first_year)
     rows = corrected.unionByName(swans).filter(F.col("year") >= start)
     by_year = Window.partitionBy("species").orderBy("year")
-    gap_end = F.coalesce(F.lead("year").over(by_year) - 1, F.col("year"))
+    gap_end = F.greatest(F.lead("year").over(by_year) - 1, F.col("year"))
     filled = rows.withColumn("gap_end", gap_end).select(
         "species",
         F.explode(F.sequence("year", "gap_end")).alias("filled"),
