@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,19 +29,14 @@ def local_session(cores: str | int = "*", app: str = "fieldcount", **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it in spark.checkpoint.dir.
 
-    Only a local master, where driver and executors are one process, gets a temporary
-    folder of its own; on a cluster an unset folder is an error.
+    Where that is unset, the session's checkpoint folder or else a folder in its warehouse
+    serves: both are places that Spark itself shares among executors, never a local one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = set_dir.get() if set_dir.isDefined() else None
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="fieldcount-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -50,6 +44,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` to the shared folder and reading it back."""
     path = scratch_path(df.sparkSession, name)
