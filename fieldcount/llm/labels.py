@@ -14,24 +14,24 @@ def held_out(id_col: str) -> Column:
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled texts, whole, in an order that their ids' hashes decide.
+    """At most ``most`` labelled texts, whole: half of each label, in an order that their ids' hashes
+    decide.
 
     The ids are drawn before the texts are looked up, so the join's small side has at most
     ``most`` rows. Rows without a label and ids labelled differently are left out; an id that
     several documents have counts once.
     """
-    drawn = (
+    usable = (
         labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(id_col)
         .agg(F.min(label).alias("label"), F.max(label).alias("other"))
         .filter(F.col("label") == F.col("other"))
         .select(id_col, "label", F.xxhash64(id_col).alias("draw"))
-        .orderBy("draw", id_col)
-        .limit(most)
     )
+    no, yes = (usable.filter(F.col("label") == v).orderBy("draw", id_col).limit(most // 2) for v in (0, 1))
     rows = (
         docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .join(F.broadcast(drawn), id_col)
+        .join(F.broadcast(no.unionByName(yes)), id_col)
         .groupBy(id_col, "draw", "label")
         .agg(F.min("text").alias("text"))
         .collect()

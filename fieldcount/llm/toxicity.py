@@ -25,7 +25,9 @@ from fieldcount.llm.labels import held_out, training_sample
 
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
-PASSAGE, STEP = 24, 8
+PASSAGE, STEP = 12, 6
+#: Subwords met less often in training have no vector.
+LEAST = 8
 
 
 def subwords(words: Words, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,14 @@ def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return begin, np.minimum(begin + PASSAGE, np.repeat(first[1:], count)), start
 
 
+def fresh(words: Words) -> np.ndarray:
+    """Whether each word differs from the one before; a word said over and over counts once."""
+    out = np.ones(len(words.hash), bool)
+    out[1:] = words.hash[1:] != words.hash[:-1]
+    out[words.first[:-1][words.first[:-1] < len(out)]] = True
+    return out
+
+
 def _means(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return (sums[end] - sums[begin]) / np.maximum(1, end - begin)
@@ -94,13 +104,13 @@ def scores(texts: pa.Array, bucket_logits: np.ndarray, bias: float) -> np.ndarra
     words = tokenize(texts, SPACED, lower=True)
     _, chosen, back = np.unique(words.hash, return_index=True, return_inverse=True)
     parts, first = subwords(words, chosen)
-    each = _means(bucket_logits[parts], first[:-1], first[1:])[back]
+    each = _means(bucket_logits[parts], first[:-1], first[1:])[back] * fresh(words)
     begin, end, start = passages(words.first)
     worst = np.maximum.reduceat(_means(each, begin, end), start[:-1]) if len(texts) else np.zeros(0)
     return 1 / (1 + np.exp(-np.clip(worst + bias, -30, 30)))
 
 
-def train(texts: list[str], labels: list[int], d: int = 8, epochs: int = 24, batch: int = 128, seed: int = 0) -> SubwordBag:
+def train(texts: list[str], labels: list[int], d: int = 8, epochs: int = 14, batch: int = 128, seed: int = 0) -> SubwordBag:
     """Adam on the cross entropy of each document's currently worst passage.
 
     The first epochs take random passages of clean and whole toxic documents, until the vectors
@@ -118,14 +128,18 @@ def train(texts: list[str], labels: list[int], d: int = 8, epochs: int = 24, bat
         return model
     y = np.array(labels)
     words = tokenize(pa.array(texts, pa.large_string()), SPACED, lower=True)
-    _, chosen, back = np.unique(words.hash, return_index=True, return_inverse=True)
+    _, chosen, back, times = np.unique(words.hash, return_index=True, return_inverse=True, return_counts=True)
     parts, first = subwords(words, chosen)
+    # a subword of one rare word would only learn that word's label by heart
+    known = np.bincount(parts, np.repeat(np.minimum(times, LEAST), np.diff(first)), BUCKETS) >= LEAST
+    model.vectors[~known] = 0
     begin, end, start = passages(words.first)
+    new = fresh(words)
     params = [model.vectors, model.softmax, model.bias]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         logits, bias = model.folded()
-        means = _means(_means(logits[parts], first[:-1], first[1:])[back], begin, end)
+        means = _means(_means(logits[parts], first[:-1], first[1:])[back] * new, begin, end)
         rate = 0.02 * (1 - epoch / epochs) + 0.001
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             if epoch < 4:
@@ -134,8 +148,9 @@ def train(texts: list[str], labels: list[int], d: int = 8, epochs: int = 24, bat
                 best = np.array([start[r] + means[start[r] : start[r + 1]].argmax() for r in rows])
                 a, b = begin[best], end[best]
             size = b - a
-            at = back[np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-            row = np.repeat(np.arange(len(rows)), size)
+            at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            row = np.repeat(np.arange(len(rows)), size)[new[at]]
+            at = back[at[new[at]]]
             n = first[at + 1] - first[at]
             take = np.repeat(first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             bucket, owner = parts[take], np.repeat(row, n)
@@ -148,6 +163,7 @@ def train(texts: list[str], labels: list[int], d: int = 8, epochs: int = 24, bat
             p /= len(rows)
             g_x = (p @ model.softmax.T).astype(np.float32)
             g_vectors = np.stack([np.bincount(bucket, weight * g_x[owner, j], BUCKETS) for j in range(d)], 1)
+            g_vectors[~known] = 0
             t += 1
             for i, g in enumerate([g_vectors.astype(np.float32), (x.T @ p).astype(np.float32), p.sum(0)]):
                 m[i] = 0.9 * m[i] + 0.1 * g
