@@ -163,6 +163,15 @@ FROM (SELECT l_partkey % 2500 AS cell, CAST(year(l_shipdate) AS INT) AS year,
 GROUP BY cell, year, month
 """
 
+# The same on 10 x 10 cells, of which most have every month.
+CLIMATE = """
+SELECT CAST(cell AS INT) AS cell_id, CAST(cell % 10 AS DOUBLE) AS x,
+  CAST((cell - cell % 10) / 10 AS DOUBLE) AS y, year, month, CAST(sum(amount) AS DOUBLE) AS value
+FROM (SELECT l_partkey % 100 AS cell, CAST(year(l_shipdate) AS INT) AS year,
+        CAST(month(l_shipdate) AS INT) AS month, CAST(l_quantity AS INT) AS amount FROM {lineitem}) q
+GROUP BY cell, year, month
+"""
+
 # Flight lines over the grid: every order is a line, its line numbers the pieces flown.
 # Consecutive pieces meet; a missing number leaves a gap. Each line belongs to a transect.
 PIECES = """
@@ -222,6 +231,7 @@ VIEWS = {
     "trend_results": TREND_RESULTS,
     "series": SERIES,
     "grid": GRID,
+    "climate": CLIMATE,
     "pieces": PIECES,
     "places": PLACES,
     "ring": RING,

@@ -109,10 +109,17 @@ def step(name: str, needs: tuple[str, ...] | str, body: str) -> None:
 # ------------------------------------------------------------------ A
 
 _DOUBLES = ["year", "month", "day", "transect", "grd", "wetype", *COUNTS, "coots", "observer1", "observer2"]
+_INTEGERS = ("year", "month", "day", "transect", "grd", "wetype", "sp1", "sp2")
+
+
+def _typed(column: str) -> str:
+    return f"CAST({column} AS {'INT' if column in _INTEGERS else 'DOUBLE'}) AS {column}"
+
+
 oracle(
     "read_counts",
     "raw_counts",
-    f"SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _DOUBLES)}, direct, side FROM raw_counts",
+    f"SELECT {', '.join(map(_typed, _DOUBLES))}, direct, CASE WHEN year < 1998 THEN side END AS side FROM raw_counts",
 )
 _WETLAND = ["year", "month", "transect", "ground", *[f"typ{i}" for i in range(1, 9)], "str", "dit"]
 oracle(
@@ -124,7 +131,7 @@ oracle(
 oracle(
     "read_year_files",
     "raw_wetlands",
-    f"""SELECT {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _WETLAND)},
+    f"""SELECT {", ".join(map(_typed, _WETLAND))},
       '{YEAR}_air_wetlands.csv' AS file_name FROM raw_wetlands WHERE year = {YEAR}""",
 )
 oracle(
@@ -138,10 +145,16 @@ oracle(
 for _name in ("append_year", "append_year_stream"):
     oracle(_name, "year_batches", "SELECT record_id, year, transect FROM year_batches")
 oracle(
-    "write_output",
-    "structured",
-    "SELECT *, year AS analysis_year FROM structured WHERE year IN (2000, 2001)",
+    "append_year_rejects",
+    "year_batches",
+    "SELECT CAST(year AS INT) AS year, 'all' AS delivery, count(*) AS n FROM year_batches WHERE year <= 1999 GROUP BY year",
 )
+oracle(
+    "append_year_deliveries",
+    "year_batches",
+    "SELECT record_id, year, transect FROM year_batches WHERE year <= 1999",
+)
+oracle("write_output", "structured", "SELECT *, year AS analysis_year FROM structured")
 oracle(
     "null_policy",
     "text_counts",
@@ -285,26 +298,42 @@ step(
         WHERE {AIR} AND p_species = 5 AND groups < 20 GROUP BY year, species""",
 )
 oracle("composition_counts", "composition", "SELECT * FROM composition")
-COMPOSITION = (
-    "common_merganser hooded_merganser green_winged_teal northern_shoveler northern_pintail redhead "
-    "canvasback ring_necked_duck goldeneye ruddy_duck red_breasted_merganser black_duck gadwall "
-    "american_wigeon"
-).split()
+# The species of the composition table.
+COMPOSITION = [
+    "common_merganser",
+    "hooded_merganser",
+    "green_winged_teal",
+    "northern_shoveler",
+    "northern_pintail",
+    "redhead",
+    "canvasback",
+    "ring_necked_duck",
+    "goldeneye",
+    "ruddy_duck",
+    "red_breasted_merganser",
+    "black_duck",
+    "gadwall",
+    "american_wigeon",
+]
 _SHARES = ", ".join(
     f"COALESCE(max(percent) FILTER (WHERE name = '{n}'), '0%') AS {n}" for n in COMPOSITION
 )
 oracle(
     "composition_share",
-    ("composition", "species_codes"),
-    f"""SELECT year, region, level, {_SHARES}
-      FROM (SELECT c.year, c.region, c.level,
-              lower(replace(replace(common_name, ' ', '_'), '-', '_')) AS name,
-              CAST(CAST(round_even(birds / whole * 100, 0) AS INT) AS VARCHAR) || '%' AS percent
-            FROM composition c
-            JOIN (SELECT year, region, level, sum(birds) AS whole FROM composition GROUP BY ALL) w
-              ON c.year = w.year AND c.level = w.level AND c.region IS NOT DISTINCT FROM w.region
-            LEFT JOIN species_codes s ON c.species = s.species) q
-      GROUP BY year, region, level""",
+    ("composition", "species_codes", "structured"),
+    f"""SELECT p.year, p.region, p.level, {_SHARES}
+      FROM (SELECT DISTINCT year, region, 'region' AS level FROM structured WHERE {AIR}
+            UNION ALL SELECT DISTINCT year, NULL, 'state' FROM structured WHERE {AIR}) p
+      LEFT JOIN (
+        SELECT n.year, n.region, n.level, name,
+          CAST(CAST(round_even(birds / whole * 100, 0) AS INT) AS VARCHAR) || '%' AS percent
+        FROM (SELECT c.year, c.region, c.level, lower(replace(replace(common_name, ' ', '_'), '-', '_')) AS name,
+                sum(birds) AS birds
+              FROM composition c LEFT JOIN species_codes s ON c.species = s.species GROUP BY ALL) n
+        JOIN (SELECT year, region, level, sum(birds) AS whole FROM composition GROUP BY ALL) w
+          ON n.year = w.year AND n.level = w.level AND n.region IS NOT DISTINCT FROM w.region) q
+        ON q.year = p.year AND q.level = p.level AND q.region IS NOT DISTINCT FROM p.region
+      GROUP BY p.year, p.region, p.level""",
 )
 oracle(
     "last_n_years_total",
@@ -872,18 +901,31 @@ oracle(
 )
 step(
     "seasons",
-    "grid",
+    "climate",
     """SELECT *, CASE WHEN month IN (10, 11, 12, 1, 2) THEN 'winter' WHEN month IN (3, 4, 5) THEN 'spring' END AS season,
-      CASE WHEN month >= 10 THEN year + 1 WHEN month <= 5 THEN year END AS season_year FROM grid""",
+      CASE WHEN month >= 10 THEN year + 1 WHEN month <= 5 THEN year END AS season_year FROM climate""",
 )
 oracle("season_of", "seasons", "SELECT * FROM seasons")
-for _name, _fun in (("season_stack", "sum"), ("season_stack_mean", "avg")):
+_MONTHS = "CAST(count(DISTINCT month) AS INT)"
+_WHOLE = f"HAVING {_MONTHS} = CASE season WHEN 'winter' THEN 5 ELSE 3 END"
+for _name, _fun, _having in (
+    ("season_stack", "sum", _WHOLE),
+    ("season_stack_mean", "avg", _WHOLE),
+    ("season_stack_all", "avg", ""),
+):
     oracle(
         _name,
         "seasons",
-        f"""SELECT cell_id, season, season_year, {_fun}(value) AS value FROM seasons
-          WHERE season IS NOT NULL GROUP BY cell_id, season, season_year""",
+        f"""SELECT cell_id, season, season_year, {_fun}(value) AS value, {_MONTHS} AS n_months FROM seasons
+          WHERE season IS NOT NULL GROUP BY cell_id, season, season_year {_having}""",
     )
+oracle(
+    "season_stack_normals",
+    "seasons",
+    f"""SELECT cell_id, season, avg(value) AS value, {_MONTHS} AS n_months
+      FROM (SELECT cell_id, season, month, avg(value) AS value FROM seasons WHERE season IS NOT NULL GROUP BY ALL) m
+      GROUP BY cell_id, season {_WHOLE}""",
+)
 oracle(
     "mask_polygon",
     ("grid", "ring"),
@@ -900,10 +942,11 @@ step(
     "seasons",
     f"""SELECT c.cell_id, c.season, c.value, n.normal
       FROM (SELECT cell_id, season, sum(value) AS value FROM seasons
-            WHERE season IS NOT NULL AND season_year = {YEAR} GROUP BY ALL) c
+            WHERE season IS NOT NULL AND season_year = {YEAR} GROUP BY cell_id, season {_WHOLE}) c
       JOIN (SELECT cell_id, season, avg(value) AS normal
             FROM (SELECT cell_id, season, season_year, sum(value) AS value FROM seasons
-                  WHERE season IS NOT NULL AND season_year < {YEAR} GROUP BY ALL) y
+                  WHERE season IS NOT NULL AND season_year < {YEAR}
+                  GROUP BY cell_id, season, season_year {_WHOLE}) y
             GROUP BY cell_id, season) n ON c.cell_id = n.cell_id AND c.season = n.season""",
 )
 oracle(

@@ -22,7 +22,7 @@ from fieldcount.operators import (
 )
 from fieldcount.session import materialize, scratch_path
 from fieldcount.sources import ingest, store
-from fieldcount.streaming.append import append_stream
+from fieldcount.streaming.append import append_stream, batch_writer
 
 DESIGN = SurveyDesign()
 YEAR = 2001
@@ -80,20 +80,25 @@ def structured(spark, sf):
 
 @query("read_counts")
 def _(spark, sf):
-    """Whole raw table through CSV with upper-case headers and back."""
+    """Whole raw table through CSV and back; later files order their columns differently and lack one."""
     path = scratch_path(spark, "deliveries")
     df = raw(spark, sf)
-    df.toDF(*[c.upper() for c in df.columns]).write.option("header", True).csv(path)
-    return ingest.read_counts(spark, path, [c.upper() for c in df.columns])
+    df = df.toDF(*[c.upper() for c in df.columns])
+    late = [c for c in reversed(df.columns) if c != "SIDE"]
+    for part in (df.filter("YEAR < 1998"), df.filter("YEAR >= 1998").select(*late)):
+        part.write.mode("append").option("header", True).csv(path)
+    return ingest.read_counts(spark, path)
 
 
 def deliveries(spark, sf) -> str:
     """A folder of deliveries, one per kind and year, named as they arrive."""
     path = scratch_path(spark, "deliveries")
-    counts = raw(spark, sf).select("year", "month", "transect", "sp1", "pr1")
-    for kind, df in (("waterfowl", counts), ("air_wetlands", view(spark, sf, "raw_wetlands"))):
+    for kind, df in (("waterfowl", raw(spark, sf)), ("air_wetlands", view(spark, sf, "raw_wetlands"))):
         named = df.withColumn("delivery", F.concat("year", F.lit(f"_{kind}.csv")))
-        named.write.mode("append").partitionBy("delivery").option("header", True).csv(path)
+        for odd in (0, 1):
+            part = named.filter(F.col("year") % 2 == odd)
+            part = part.select(*(reversed(part.columns) if odd else part.columns))
+            part.write.mode("append").partitionBy("delivery").option("header", True).csv(path)
     return path
 
 
@@ -139,12 +144,36 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/table").select(*rows.columns)
 
 
+@query("append_year_rejects")
+def _(spark, sf):
+    """What a table refused: years that another delivery had brought."""
+    path = f"{scratch_path(spark, 'append')}/table"
+    rows = view(spark, sf, "year_batches")
+    store.append_to_table(rows.filter(F.col("year") <= 1999), path, "early")
+    store.append_to_table(rows, path, "all")
+    return store.rejected(spark, path)
+
+
+@query("append_year_deliveries")
+def _(spark, sf):
+    """One delivery in two batches, then another one that is refused."""
+    path = f"{scratch_path(spark, 'append')}/table"
+    rows = view(spark, sf, "year_batches").filter(F.col("year") <= 1999)
+    write = batch_writer(path, "stream", delivery_col="file")
+    named = rows.withColumn("file", F.lit("first"))
+    write(named.filter(F.col("transect") < 30), 0)
+    write(named.filter(F.col("transect") >= 30), 1)
+    write(rows.withColumn("file", F.lit("second")), 2)
+    return spark.read.parquet(path).select(*rows.columns)
+
+
 @query("write_output")
 def _(spark, sf):
-    """Structured counts of two analysis years written one after the other, one of them twice."""
+    """Structured counts of every analysis year written one after the other, one of them twice."""
     path = scratch_path(spark, "output")
-    df = structured(spark, sf)
-    for year in (2000, 2001, 2001):
+    df = materialize(structured(spark, sf), "structured", "year")
+    years = sorted(r[0] for r in df.select("year").distinct().collect())
+    for year in [*years, years[-1]]:
         store.write_output(df.filter(F.col("year") == year), path, year)
     out = spark.read.parquet(path)
     return out.select(*df.columns, F.col("analysis_year").cast("int").alias("analysis_year"))
@@ -685,27 +714,40 @@ def _(spark, sf):
 
 @query("season_of")
 def _(spark, sf):
-    return grid.season_of(cells(spark, sf))
+    return grid.season_of(view(spark, sf, "climate"))
 
 
 @query("season_stack")
 def _(spark, sf):
-    return grid.season_stack(cells(spark, sf), F.sum)
+    return grid.season_stack(view(spark, sf, "climate"), F.sum)
 
 
 @query("season_stack_mean", value=6)
 def _(spark, sf):
-    return grid.season_stack(cells(spark, sf), F.avg)
+    return grid.season_stack(view(spark, sf, "climate"), F.avg)
+
+
+@query("season_stack_all", value=6)
+def _(spark, sf):
+    """With the seasons that lack months."""
+    return grid.season_stack(view(spark, sf, "climate"), F.avg, complete=False)
+
+
+@query("season_stack_normals", value=6)
+def _(spark, sf):
+    """Monthly normals, which have no year."""
+    normals = view(spark, sf, "climate").groupBy("cell_id", "month").agg(F.avg("value").alias("value"))
+    return grid.season_stack(normals, F.avg, by=())
 
 
 @query("mask_polygon")
 def _(spark, sf):
-    return grid.mask_polygon(cells(spark, sf), view(spark, sf, "ring"))
+    return grid.mask_polygon(cells(spark, sf), view(spark, sf, "ring"), cell_size=1.0)
 
 
 def current_and_normal(spark, sf):
     """Season totals of the current year, and their mean over the years before."""
-    totals = materialize(grid.season_stack(cells(spark, sf), F.sum), "season_totals")
+    totals = materialize(grid.season_stack(view(spark, sf, "climate"), F.sum), "season_totals")
     current = totals.filter(F.col("season_year") == YEAR)
     past = totals.filter(F.col("season_year") < YEAR)
     normal = past.groupBy("cell_id", "season").agg(F.avg("value").alias("value"))

@@ -165,8 +165,11 @@ def corridor_coverage(
     """Points (of n x n spread over the cell) and share of each cell inside each corridor.
 
     The points are bits: pieces of a line cover a point once however many of them reach it,
-    so their bits are or-ed, which happens before the shuffle already.
+    so their bits are or-ed, which happens before the shuffle already. Points must not be farther
+    apart than a corridor is wide, or thin corridors would slip between them.
     """
+    if cell_size / n > 2 * dist:
+        raise ValueError(f"{n} points a side leave gaps of {cell_size / n:g}, wider than the corridor")
     steps = [((i + 0.5) / n - 0.5) * cell_size for i in range(n)]
     reach = dist + cell_size * 0.5**0.5
     points = F.array(
@@ -236,10 +239,22 @@ def season_stack(
     values: DataFrame,
     fun: Callable[[str], Column] = F.sum,
     by: Sequence[str] = ("season_year",),
+    complete: bool = True,
 ) -> DataFrame:
-    """One value per cell and season: ``F.sum`` for precipitation, ``F.avg`` for temperature."""
-    seasons = season_of(values).filter(F.col("season").isNotNull())
-    return seasons.groupBy("cell_id", "season", *by).agg(fun("value").alias("value"))
+    """One value per cell and season: ``F.sum`` for precipitation, ``F.avg`` for temperature.
+
+    ``n_months`` counts the months with a value; seasons that lack one are left out unless
+    ``complete`` is false. ``by=()`` stacks months without a year, as normals come.
+    """
+    months = F.bit_count(F.bit_or(F.when(F.col("value").isNotNull(), F.expr("shiftleft(1, month)"))))
+    stacked = (
+        season_of(values.withColumn("year", F.lit(None).cast("int")) if "year" not in values.columns else values)
+        .filter(F.col("season").isNotNull())
+        .groupBy("cell_id", "season", *by)
+        .agg(fun("value").alias("value"), F.coalesce(months, F.lit(0)).alias("n_months"))
+    )
+    whole = F.when(F.col("season") == "winter", 5).otherwise(3)
+    return stacked.filter(F.col("n_months") == whole) if complete else stacked
 
 
 def cell_anomaly(
@@ -258,38 +273,31 @@ def cell_anomaly(
 
 
 def ring_edges(ring: DataFrame) -> DataFrame:
-    """Closed edges (x1, y1, x2, y2) of ring vertices in ``seq`` order."""
-    by_seq = Window.partitionBy("ring").orderBy("seq")
-    whole = by_seq.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def following(c: str) -> Column:
-        return F.coalesce(F.lead(c).over(by_seq), F.first(c).over(whole))
-
-    return ring.select(
-        "ring",
-        F.col("x").alias("x1"),
-        F.col("y").alias("y1"),
-        following("x").alias("x2"),
-        following("y").alias("y2"),
+    """Closed edges (x1, y1, x2, y2) of ring vertices, whose ``seq`` counts up by one.
+
+    A vertex meets the next one by an equi-join, so one long ring spreads over tasks.
+    """
+    ends = ring.groupBy("ring").agg(F.min("seq").alias("least"), F.max("seq").alias("most"))
+    following = F.when(F.col("seq") == F.col("most"), F.col("least")).otherwise(F.col("seq") + 1)
+    numbered = ring.join(ends, "ring").select(
+        "ring", F.col("x").alias("x1"), F.col("y").alias("y1"), following.alias("seq")
     )
+    after = ring.select("ring", "seq", F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return numbered.join(after, ["ring", "seq"]).drop("seq")
 
 
-def mask_polygon(values: DataFrame, ring: DataFrame, strip: float = 1.0) -> DataFrame:
+def mask_polygon(values: DataFrame, ring: DataFrame, cell_size: float) -> DataFrame:
     """The rows of cells inside a polygon, given as rings; inner rings cut holes.
 
-    The bounding box comes first as plain number filters that reach the scan. A cell is
-    inside when a ray from it crosses an odd number of edges; cells meet edges by horizontal
-    strip, best chosen about one cell high so that a strip holds few edges.
+    The bounding box comes first, as scalar subqueries in filters on the scan. A cell is inside
+    when a ray from it crosses an odd number of edges; cells meet edges by horizontal strips
+    one cell high, so that a strip holds few edges.
     """
-    box = ring.agg(
-        F.min("x").alias("xmin"), F.max("x").alias("xmax"),
-        F.min("y").alias("ymin"), F.max("y").alias("ymax"),
-    ).first()
-    if box.xmin is None:
-        return values.limit(0)
-    cropped = values.filter(
-        F.col("x").between(box.xmin, box.xmax) & F.col("y").between(box.ymin, box.ymax)
-    )
+    strip = float(cell_size)
+    cropped = values
+    for axis in ("x", "y"):
+        low, high = (ring.agg(f(axis).alias("edge")).scalar() for f in (F.min, F.max))
+        cropped = cropped.filter((F.col(axis) >= low) & (F.col(axis) <= high))
     spots = cropped.select("cell_id", "x", "y").distinct()
     edges = ring_edges(ring).withColumn(
         "strip",

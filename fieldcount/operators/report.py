@@ -256,12 +256,11 @@ def survey_vs_trend_table(
         return part.agg(*extra, *[F.avg(c).alias(c) for c in columns])
 
     commas = [comma_text(F.col(c)) for c in columns]
-    recent_years = latest_years(wide, n).agg(
-        F.collect_list("year").alias("years"), (F.min("year") - years_before).alias("start")
-    )
-    added = F.sequence(F.col("start"), F.col("start") + years_before - 1)
-    recent_years = recent_years.select(
-        F.explode(F.concat("years", added)).alias("year"), "start"
+    recent_years = (
+        latest_years(wide, n)
+        .agg((F.min("year") - years_before).alias("start"), F.max("year").alias("last"))
+        .filter(F.col("start").isNotNull())
+        .select(F.explode(F.sequence("start", "last")).alias("year"), "start")
     )
     recent = means(wide.join(recent_years, "year"), F.max("start").alias("start"))
     recent_label = F.concat(

@@ -88,6 +88,7 @@ def _iterate(
     nu: float | None,
     tol: float,
     max_iter: int,
+    nu_range: tuple[float, float],
 ) -> dict[str, float]:
     state = {**state, "nu": float(nu or 10.0)}
     for step in range(1, max_iter + 1):
@@ -98,12 +99,13 @@ def _iterate(
         m = spaced.agg(*sums).first().asDict()
         d_scale, d_nu = _scale_and_nu_step(v, dims, m, nu is not None)
         new = update(state, m, math.exp(2 * d_scale))
-        new["nu"] = max(NU_RANGE[0], min(NU_RANGE[1], v * math.exp(d_nu))) if nu is None else v
+        new["nu"] = max(nu_range[0], min(nu_range[1], v * math.exp(d_nu))) if nu is None else v
         moved = max(abs(new[k] - state[k]) / (abs(state[k]) + 1.0) for k in new)
         state = new
         if moved < tol:
             break
-    return {**state, "n_iter": step, "n_pairs": m["n"]}
+    at_bound = nu is None and not nu_range[0] < state["nu"] < nu_range[1]
+    return {**state, "n_iter": step, "n_pairs": m["n"], "converged": moved < tol, "nu_at_bound": at_bound}
 
 
 @contextmanager
@@ -140,8 +142,13 @@ def robust_bivariate(
     nu: float | None = None,
     tol: float = 1e-6,
     max_iter: int = 100,
+    nu_range: tuple[float, float] = NU_RANGE,
 ) -> DataFrame:
-    """Bivariate Student-t: centre, scales, correlation and degrees of freedom, as one row."""
+    """Bivariate Student-t: centre, scales, correlation and degrees of freedom, as one row.
+
+    ``converged`` tells whether the fit settled within ``max_iter`` steps, ``nu_at_bound`` whether
+    the degrees of freedom ended at a bound of ``nu_range``.
+    """
     def distance2(p: dict) -> str:
         det = p["sxx"] * p["syy"] - p["sxy"] ** 2
         dx, dy = f"(x - ({p['mx']!r}D))", f"(y - ({p['my']!r}D))"
@@ -160,7 +167,7 @@ def robust_bivariate(
 
     start = {"mx": 0.0, "my": 0.0, "sxx": 1.0, "sxy": 0.0, "syy": 1.0}
     with _standardized(df, x, y) as (scaled, s):
-        p = _iterate(scaled, start, 2, distance2, update, nu, tol, max_iter)
+        p = _iterate(scaled, start, 2, distance2, update, nu, tol, max_iter, nu_range)
     row = (
         s.mx + p["mx"] * s.sx,
         s.my + p["my"] * s.sy,
@@ -170,11 +177,13 @@ def robust_bivariate(
         p["nu"],
         p["n_pairs"],
         p["n_iter"],
+        p["converged"],
+        p["nu_at_bound"],
     )
     return df.sparkSession.createDataFrame(
         [row],
         "mu_x double, mu_y double, sigma_x double, sigma_y double, rescor double, nu double, "
-        "n_pairs long, n_iter int",
+        "n_pairs long, n_iter int, converged boolean, nu_at_bound boolean",
     )
 
 
@@ -185,8 +194,12 @@ def robust_regression(
     nu: float | None = None,
     tol: float = 1e-6,
     max_iter: int = 100,
+    nu_range: tuple[float, float] = NU_RANGE,
 ) -> DataFrame:
-    """Straight line of ``y`` on ``x`` with Student-t errors, as one row."""
+    """Straight line of ``y`` on ``x`` with Student-t errors, as one row.
+
+    ``converged`` and ``nu_at_bound`` are as for the bivariate fit.
+    """
     def distance2(p: dict) -> str:
         miss = f"(y - ({p['intercept']!r}D) - x * ({p['slope']!r}D))"
         return f"{miss} * {miss} * ({1 / p['s2']!r}D)"
@@ -203,7 +216,7 @@ def robust_regression(
 
     start = {"slope": 0.0, "intercept": 0.0, "s2": 1.0}
     with _standardized(df, x, y) as (scaled, s):
-        p = _iterate(scaled, start, 1, distance2, update, nu, tol, max_iter)
+        p = _iterate(scaled, start, 1, distance2, update, nu, tol, max_iter, nu_range)
     slope = p["slope"] * s.sy / s.sx
     row = (
         s.my + p["intercept"] * s.sy - slope * s.mx,
@@ -212,10 +225,12 @@ def robust_regression(
         p["nu"],
         p["n_pairs"],
         p["n_iter"],
+        p["converged"],
+        p["nu_at_bound"],
     )
     return df.sparkSession.createDataFrame(
         [row],
-        "intercept double, slope double, sigma double, nu double, n_pairs long, n_iter int",
+        "intercept double, slope double, sigma double, nu double, n_pairs long, n_iter int, converged boolean, nu_at_bound boolean",
     )
 
 

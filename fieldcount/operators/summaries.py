@@ -150,20 +150,31 @@ def composition_share(
     design: SurveyDesign = SurveyDesign(),
     names: Sequence[str] = COMPOSITION_NAMES,
 ) -> DataFrame:
-    """Percent of each named species among the other ducks; one wide row per level."""
-    whole = Window.partitionBy("year", "level", "region")
-    share = F.bround(ratio(F.col("birds"), F.sum("birds").over(whole)) * 100, 0)
-    text = F.concat(share.cast("int").cast("string"), F.lit("%"))
-    named = (
-        composition_counts(df, year, design)
-        .withColumn("percent", text)
-        .join(codes.select("species", snake_text(F.col("common_name")).alias("name")), "species", "left")
+    """Percent of each named species among the other ducks; one wide row per level.
+
+    Codes of one name are added up. Every survey year has a row for the state and for each of its
+    regions, of ``0%`` throughout where it has no other ducks.
+    """
+    places = [["year", "region"], ["year"]]
+    level = F.when(F.grouping("region") == 1, "state").otherwise("region").alias("level")
+    surveyed = platform_view(df, "air")
+    if year is not None:
+        surveyed = surveyed.filter(F.col("year") == year)
+    surveyed = surveyed.groupBy("year", "region").agg(F.count(F.lit(1)).alias("n"))
+    scaffold = surveyed.groupingSets(places, "year", "region").agg(level, F.sum("n").alias("n"))
+    scaffold = scaffold.select("year", "level", "region", F.lit(None).cast("string").alias("name"), F.lit(0).alias("birds"))
+    named = composition_counts(df, year, design).join(
+        codes.select("species", snake_text(F.col("common_name")).alias("name")), "species", "left"
     )
-    columns = [
-        F.coalesce(F.max(F.when(F.col("name") == n, F.col("percent"))), F.lit("0%")).alias(n)
-        for n in names
-    ]
-    return named.groupBy("year", "level", "region").agg(*columns)
+    counted = named.select("year", "level", "region", "name", "birds").unionByName(scaffold)
+    birds = [F.sum(F.when(F.col("name") == n, F.col("birds"))).alias(n) for n in names]
+    wide = counted.groupBy("year", "level", "region").agg(F.sum("birds").alias("whole"), *birds)
+
+    def percent(name: str) -> Column:
+        share = F.bround(ratio(F.col(name), F.col("whole")) * 100, 0)
+        return F.coalesce(F.concat(share.cast("int").cast("string"), F.lit("%")), F.lit("0%")).alias(name)
+
+    return wide.select("year", "level", "region", *map(percent, names))
 
 
 def last_n_years_total(

@@ -109,15 +109,13 @@ def _chunk_smoother(grid: int, chunks: int):
                 eps, sigma, log_weight = nodes(row.chunk)
                 log_lik, mean, var = smooth(y, eps, sigma)
                 log_weight = log_weight + log_lik
-                # Nodes below e^-40 of the chunk's best add nothing in double precision.
-                keep = log_weight > log_weight.max() - 40
                 yield pd.DataFrame(
                     {
                         "series": row.series,
                         "time": row.times,
-                        "log_weight": [log_weight[keep]] * len(y),
-                        "node_mean": list(mean[:, keep]),
-                        "node_var": list(var[:, keep]),
+                        "log_weight": [log_weight] * len(y),
+                        "node_mean": list(mean),
+                        "node_var": list(var),
                     }
                 )
 
@@ -147,8 +145,7 @@ def _mixture_summary():
         node = np.exp(m + v / 2)
         mean = float(w @ node)
         variance = float(w @ (node * node * np.expm1(v)) + w @ (node - mean) ** 2)
-        heavy = w > 1e-13
-        m, s, w = m[heavy], np.sqrt(np.maximum(v[heavy], 1e-300)), w[heavy]
+        s = np.sqrt(np.maximum(v, 1e-300))
         low = np.full(3, (m - 9 * s).min())
         high = np.full(3, (m + 9 * s).max())
         target = np.array([0.025, 0.5, 0.975]) * w.sum()

@@ -1,12 +1,14 @@
 """The annual analysis: stored raw tables in, one stage table per result out.
 
-The structured observations are written once, partitioned by year; every later stage reads
-them back, so one year's summaries touch one year's partition and the raw table is scanned
-a single time however many results there are.
+The structured observations are written once, partitioned by year, and most later stages read
+them back. Coots, survey timing and occupied wetlands need the cleaned wide counts and scan the
+raw table again.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +25,33 @@ SWAN_ESTIMATES = "swan_pop_estimates"
 
 
 def import_year(
-    spark: SparkSession, root: str, counts: DataFrame, wetlands: DataFrame
+    spark: SparkSession,
+    root: str,
+    counts: DataFrame,
+    wetlands: DataFrame,
+    delivery: str,
+    design: SurveyDesign = SurveyDesign(),
 ) -> None:
-    """Append a delivery to the raw tables; years already stored stay as they are."""
-    store.append_to_table(structure.normalize_year(counts), f"{root}/{RAW_COUNTS}")
-    store.append_to_table(structure.normalize_year(wetlands), f"{root}/{RAW_WETLANDS}")
+    """Append a delivery to the raw tables; years that another delivery brought stay as they are.
+
+    Wetland rows without a month are dropped, their ground flag and type counts filled with
+    zeros, and their region is attached.
+    """
+    types = [c for c in wetlands.columns if re.fullmatch(r"ground|typ\d+|str|dit", c)]
+    wetlands = ingest.null_policy(structure.normalize_year(wetlands), types, ["month"])
+    wetlands = structure.band_region(wetlands.drop("region"), design)
+    store.append_to_table(structure.normalize_year(counts), f"{root}/{RAW_COUNTS}", delivery)
+    store.append_to_table(wetlands, f"{root}/{RAW_WETLANDS}", delivery)
+
+
+def import_files(
+    spark: SparkSession, root: str, path: str, year: int, delivery: str | None = None, design: SurveyDesign = SurveyDesign()
+) -> None:
+    """``import_year`` from the CSV deliveries of a year below ``path``."""
+    counts, wetlands = (
+        ingest.read_year_files(spark, path, kind, year).drop("file_name") for kind in ("waterfowl", "air_wetlands")
+    )
+    import_year(spark, root, counts, wetlands, delivery or f"files-{year}", design)
 
 
 def structure_stage(
@@ -82,8 +106,9 @@ def analyze_survey(
         "swan_population",
         estimate.population_by_region_uncorrected(structured, year, design=design),
     )
-    store.append_to_table(estimate.annual_totals(regions, year), f"{root}/{POP_ESTIMATES}")
-    store.append_to_table(estimate.annual_swan_total(swans, year), f"{root}/{SWAN_ESTIMATES}")
+    run = f"analysis-{year}"
+    store.append_to_table(estimate.annual_totals(regions, year), f"{root}/{POP_ESTIMATES}", run)
+    store.append_to_table(estimate.annual_swan_total(swans, year), f"{root}/{SWAN_ESTIMATES}", run)
 
     columns = ["species", "year", "n"]
     series = keep(

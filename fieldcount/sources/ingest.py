@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,9 @@ from pyspark.sql import types as T
 # The text columns of a count delivery, and the deliveries' file kinds.
 TEXT_COLUMNS = ("direct", "side")
 FILE_TYPES = ("air_wetlands", "waterfowl", "ground", "airwet", "wsds")
+# The columns that hold whole numbers, and the slots of species codes.
+INTEGER_COLUMNS = ("year", "month", "day", "transect", "grd", "wetype")
+SPECIES_SLOT = re.compile(r"sp_?\d+")
 
 
 def snake_names(names: Iterable[str]) -> list[str]:
@@ -31,22 +36,75 @@ def read_counts(
     columns: Sequence[str] | None = None,
     text_columns: Sequence[str] = TEXT_COLUMNS,
 ) -> DataFrame:
-    """CSV deliveries with a header; every column is a double but the named text columns.
+    """CSV deliveries with a header, read by the names in it.
 
-    A value that is no number becomes NULL. Given ``columns``, the files are read with that
-    schema and no file is opened to plan the query.
+    Codes and dates are integers, the named text columns text, all others doubles; a value that
+    is no such number becomes NULL. Files may order their columns differently or lack some: a
+    column that a file lacks is NULL in its rows. Names compare in snake_case. ``columns``
+    chooses the columns of the result.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    return type_counts(reader.csv(paths), text_columns)
+    first = spark.read.text(paths)
+    return _read_by_header(first, columns, text_columns)
+
+
+def _read_by_header(
+    lines: DataFrame, columns: Sequence[str] | None, text_columns: Sequence[str], named: bool = False
+) -> DataFrame:
+    """One reader for each different header among the files of ``lines``.
+
+    The first line is looked up in each file's first block; what reaches the driver is a list of
+    the files, which the driver has from listing them anyway. A file without a line is left out.
+    """
+    spark = lines.sparkSession
+    tops = (
+        lines.select("value", "_metadata.file_path", "_metadata.file_block_start")
+        .filter("file_block_start = 0")
+        .withColumn("line", F.monotonically_increasing_id())
+        .groupBy("file_path")
+        .agg(F.min_by("value", "line").alias("header"))
+    )
+    files: dict[str, list[str]] = defaultdict(list)
+    for row in tops.collect():
+        files[row["header"]].append(row["file_path"])
+    wanted = snake_names(columns) if columns is not None else None
+    parts = []
+    for header in sorted(files):
+        names = snake_names(next(csv.reader([header.removeprefix("\ufeff")])))
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(files[header])
+        if wanted is not None:
+            raw = raw.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in wanted], *_file(named))
+        else:
+            raw = raw.select(*names, *_file(named))
+        parts.append(type_counts(raw, [*text_columns, "file_name"]))
+    if not parts:
+        fields = [*(wanted or []), *(["file_name"] if named else [])]
+        return type_counts(
+            spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in fields])),
+            [*text_columns, "file_name"],
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _file(named: bool) -> list[Column]:
+    return [_delivery(F.col("_metadata.file_path")).alias("file_name")] if named else []
 
 
 def type_counts(df: DataFrame, text_columns: Sequence[str] = TEXT_COLUMNS) -> DataFrame:
     df = df.toDF(*snake_names(df.columns))
-    return df.select(
-        *[F.col(c) if c in text_columns else F.col(c).try_cast("double").alias(c) for c in df.columns]
-    )
+
+    def typed(name: str) -> Column:
+        if name in text_columns:
+            return F.col(name)
+        number = F.col(name).try_cast("double")
+        if name in INTEGER_COLUMNS or SPECIES_SLOT.fullmatch(name):
+            number = F.when(number == F.floor(number), number).try_cast("int")
+        return number.alias(name)
+
+    return df.select(*map(typed, df.columns))
 
 
 def _delivery(path: Column) -> Column:
@@ -87,23 +145,19 @@ def read_year_files(
     path: str,
     file_type: str,
     year: int,
-    columns: Sequence[str],
+    columns: Sequence[str] | None = None,
     types: Sequence[str] = FILE_TYPES,
     text_columns: Sequence[str] = TEXT_COLUMNS,
 ) -> DataFrame:
-    """The deliveries of one kind and year, each row with the name of its delivery. The filter
-    is on file metadata alone, so Spark drops the other files before it plans a task."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    """The deliveries of one kind and year, by the names in their headers, each row with the name
+    of its delivery. The filter is on file metadata alone: other files are not opened."""
     name = _delivery(F.col("_metadata.file_path"))
-    raw = (
-        spark.read.option("header", True)
-        .option("recursiveFileLookup", True)
-        .schema(schema)
-        .csv(path)
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .text(path)
         .filter((_file_type(name, types) == file_type) & (_file_year(name) == year))
-        .select("*", name.alias("file_name"))
     )
-    return type_counts(raw, [*text_columns, "file_name"])
+    return _read_by_header(lines, columns, text_columns, named=True)
 
 
 def load_table(

@@ -1,65 +1,41 @@
-"""Append yearly deliveries from a stream, each year at most once.
-
-A ledger beside the table holds one row per accepted (year, delivery). A batch first
-settles which years it may bring and records them, then writes their partitions; rerun
-after a failure at any point, it finds its own ledger rows and writes the same partitions
-again.
-"""
+"""Append yearly deliveries from a stream, each year from one delivery."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
-
-from fieldcount.sources.store import write_partitioned
-
-LEDGER = "year int, delivery string"
-
 
-def _stored(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+from fieldcount.sources.store import take_in, write_partitioned
 
 
 def batch_writer(
-    table: str, source: str, year_col: str = "year", mode: str = "reject"
+    table: str,
+    source: str,
+    year_col: str = "year",
+    mode: str = "reject",
+    delivery_col: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function. ``source`` tells apart the streams that feed one table.
-    ``mode`` is what happens to a year already stored: ``reject`` keeps the stored rows,
-    ``replace`` overwrites that year's partition."""
+
+    ``mode`` is what happens to a year already stored: ``reject`` keeps the stored rows and puts the
+    others into the table of rejects, ``replace`` overwrites that year's partition. ``delivery_col``
+    names the delivery of each row; rows of one delivery belong together, in however many batches
+    they arrive. Without it, every batch is a delivery of its own.
+    """
     if mode not in ("reject", "replace"):
         raise ValueError(f"unknown mode {mode!r}")
-    ledger_path = f"{table.rstrip('/')}_years"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if mode == "replace":
             write_partitioned(batch, table, year_col)
             return
-        spark = batch.sparkSession
-        delivery = f"{source}-{batch_id}"
-        own = F.col("delivery") == delivery
-        ledger = _stored(spark, ledger_path, LEDGER)
-        if ledger.filter(own).isEmpty():
-            in_table = _stored(spark, table, batch.schema)
-            known = ledger.select("year").union(in_table.select(F.col(year_col).cast("int")))
-            years = (
-                batch.select(F.col(year_col).cast("int").alias("year"))
-                .distinct()
-                .join(known.distinct(), "year", "left_anti")
-                .withColumn("delivery", F.lit(delivery))
-            )
-            write_partitioned(years, ledger_path, "delivery")
-        accepted = _stored(spark, ledger_path, LEDGER).filter(own)
-        rows = batch.join(accepted.select(F.col("year").alias(year_col)), year_col, "left_semi")
-        write_partitioned(rows.select(*batch.columns), table, year_col)
+        part = f"{source}-{batch_id}"
+        delivery = F.col(delivery_col) if delivery_col else F.lit(part)
+        take_in(batch, table, part, delivery, year_col)
 
     return write
 
@@ -70,11 +46,12 @@ def append_stream(
     checkpoint: str,
     year_col: str = "year",
     mode: str = "reject",
+    delivery_col: str | None = None,
 ) -> StreamingQuery:
     """Take in everything that has arrived and stop; run it again for later files."""
     source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     return (
-        incoming.writeStream.foreachBatch(batch_writer(table, source, year_col, mode))
+        incoming.writeStream.foreachBatch(batch_writer(table, source, year_col, mode, delivery_col))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

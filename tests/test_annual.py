@@ -20,11 +20,11 @@ def analysed(spark, sf, tmp_path_factory):
     counts, wetlands = view(spark, sf, "raw_counts"), view(spark, sf, "raw_wetlands")
     for last in (2000, 2001, 2001):
         kept = F.col("year") <= last
-        annual.import_year(spark, root, counts.filter(kept), wetlands.filter(kept))
+        annual.import_year(spark, root, counts.filter(kept), wetlands.filter(kept), f"to-{last}", DESIGN)
     view(spark, sf, "species_codes").write.parquet(f"{root}/{annual.SPECIES_CODES}")
     early = F.col("year") < 2001
     for name, table in (("pop_estimates", annual.POP_ESTIMATES), ("swan_estimates", annual.SWAN_ESTIMATES)):
-        store.append_to_table(view(spark, sf, name).filter(early), f"{root}/{table}")
+        store.append_to_table(view(spark, sf, name).filter(early), f"{root}/{table}", "early")
     results = annual.analyze_survey(spark, root, out, 2001, DESIGN, SLOTS)
     return root, out, results
 

@@ -25,8 +25,23 @@ def test_snake_names_are_unique():
 def test_csv_is_typed_and_bad_numbers_are_null(spark, tmp_path):
     write_csv(tmp_path / "in" / "a.csv", "YEAR,DIRECT,SP 1\n99,N,32\n0,S,x\n")
     df = ingest.read_counts(spark, str(tmp_path / "in"))
-    assert df.dtypes == [("year", "double"), ("direct", "string"), ("sp_1", "double")]
-    assert sorted(map(tuple, df.collect())) == [(0.0, "S", None), (99.0, "N", 32.0)]
+    assert df.dtypes == [("year", "int"), ("direct", "string"), ("sp_1", "int")]
+    assert sorted(map(tuple, df.collect())) == [(0, "S", None), (99, "N", 32)]
+
+
+def test_deliveries_are_read_by_header_name(spark, tmp_path):
+    write_csv(tmp_path / "in" / "a.csv", "YEAR,MONTH,TRANSECT,SP1,N\n2000,5,10,32,1.5\n")
+    write_csv(tmp_path / "in" / "b.csv", "YEAR,TRANSECT,MONTH,SP1,EXTRA\n2001.0,20,6,33.5,7\n")
+    write_csv(tmp_path / "in" / "c.csv", "TRANSECT,YEAR\n")
+    got = ingest.read_counts(spark, str(tmp_path / "in"))
+    assert dict(got.dtypes) == {
+        "year": "int", "month": "int", "transect": "int", "sp1": "int", "n": "double", "extra": "double"
+    }
+    columns = ["year", "month", "transect", "sp1", "n", "extra"]
+    wanted = [(2000, 5, 10, 32, 1.5, None), (2001, 6, 20, None, None, 7.0)]
+    assert sorted(map(tuple, got.select(columns).collect())) == wanted
+    some = ingest.read_counts(spark, str(tmp_path / "in"), ["Month", "TRANSECT", "other"])
+    assert sorted(map(tuple, some.collect())) == [(5, 10, None), (6, 20, None)]
 
 
 def test_catalog_and_year_files(spark, tmp_path):
@@ -42,7 +57,7 @@ def test_catalog_and_year_files(spark, tmp_path):
         ("wsds22.csv", "wsds", 2022),
     ]
     df = ingest.read_year_files(spark, str(tmp_path), "air_wetlands", 2023, ["year", "typ1"])
-    assert [tuple(r) for r in df.collect()] == [(2023.0, 5.0, "2023_air_wetlands.csv")]
+    assert [tuple(r) for r in df.collect()] == [(2023, 5.0, "2023_air_wetlands.csv")]
 
 
 def test_stored_years_are_pruned(spark, tmp_path):
@@ -66,10 +81,28 @@ def test_output_of_a_year_is_replaced_not_added(spark, tmp_path):
 def test_table_append_takes_new_years_only(spark, sf, tmp_path):
     path = f"{tmp_path}/table"
     rows = q.view(spark, sf, "year_batches")
-    store.append_to_table(rows.filter("year <= 1998"), path)
+    store.append_to_table(rows.filter("year <= 1998"), path, "early")
     for _ in range(2):
-        store.append_to_table(rows, path)
+        store.append_to_table(rows, path, "all")
     assert spark.read.parquet(path).count() == rows.count()
+    refused = {(r.delivery, r.n) for r in store.rejected(spark, path).groupBy("delivery").agg(F.sum("n").alias("n")).collect()}
+    assert refused == {("all", rows.filter("year <= 1998").count())}
+
+
+def test_appends_look_at_the_ledger_only(spark, tmp_path):
+    """Rows that cannot be read do not matter to an append, and trouble is not taken for absence."""
+    path = f"{tmp_path}/table"
+    store.append_to_table(delivery(spark, 2000, 3), path, "one")
+    for file in (tmp_path / "table").rglob("*.parquet"):
+        file.write_bytes(b"no parquet")
+    store.append_to_table(delivery(spark, 2001, 2), path, "two")
+    assert spark.read.parquet(f"{path}/year=2001").count() == 2
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "x.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception):
+        store.append_to_table(delivery(spark, 2000, 1), str(other), "one")
+    assert not (tmp_path / "other_years").exists()
 
 
 def delivery(spark, year, n):
@@ -100,9 +133,7 @@ def test_stream_batch_repeats_after_a_loss(spark, tmp_path):
     batch = delivery(spark, 2000, 6)
     write = batch_writer(table, "s")
     store.write_partitioned(
-        spark.createDataFrame([(2000, "s-0")], "year int, delivery string"),
-        f"{table}_years",
-        "delivery",
+        spark.createDataFrame([(2000, "s-0", "s-0")], store.LEDGER), store.ledger_path(table), "part"
     )
     for _ in range(2):
         write(batch, 0)
@@ -110,11 +141,23 @@ def test_stream_batch_repeats_after_a_loss(spark, tmp_path):
     write(delivery(spark, 2000, 9), 1)
     batch_writer(table, "another stream")(delivery(spark, 2000, 9), 0)
     assert years(spark, table) == {2000: 6}
+    assert sorted(r.n for r in store.rejected(spark, table).collect()) == [9, 9]
+
+
+def test_parts_of_a_delivery_belong_together(spark, tmp_path):
+    table = f"{tmp_path}/table"
+    write = batch_writer(table, "s", delivery_col="file")
+    part = lambda n, name: delivery(spark, 2000, n).withColumn("file", F.lit(name))
+    write(part(6, "a"), 0)
+    write(part(3, "a").union(part(5, "b")), 1)
+    write(part(3, "a").union(part(5, "b")), 1)
+    assert years(spark, table) == {2000: 9}
+    assert [(r.delivery, r.n) for r in store.rejected(spark, table).collect()] == [("b", 5)]
 
 
 def test_stream_respects_years_stored_before_it(spark, tmp_path):
     table = f"{tmp_path}/table"
-    store.append_to_table(delivery(spark, 1999, 3), table)
+    store.append_to_table(delivery(spark, 1999, 3), table, "first")
     batch_writer(table, "s")(delivery(spark, 1999, 8).union(delivery(spark, 2000, 2)), 0)
     assert years(spark, table) == {1999: 3, 2000: 2}
 
@@ -129,11 +172,7 @@ def test_replace_mode_overwrites_the_year(spark, tmp_path):
         batch_writer(table, "s", mode="merge")
 
 
-def test_many_stored_years_fall_back_to_a_join(spark, monkeypatch):
-    monkeypatch.setattr(store, "YEAR_LIST_LIMIT", 2)
+def test_new_years_keep_rows_without_a_year(spark):
     existing = spark.range(1990, 1995).select(F.col("id").cast("int").alias("year"))
     incoming = spark.createDataFrame([(1990,), (1996,), (None,)], "year int")
-    got = store.new_years(existing, incoming).collect()
-    assert sorted(str(r.year) for r in got) == ["1996", "None"]
-    monkeypatch.undo()
     assert sorted(str(r.year) for r in store.new_years(existing, incoming).collect()) == ["1996", "None"]
