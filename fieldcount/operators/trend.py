@@ -24,6 +24,8 @@ START_VARIANCE = 4.0
 DRIFT_VARIANCE = 1.0
 SD_LIMIT = 2.0
 
+STATISTICS = ("mean", "sd", "lcl", "ucl", "median")
+
 
 def series_prep(
     corrected: DataFrame, swans: DataFrame, design: SurveyDesign = SurveyDesign()
@@ -31,7 +33,7 @@ def series_prep(
     """Both estimate tables as one set of gapless yearly series with log counts.
 
     A year without a row becomes a row with a NULL count, since the model steps by row. A
-    count of zero or less has no logarithm and is an error.
+    count of zero or less gets a logarithm of minus infinity, which the model reports.
     """
     start = lookup(F.col("species"), dict(design.series_start), design.first_year)
     rows = corrected.unionByName(swans).filter(F.col("year") >= start)
@@ -44,22 +46,20 @@ def series_prep(
         "n",
     )
     n = F.when(F.col("filled") == F.col("year"), F.col("n"))
-    bad = F.raise_error(F.concat(F.lit("count without a logarithm: "), F.col("species")))
-    log_n = F.when(F.col("n") <= 0, bad.cast("double")).otherwise(F.ln("n"))
+    log_n = F.when(F.col("n") <= 0, F.lit(float("-inf"))).otherwise(F.ln("n"))
     return filled.select("species", F.col("filled").alias("year"), n.alias("n")).withColumn(
         "log_n", log_n
     )
 
 
-def _chunk_smoother(grid: int, chunks: int):
-    """The per-partition function: one (series, chunk) row in, one row per time step out."""
+def _posterior(grid: int):
+    """The per-partition function: one series in, one summary row per time step out."""
 
-    def nodes(chunk: int):
+    def nodes():
         # Midpoints in u with sd = 2 u^3: dense near zero, where short-noise series sit.
         u = (np.arange(grid) + 0.5) / grid
         sd, log_slope = SD_LIMIT * u**3, 2 * np.log(u)
-        eps = np.array_split(np.arange(grid), chunks)[chunk]
-        e, s = np.meshgrid(eps, np.arange(grid), indexing="ij")
+        e, s = np.meshgrid(np.arange(grid), np.arange(grid), indexing="ij")
         return sd[e].ravel(), sd[s].ravel(), (log_slope[e] + log_slope[s]).ravel()
 
     def smooth(y: np.ndarray, eps: np.ndarray, sigma: np.ndarray):
@@ -100,31 +100,6 @@ def _chunk_smoother(grid: int, chunks: int):
             var[t] = np.maximum(p - (p * p * n11 + 2 * p * q * n12 + q * q * n22), 0)
         return log_lik, mean, var
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                y = np.asarray(row.log_values, dtype=float)
-                if np.isnan(y[0]):
-                    raise ValueError(f"series {row.series}: the first value is missing")
-                eps, sigma, log_weight = nodes(row.chunk)
-                log_lik, mean, var = smooth(y, eps, sigma)
-                log_weight = log_weight + log_lik
-                yield pd.DataFrame(
-                    {
-                        "series": row.series,
-                        "time": row.times,
-                        "log_weight": [log_weight] * len(y),
-                        "node_mean": list(mean),
-                        "node_var": list(var),
-                    }
-                )
-
-    return run
-
-
-def _mixture_summary():
-    """The per-group function: all chunks of one (series, time) to one summary row."""
-
     def normal_cdf(z: np.ndarray) -> np.ndarray:
         # Rational approximation of the error function, absolute error below 1.5e-7.
         x = np.abs(z) / np.sqrt(2)
@@ -136,12 +111,7 @@ def _mixture_summary():
         upper = 0.5 * poly * np.exp(-x * x)
         return np.where(z > 0, 1 - upper, upper)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        log_weight = np.concatenate(part["log_weight"].to_list())
-        m = np.concatenate(part["node_mean"].to_list())
-        v = np.concatenate(part["node_var"].to_list())
-        w = np.exp(log_weight - log_weight.max())
-        w /= w.sum()
+    def summary(w: np.ndarray, m: np.ndarray, v: np.ndarray) -> list[float]:
         node = np.exp(m + v / 2)
         mean = float(w @ node)
         variance = float(w @ (node * node * np.expm1(v)) + w @ (node - mean) ** 2)
@@ -154,17 +124,34 @@ def _mixture_summary():
             below = normal_cdf((middle[:, None] - m) / s) @ w < target
             low, high = np.where(below, middle, low), np.where(below, high, middle)
         lcl, median, ucl = np.exp((low + high) / 2)
-        return pd.DataFrame(
-            {
-                "series": part["series"].iloc[:1],
-                "time": part["time"].iloc[:1],
-                "mean": mean,
-                "sd": variance**0.5,
-                "lcl": lcl,
-                "ucl": ucl,
-                "median": median,
-            }
-        )
+        return [mean, variance**0.5, lcl, ucl, median]
+
+    def status(times: np.ndarray, y: np.ndarray) -> str:
+        if len(set(times)) < len(times):
+            return "several values at one time"
+        if np.isinf(y).any():
+            return "count without a logarithm"
+        if np.isnan(y[0]):
+            return "first value missing"
+        return "ok"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        eps, sigma, log_weight = nodes()
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                y = np.asarray(row.log_values, dtype=float)
+                state = status(row.times, y)
+                if state == "ok":
+                    log_lik, mean, var = smooth(y, eps, sigma)
+                    w = np.exp(log_weight + log_lik - (log_weight + log_lik).max())
+                    w /= w.sum()
+                    values = np.array([summary(w, m, v) for m, v in zip(mean, var)])
+                else:
+                    values = np.full((len(y), 5), np.nan)
+                out = pd.DataFrame({"series": row.series, "time": row.times})
+                for i, name in enumerate(STATISTICS):
+                    out[name] = pd.Series(values[:, i]).astype("Float64")
+                yield out.assign(status=state)
 
     return run
 
@@ -175,13 +162,14 @@ def local_level_trend(
     time: str = "year",
     log_value: str = "log_n",
     grid: int = 80,
-    chunks: int = 8,
     tasks: int | None = None,
 ) -> DataFrame:
     """Posterior mean, sd, median and 95% limits of the level at every step of each series.
 
     ``series`` has one row per (key, time), NULL where nothing was counted. A series is as
-    long as the survey has periods, so its array is short whatever the size of the counts.
+    long as the survey has periods, so its array is short whatever the size of the counts, and
+    one row holds all that its posterior needs. ``status`` is ``ok`` or says why a series has no
+    estimates; other series are not touched by that.
     """
     spark = series.sparkSession
     key_type = series.schema[key].dataType.simpleString()
@@ -192,20 +180,11 @@ def local_level_trend(
         "series",
         F.col("points.t").alias("times"),
         F.transform("points.v", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("log_values"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
     )
     # A set number of tasks: the rows are small and would otherwise be merged into one.
-    spread = work.repartition(tasks or spark.sparkContext.defaultParallelism, "series", "chunk")
-    smoothed = spread.mapInPandas(
-        _chunk_smoother(grid, chunks),
-        f"series {key_type}, time {time_type}, log_weight array<double>, "
-        "node_mean array<double>, node_var array<double>",
-    )
-    summary = smoothed.groupBy("series", "time").applyInPandas(
-        _mixture_summary(),
-        f"series {key_type}, time {time_type}, mean double, sd double, lcl double, "
-        "ucl double, median double",
-    )
+    spread = work.repartition(tasks or spark.sparkContext.defaultParallelism, "series")
+    statistics = ", ".join(f"{name} double" for name in STATISTICS)
+    summary = spread.mapInPandas(_posterior(grid), f"series {key_type}, time {time_type}, {statistics}, status string")
     return summary.withColumnsRenamed({"series": key, "time": time})
 
 

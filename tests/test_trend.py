@@ -76,21 +76,22 @@ def test_limits_are_quantiles_of_the_dense_mixture(spark):
 
 def test_grid_has_converged_for_quiet_and_noisy_series(spark):
     df = frame(spark, {"noisy": make_series(20, 0.8), "quiet": make_series(20, 0.02)})
-    coarse, fine = fit(spark, df, grid=80), fit(spark, df, grid=160, chunks=16)
+    coarse, fine = fit(spark, df, grid=80), fit(spark, df, grid=160)
     for name in ("noisy", "quiet"):
         for c in ("mean", "lcl", "median", "ucl"):
             assert [r[c] for r in coarse[name]] == pytest.approx([r[c] for r in fine[name]], rel=3e-3)
 
 
-def test_chunks_do_not_change_the_result(spark):
-    df = frame(spark, {"a": make_series(8), "b": make_series(9)})
-    one, many = fit(spark, df, chunks=1), fit(spark, df, chunks=7)
-    for name in ("a", "b"):
-        for c in ("mean", "sd", "lcl", "ucl", "median"):
-            assert [r[c] for r in one[name]] == pytest.approx([r[c] for r in many[name]], rel=1e-9)
-
-
-def test_missing_first_value_is_rejected(spark):
-    df = frame(spark, {"a": [math.nan, 1.0, 2.0]})
-    with pytest.raises(Exception, match="first value is missing"):
-        trend.local_level_trend(df).collect()
+def test_a_bad_series_leaves_the_others_alone(spark):
+    good = make_series(8)
+    rows = frame(spark, {"a": good, "late": [math.nan, 1.0, 2.0], "zero": [1.0, -math.inf, 2.0]})
+    twice = spark.createDataFrame([("twice", 2001, 1.0), ("twice", 2001, 2.0)], rows.schema)
+    got = fit(spark, rows.unionByName(twice))
+    assert {s: {r.status for r in rs} for s, rs in got.items()} == {
+        "a": {"ok"},
+        "late": {"first value missing"},
+        "zero": {"count without a logarithm"},
+        "twice": {"several values at one time"},
+    }
+    assert [r["mean"] for r in got["a"]] == [r["mean"] for r in fit(spark, frame(spark, {"a": good}))["a"]]
+    assert all(r["mean"] is None and r.ucl is None for s in ("late", "zero", "twice") for r in got[s])
