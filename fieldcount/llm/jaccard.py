@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcount.llm.bytetext import SPACED, Words, grams, mix, signed, slices, tokenize
+from fieldcount.llm.cells import SCHEMA, CellCounts, cell, gather, ranks
 from fieldcount.llm.graph import components
-from fieldcount.llm.sketch import COUNT_SCHEMA, CellCounts, Bloom, bloom, cell, gather_counts, ranks
+from fieldcount.llm.sketch import Bloom, bloom
 from fieldcount.session import materialize
 
 SALTS = (0x1B873593, 0x2545F491, 0x38495AB5)
@@ -69,7 +70,7 @@ def _counts(texts: DataFrame, k: int) -> np.ndarray:
                 seen.add(grams(tokenize(batch["text"].slice(a, b - a), SPACED, lower=True).hash, k, salt=k))
         yield from seen.rows()
 
-    return gather_counts(texts.select("text").mapInArrow(run, COUNT_SCHEMA))
+    return gather(texts.select("text").mapInArrow(run, SCHEMA))
 
 
 def _profiles(texts: DataFrame, k: int, percent: int, rank) -> DataFrame:
@@ -95,43 +96,53 @@ def _kind(texts: DataFrame) -> str:
     return texts.schema["doc_id"].dataType.simpleString()
 
 
-def _sets(texts: DataFrame, ids: DataFrame, k: int, percent: int, rank) -> DataFrame:
-    """The sets of some documents, with their prefixes under the other orders."""
-    spark = texts.sparkSession
-    wanted = spark.sparkContext.broadcast(bloom(ids.select(F.xxhash64("doc_id").alias("key")), "key"))
+def _those(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Texts of some documents; a filter of fixed size spares most others the shuffle."""
+    wanted = texts.sparkSession.sparkContext.broadcast(bloom(ids.select(F.xxhash64("doc_id").alias("key")), "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.has(batch["key"].to_numpy()))).select(["doc_id", "text"])
+
+    keyed = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
+    return keyed.mapInArrow(run, f"doc_id {_kind(texts)}, text string")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def _filters(texts: DataFrame, k: int, percent: int, rank) -> DataFrame:
+    """Set sizes and prefixes under the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.has(batch["key"].to_numpy())))
             for a, b in slices(batch["text"]):
                 sets = list(shingle_sets(tokenize(batch["text"].slice(a, b - a), SPACED, lower=True), k))
-                # a part of each hash will do here: a false match only passes the filter
+                # half of each hash will do here: a false match only passes the filter
                 others = [
                     _lists([prefix(s, rank.value, salt, percent).astype(np.uint32).view(np.int32) for s in sets], pa.int32())
                     for salt in SALTS[1:]
                 ]
-                whole = pa.array([s.tobytes() for s in sets], pa.binary())
-                sizes = pa.array([len(s) for s in sets], pa.int64())
-                ids_ = batch["doc_id"].slice(a, b - a)
-                yield pa.record_batch([ids_, sizes, *others, whole], names=["doc_id", "n", "second", "third", "shingles"])
+                columns = [batch["doc_id"].slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), *others]
+                yield pa.record_batch(columns, names=["doc_id", "n", "second", "third"])
 
-    keyed = texts.select("doc_id", "text", F.xxhash64("doc_id").alias("key"))
-    schema = f"doc_id {_kind(texts)}, n long, second array<int>, third array<int>, shingles binary"
-    return keyed.mapInArrow(run, schema).join(ids, "doc_id", "left_semi")
+    return texts.mapInArrow(run, f"doc_id {_kind(texts)}, n long, second array<int>, third array<int>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int, rank) -> DataFrame:
-    """Those of the pairs (a, b) that are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(texts, ids, k, percent, rank), "sets")
+    """Those of the pairs (a, b) that are similar enough.
+
+    The other orders' filters see small rows only; the texts of what passes follow.
+    """
+    filters = materialize(_filters(_those(texts, _ends(pairs)), k, percent, rank), "filters")
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("doc_id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in columns])
+    def side(name: str) -> DataFrame:
+        return filters.select(*[F.col(c).alias(name if c == "doc_id" else f"{name}_{c}") for c in filters.columns])
 
-    fast = ["n", "second", "third"]
     left = (
-        pairs.join(side("a", *fast), "a")
-        .join(side("b", *fast), "b")
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
         .filter(
             (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"))
             & F.arrays_overlap("a_second", "b_second")
@@ -140,25 +151,32 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int, rank) ->
         .select("a", "b")
         .distinct()
     )
+    left = materialize(left, "filtered")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch["a_shingles"], batch["b_shingles"]):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sides = [shingle_sets(tokenize(part[c], SPACED, lower=True), k) for c in ("a_text", "b_text")]
+                for x, y in zip(*sides):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = _kind(texts)
-    shipped = left.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b")
-    verified = shipped.select("a", "b", "a_shingles", "b_shingles").mapInArrow(run, f"a {kind}, b {kind}")
+    shipped = _those(texts, _ends(left))
+    pairs_of_texts = left.join(shipped.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a").join(
+        shipped.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b"
+    )
+    verified = pairs_of_texts.select("a", "b", "a_text", "b_text").mapInArrow(run, f"a {kind}, b {kind}")
     return materialize(verified, "similar")
 
 
-def _with_any(rows: DataFrame, known: Bloom) -> DataFrame:
-    """(token, doc_id, n) of the prefix tokens that the filter may hold."""
-    shared = rows.sparkSession.sparkContext.broadcast(known)
+def _with_any(profiles: DataFrame, known: Bloom) -> DataFrame:
+    """A row for each prefix token that the filter may hold."""
+    shared = profiles.sparkSession.sparkContext.broadcast(known)
+    names = ["doc_id", "n", "one", "two"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,11 +184,16 @@ def _with_any(rows: DataFrame, known: Bloom) -> DataFrame:
             counts = np.diff(batch["prefix"].offsets.to_numpy())
             ok = np.flatnonzero(shared.value.has(tokens))
             row = pa.array(np.repeat(np.arange(len(counts)), counts)[ok])
-            yield pa.record_batch(
-                [pa.array(tokens[ok]), batch["doc_id"].take(row), batch["n"].take(row)], names=["token", "doc_id", "n"]
-            )
+            yield pa.record_batch([pa.array(tokens[ok]), *[batch[c].take(row) for c in names]], names=["token", *names])
+
+    schema = f"token long, doc_id {_kind(profiles)}, n long, one long, two long"
+    return profiles.select(*names, "prefix").mapInArrow(run, schema)
 
-    return rows.select("doc_id", "n", "prefix").mapInArrow(run, f"token long, doc_id {_kind(rows)}, n long")
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Tokens that several documents have, with the smallest of these."""
+    ends = rows.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    return ends.filter("least != most").select("token", "least")
 
 
 def near_duplicates(
@@ -195,19 +218,13 @@ def near_duplicates(
         linkable.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_equal")),
         "equal-sets",
     )
-    reps = profiles.join(
-        equal.select("n", "one", "two", F.col("rep").alias("doc_id")), ["n", "one", "two", "doc_id"], "left_semi"
-    ).select("doc_id", "n", "prefix")
-    reps = materialize(reps.dropDuplicates(["doc_id", "n"]), "representatives")
-    buckets = materialize(
-        reps.select(F.explode("prefix").alias("token"), "doc_id")
-        .groupBy("token")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        .filter("least != most")
-        .select("token", "least"),
-        "buckets",
-    )
-    rows = materialize(_with_any(reps, bloom(buckets, "token")).join(buckets, "token"), "bucket-rows")
+    tokens = _buckets(linkable.select(F.explode("prefix").alias("token"), "doc_id"))
+    tokens = materialize(tokens.select("token"), "shared-tokens")
+    # of documents with equal sets, one stands for all
+    chosen = equal.select("n", "one", "two", F.col("rep").alias("doc_id"))
+    shared = _with_any(linkable, bloom(tokens, "token")).join(chosen, ["n", "one", "two", "doc_id"], "left_semi")
+    shared = materialize(shared.select("token", "doc_id", "n"), "token-rows")
+    rows = materialize(shared.join(_buckets(shared), "token"), "bucket-rows")
     first = rows.filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = materialize(first, "first-pairs")
     links = _similar(first, texts, k, percent, rank)
