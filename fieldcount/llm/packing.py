@@ -12,9 +12,13 @@ more than a bucket.
 from __future__ import annotations
 
 import bisect
+import gc
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcount.llm.bytetext import slices
+from fieldcount.llm.bytetext import SPACED, raw, slices, tokenize
 from fieldcount.session import materialize
 
 END_ID = 1
@@ -34,62 +38,93 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Ids of texts. Words between ASCII spaces are encoded once and looked up from then on.
+    """Ids of texts. Words between ASCII spaces are encoded once and looked up from then on, by hash.
 
     The tokenizer drops white space and never joins characters across it, so a text's ids are its
-    words' ids. New words are encoded together; offsets tell which ids are whose.
+    words' ids. New words of printable ASCII are lower-cased and split by the tokenizer's own
+    pattern, and each different part is encoded once; other new words are encoded together, and
+    offsets tell which ids are whose.
     """
 
-    MOST_WORDS = 300_000
+    MOST_WORDS = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        plan = json.loads(self.tokenizer.to_str())
+        split = next(s for s in plan["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split")
+        self.parts = re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
+        # added tokens stand for themselves in a text: words with what they begin with go the long way
+        self.special = {t["content"][:2] for t in plan["added_tokens"]}
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.flat: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        self.place: dict[int, int] = {}
+        self.part_ids: dict[str, list[int]] = {}
+        self.flat = np.zeros(0, np.uint32)
         self.first = np.zeros(1, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        counts, ids = [], []
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(w) + 1 for w in part)])
-            where = np.array([a for a, _ in found.offsets], np.int64)
-            counts.append(np.diff(np.searchsorted(where, begin)))
-            ids.append(np.array(found.ids, np.uint32))
-        self.place.update(zip(words, range(len(self.first) - 1, len(self.first) - 1 + len(words))))
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(counts))])
-        self.flat = [np.concatenate([*self.flat, *ids])]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = [None] * len(words)
+        others: list[int] = []
+        known, encode, split = self.part_ids, self.tokenizer.model.tokenize, self.parts.findall
+        for special in self.special:
+            others += [i for i, word in enumerate(words) if special in word]
+        apart = set(others)
+        for i, word in enumerate(words):
+            if i in apart:
+                continue
+            if not (word.isascii() and word.isprintable()):
+                others.append(i)
+                continue
+            ids: list[int] = []
+            for part in split(word.lower()):
+                found = known.get(part)
+                if found is None:
+                    found = known[part] = [t.id for t in encode(part)]
+                ids += found
+            out[i] = ids
+        for at in range(0, len(others), 500):
+            chosen = others[at : at + 500]
+            found = self.tokenizer.encode(" ".join([words[i] for i in chosen]), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(words[i]) + 1 for i in chosen)])
+            edges = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), begin).tolist()
+            ids = found.ids
+            for n, i in enumerate(chosen):
+                out[i] = ids[edges[n] : edges[n + 1]]
+        return out
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        gc.disable()  # very many small lists come into being, none in a cycle
+        try:
+            ids = self._ids(words)
+        finally:
+            gc.enable()
+        self.place.update(zip(hashes, range(len(self.first) - 1, len(self.first) - 1 + len(words))))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in ids])])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids start (one more at the end)."""
-        words = [_split(t) for t in texts]
         if len(self.place) > self.MOST_WORDS:
             self.forget()
-        new = set().union(*words).difference(self.place)
+        # the tokenizer lower-cases ASCII letters wherever they stand, but for its added tokens
+        plain = not any(special.encode() in raw(texts)[0].tobytes() for special in self.special)
+        words = tokenize(texts, SPACED, lower=plain)
+        hashes, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        new = [i for i, key in enumerate(keys) if key not in self.place]
         if new:
-            self.learn(sorted(new))
-        get = self.place.__getitem__
-        at = np.array([i for w in words for i in map(get, w)], np.int64)
-        size = self.first[at + 1] - self.first[at]
+            data = words.buf.data
+            begin, end = words.start[at[new]].tolist(), words.end[at[new]].tolist()
+            self.learn([keys[i] for i in new], [str(data[a:b], "utf-8") for a, b in zip(begin, end)])
+        place = np.array([self.place[key] for key in keys], np.int64)[back]
+        size = self.first[place + 1] - self.first[place]
         ends = np.concatenate([[0], np.cumsum(size)])
-        take = np.repeat(self.first[at] - ends[:-1], size) + np.arange(ends[-1])
-        return self.flat[0][take], ends[np.cumsum([0, *map(len, words)])]
-
-
-def _split(text: str) -> list[str]:
-    """Words between white space; control characters that only Python takes for it stay inside."""
-    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        for c in "\t\n\r\x0b\x0c":
-            text = text.replace(c, " ")
-        return [w for w in text.split(" ") if w]
-    return text.split()
+        take = np.repeat(self.first[place] - ends[:-1], size) + np.arange(ends[-1])
+        return self.flat[take], ends[words.first]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -108,7 +143,7 @@ def tokenized_pieces(
         for batch in batches:
             for a, b in slices(batch["text"]):
                 rows = []
-                ids, first = own.encode(batch["text"].slice(a, b - a).to_pylist())
+                ids, first = own.encode(batch["text"].slice(a, b - a))
                 for i, key in enumerate(batch["doc_id"].slice(a, b - a).to_pylist()):
                     doc = np.append(ids[first[i] : first[i + 1]], np.uint32(END_ID)).astype("<u4")
                     for n, at in enumerate(range(0, len(doc), most)):
@@ -203,39 +238,41 @@ def _exchange(low: list[int], high: list[int], sizes: list[int], room: int) -> t
     return found
 
 
-def _carried(bins: list[list[int]], fill: list[int], most: int) -> set[int]:
-    """The emptiest bins, with a quarter of the bucket's pieces at most, so that rounds end."""
-    out, pieces = set(), 0
-    for b in sorted((b for b in range(len(bins)) if fill[b] < most), key=lambda b: fill[b])[:CARRIED]:
-        pieces += len(bins[b])
-        if 4 * pieces > sum(map(len, bins)):
-            break
-        out.add(b)
-    return out
+def _round(units: DataFrame, buckets: int, level: int, most: int, bucket: int) -> DataFrame:
+    """Pack each bucket; bins that go on have no sequence_id yet.
 
-
-def _round(pieces: DataFrame, buckets: int, level: int, most: int, last: bool) -> DataFrame:
-    """Pack each bucket; bins that go on have no sequence_id yet."""
+    A unit is a piece, or a bin of many units that goes on as one; so few units go on, however
+    short the pieces are. In the last round units of a moderate number of pieces are taken apart.
+    """
+    together = max(1, bucket // 128)
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "start", "ids_crc32"], na_position="first").reset_index(drop=True)
-        sizes = rows["length"].tolist()
+        rows = rows.sort_values("unit").reset_index(drop=True)
+        apart = buckets == 1 and len(rows) <= 8 * bucket
+        unit, names = pd.factorize(rows.index if apart else rows["unit"])
+        sizes = np.bincount(unit, rows["length"], len(names)).astype(int).tolist()
+        first = np.searchsorted(unit, np.arange(len(names) + 1)).tolist()
+        length = rows["length"].tolist()
         bins = swap_search(best_fit(sizes, most), sizes, most)
         fill = [sum(sizes[i] for i in b) for b in bins]
-        on = set() if last else _carried(bins, fill, most)
+        low = sorted((b for b in range(len(bins)) if fill[b] < most), key=lambda b: fill[b])
+        on = set(low[:CARRIED]) if buckets > 1 else set()
         base = (level << 56) + (int(rows["bucket"].iloc[0]) << 24)
-        rows["sequence_id"] = pd.array([pd.NA] * len(rows), "Int64")
-        rows["offset"] = np.int64(0)
+        sequence, offset, new_unit = [None] * len(rows), [0] * len(rows), rows["unit"].tolist()
         for b, members in enumerate(bins):
-            if b not in on:
-                order = sorted(members)
-                rows.loc[order, "sequence_id"] = base + b
-                rows.loc[order, "offset"] = np.cumsum([0, *(sizes[i] for i in order[:-1])])
-        return rows.drop(columns="bucket")
+            at, places = 0, [r for i in sorted(members) for r in range(first[i], first[i + 1])]
+            for r in places:
+                if b not in on:
+                    sequence[r], offset[r] = base + b, at
+                    at += length[r]
+                elif len(members) > together:
+                    new_unit[r] = -1 - base - b
+        out = rows.drop(columns="bucket")
+        return out.assign(unit=new_unit, sequence_id=pd.array(sequence, "Int64"), offset=offset)
 
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(buckets)).cast("int")
-    dealt = pieces.withColumn("bucket", bucket)
-    return dealt.groupBy("bucket").applyInPandas(pack, f"{PIECES}, sequence_id long, offset long")
+    number = F.pmod(F.xxhash64("unit", F.lit(level)), F.lit(buckets)).cast("int")
+    dealt = units.withColumn("bucket", number)
+    return dealt.groupBy("bucket").applyInPandas(pack, f"{PIECES}, unit long, sequence_id long, offset long")
 
 
 def pack(
@@ -252,13 +289,13 @@ def pack(
     are told apart by nothing but their place. Ids that are no integers become null. Other columns
     are dropped. An empty table gives no rows.
     """
-    todo = materialize(tokenized_pieces(docs, tokenizer_path, most, id_col, text_col), "pieces")
-    n, level, done = todo.count(), 0, None
+    pieces = materialize(tokenized_pieces(docs, tokenizer_path, most, id_col, text_col), "pieces")
+    todo, n, level, done = pieces.withColumn("unit", F.monotonically_increasing_id()), pieces.count(), 0, None
     while done is None or n:
         buckets = max(1, -(-n // bucket))
-        packed = materialize(_round(todo, buckets, level, most, last=buckets == 1), f"packed{level}")
-        settled = packed.filter(F.col("sequence_id").isNotNull())
+        packed = materialize(_round(todo, buckets, level, most, bucket), f"packed{level}")
+        settled = packed.filter(F.col("sequence_id").isNotNull()).drop("unit")
         done = settled if done is None else done.unionByName(settled)
         todo = packed.filter(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
-        n, level = 0 if buckets == 1 else todo.count(), level + 1
+        n, level = 0 if buckets == 1 else todo.select("unit").distinct().count(), level + 1
     return done
