@@ -12,8 +12,10 @@ Groups of any size cost no pairs within the group:
 - Documents with equal sets are one node.
 - Of the documents that share a prefix shingle, each is first compared with the smallest one only.
   Verified links make components. Shingles whose documents are all in one component are finished.
-- Where a shingle still joins several components, the documents of different components are paired,
-  and what was not compared yet is. After that no pair that could link components is left.
+- Some more rounds draw another document of each other bucket and compare those with it that are in
+  other components; a large group of near copies grows together in these.
+- Where a shingle then still joins several components, the documents of different components are
+  paired, and what was not compared yet is. After that no pair that could link components is left.
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ from fieldcount.llm.graph import components
 from fieldcount.llm.sketch import Bloom, bloom
 from fieldcount.session import materialize
 
+#: Rounds of comparing a bucket with one of its documents, after the first.
+ROUNDS = 3
+
 SALTS = (0x1B873593, 0x2545F491, 0x38495AB5)
 
 
@@ -196,6 +201,17 @@ def _buckets(rows: DataFrame) -> DataFrame:
     return ends.filter("least != most").select("token", "least")
 
 
+def _still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of the tokens whose documents the links do not join yet, with their components."""
+    known = components(links).withColumnRenamed("node", "doc_id")
+    placed = rows.join(known, "doc_id", "left").select(
+        "token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
+    )
+    placed = materialize(placed, "placed")
+    ends = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return materialize(placed.join(ends.filter("x != y").select("token"), "token", "left_semi"), "open-rows")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -227,21 +243,23 @@ def near_duplicates(
     rows = materialize(shared.join(_buckets(shared), "token"), "bucket-rows")
     first = rows.filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = materialize(first, "first-pairs")
-    links = _similar(first, texts, k, percent, rank)
-    known = components(links)
-    placed = rows.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
-    )
-    placed = materialize(placed, "placed")
-    mixed = (
-        placed.groupBy("token")
-        .agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        .filter("x != y")
-        .select("token")
-    )
-    open_rows = materialize(placed.join(mixed, "token", "left_semi"), "open-rows")
+    links, tested = _similar(first, texts, k, percent, rank), first
+    open_rows = _still_apart(rows, links)
+    left = materialize(_those(texts, open_rows.select("doc_id").distinct()), "open-texts")
+    for number in range(ROUNDS):
+        # another document of each bucket, against those that are apart from it
+        pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(number)).alias("draw"), "doc_id", "component")).alias("pick")
+        drawn = open_rows.groupBy("token").agg(pick).select(
+            "token", F.col("pick.doc_id").alias("other"), F.col("pick.component").alias("other_component")
+        )
+        pairs = open_rows.join(drawn, "token").filter("component != other_component")
+        pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "drawn-pairs")
+        tested = tested.unionByName(pairs)
+        links = links.unionByName(_similar(pairs, left, k, percent, rank))
+        open_rows = _still_apart(rows, links)
     one, two = open_rows.alias("p"), open_rows.alias("q")
-    second = (
+    last = (
         one.join(
             two,
             (F.col("p.token") == F.col("q.token"))
@@ -251,9 +269,9 @@ def near_duplicates(
         )
         .select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
         .distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(tested, ["a", "b"], "left_anti")
     )
-    links = links.unionByName(_similar(materialize(second, "second-pairs"), texts, k, percent, rank))
+    links = links.unionByName(_similar(materialize(last, "last-pairs"), left, k, percent, rank))
     ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = components(links).select(F.col("node").alias("rep"), "component")
     groups = equal.join(found, "rep", "left").join(ends, "rep", "left")
