@@ -16,6 +16,10 @@ Groups of any size cost no pairs within the group:
   other components; a large group of near copies grows together in these.
 - Where a shingle then still joins several components, the documents of different components are
   paired, and what was not compared yet is. After that no pair that could link components is left.
+
+Links are then counted within each component, where all of them are: its different sets are dealt into
+blocks by size and hash, every two blocks whose sizes allow a link meet in a task of their own, and
+that compares all of their pairs and gives a count for each set. Pairs never become rows.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from fieldcount.session import materialize
 
 #: Rounds of comparing a bucket with one of its documents, after the first.
 ROUNDS = 3
+#: Sets, and shingles of them, that a block has on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 SALTS = (0x1B873593, 0x2545F491, 0x38495AB5)
 
@@ -212,6 +218,115 @@ def _still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(placed.join(ends.filter("x != y").select("token"), "token", "left_semi"), "open-rows")
 
 
+def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of ``one`` has in common with each of ``two``."""
+    sides = [np.concatenate(x) for x in (one, two)]
+    common = np.intersect1d(*sides)
+    out = np.zeros((len(one), len(two)), np.int64)
+    placed = []
+    for sets, values in zip((one, two), sides):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, values)
+        ok = at < len(common)
+        ok[ok] = common[at[ok]] == values[ok]
+        order = np.argsort(at[ok], kind="stable")
+        placed.append((row[ok][order], at[ok][order]))
+    width = 1 << 12
+    for begin in range(0, len(common), width):
+        dense = []
+        for sets, (row, at) in zip((one, two), placed):
+            a, b = np.searchsorted(at, [begin, begin + width])
+            has = np.zeros((len(sets), min(width, len(common) - begin)), np.float32)
+            has[row[a:b], at[a:b] - begin] = 1
+            dense.append(has)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def _links_of(given: pa.Table, k: int, percent: int) -> pa.Table:
+    """The number of links of each set of one or two blocks to the sets of the other, or of the same."""
+    names = ["n", "one", "two"]
+    keys = np.stack([given[c].to_numpy() for c in names], 1)
+    chosen = np.sort(np.unique(keys, axis=0, return_index=True)[1])
+    given, keys = given.take(pa.array(chosen)), keys[chosen]
+    ids = given["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+    text = given["text"].combine_chunks()
+    sets = [s for a, b in slices(text) for s in shingle_sets(tokenize(text.slice(a, b - a), SPACED, lower=True), k)]
+    side = given["side"].to_numpy()
+    left = np.flatnonzero(side <= 0)
+    right = np.flatnonzero(side >= 0)
+    links = np.zeros(len(sets), np.int64)
+    if len(left) and len(right):
+        both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+        n = keys[:, 0]
+        near = 100 * both >= percent * (n[left][:, None] + n[right][None] - both)
+        near &= ids[left][:, None] != ids[right][None]
+        links[left] = near.sum(1)
+        if (side != 0).any():
+            links[right] = near.sum(0)
+    kept = links > 0
+    return pa.table([*[pa.array(keys[kept, i]) for i in range(3)], pa.array(links[kept])], names=[*names, "n_links"])
+
+
+def _link_counts(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(n, one, two, n_links) of the different sets (n, one, two, rep, component) that link.
+
+    Classes of sizes are a little wider than what the threshold allows, so sets that link are of the
+    same class or of neighbouring ones.
+    """
+    names = ["n", "one", "two"]
+    totals = members.groupBy("component").agg(F.count(F.lit(1)).alias("n_sets"))
+    known = members.join(totals, "component")
+    pairs = known.filter("n_sets = 2").select(*names, F.lit(1).cast("long").alias("n_links"))
+    step = float(np.log(1.001 * 100 / percent))
+    many = known.filter("n_sets > 2").withColumn("class", F.floor(F.log("n") / step))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    groups = materialize(many.groupBy("component", "class").agg(blocks.alias("blocks")), "size-blocks")
+
+    def of(shift: int, name: str) -> DataFrame:
+        return groups.select("component", (F.col("class") - shift).alias("class"), F.col("blocks").alias(name))
+
+    def tasks(number, low, mine, theirs, side):
+        every = F.when(number.isNotNull(), F.sequence(F.lit(0).cast("long"), number - 1))
+        one = F.transform(every, lambda j: F.struct(low.alias("low"), mine(j).alias("p"), theirs(j).alias("q"), side(j).alias("side")))
+        return F.coalesce(one, F.array())
+
+    block, size = F.col("block"), F.col("class")
+    own = tasks(
+        F.col("blocks"), 2 * size, lambda j: F.least(block, j), lambda j: F.greatest(block, j),
+        lambda j: F.signum(block - j).cast("int"),
+    )
+    above = tasks(F.col("above"), 2 * size + 1, lambda j: block, lambda j: j, lambda j: F.lit(-1))
+    below = tasks(F.col("below"), 2 * size - 1, lambda j: j, lambda j: block, lambda j: F.lit(1))
+    dealt = many.join(groups, ["component", "class"]).join(of(1, "above"), ["component", "class"], "left")
+    dealt = dealt.join(of(-1, "below"), ["component", "class"], "left")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(*names), F.col("blocks")))
+    dealt = materialize(
+        dealt.select(*names, F.col("rep").alias("doc_id"), "component", F.concat(own, above, below).alias("tasks")), "dealt-sets"
+    )
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch["text"]):
+                part = batch.slice(a, b - a)
+                sets = list(shingle_sets(tokenize(part["text"], SPACED, lower=True), k))
+                columns = [pa.array([len(s) for s in sets], pa.int64())]
+                for salt in (1, 2):
+                    each = [np.sum(mix(s ^ np.uint64(salt)), dtype=np.uint64) for s in sets]
+                    columns.append(pa.array(signed(np.array(each, np.uint64))))
+                yield pa.record_batch([part["doc_id"], part["text"], *columns], names=["doc_id", "text", *names])
+
+    signed_texts = _those(texts, dealt.select("doc_id").distinct()).mapInArrow(
+        sign, f"doc_id {_kind(texts)}, text string, n long, one long, two long"
+    )
+    rows = signed_texts.join(dealt, ["doc_id", *names]).select("*", F.inline("tasks")).drop("tasks")
+    counted = rows.groupBy("component", "low", "p", "q").applyInArrow(
+        lambda given: _links_of(given, k, percent), "n long, one long, two long, n_links long"
+    )
+    counted = counted.groupBy(*names).agg(F.sum("n_links").alias("n_links"))
+    return materialize(pairs.unionByName(counted), "link-counts")
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -221,9 +336,8 @@ def near_duplicates(
     or more; ``component_id`` is the smallest id reachable by links. Words are runs of anything but
     ASCII white space, with A-Z in lower case. A document of fewer words has one shingle of all its
     words; null, empty and blank texts have none, link with nothing and keep their own id.
-    ``n_equal`` is the number of documents with the same set, ``n_links`` the number of verified
-    links between this set and different ones (links within a component that another link already
-    made are not all looked for). Rows that share an id are one document with several texts; rows
+    ``n_equal`` is the number of documents with the same set, ``n_links`` the number of different sets
+    that this one links with. Rows that share an id are one document with several texts; rows
     without an id link with nothing. Other columns are not looked at.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -272,9 +386,10 @@ def near_duplicates(
         .join(tested, ["a", "b"], "left_anti")
     )
     links = links.unionByName(_similar(materialize(last, "last-pairs"), left, k, percent, rank))
-    ends = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = components(links).select(F.col("node").alias("rep"), "component")
-    groups = equal.join(found, "rep", "left").join(ends, "rep", "left")
+    placed = materialize(equal.join(found, "rep", "left"), "placed-sets")
+    counts = _link_counts(placed.filter("component IS NOT NULL").drop("n_equal"), texts, k, percent)
+    groups = placed.join(counts, ["n", "one", "two"], "left")
     return profiles.join(groups, ["n", "one", "two"], "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -91,3 +91,19 @@ def repeats(rows, size=20):
             seen.add(window)
         out.append((key, w, gone))
     return out
+
+
+def links(rows, k=4, percent=85):
+    """Of each document, how many different sets its own links with."""
+    sets = {key: frozenset(shingles(text, k)) for key, text in rows}
+    different = sorted({s for s in sets.values() if s}, key=len)
+    found = defaultdict(int)
+    for i, a in enumerate(different):
+        for b in different[i + 1 :]:
+            if 100 * len(a) < percent * len(b):
+                break
+            both = len(a & b)
+            if 100 * both >= percent * (len(a) + len(b) - both):
+                found[a] += 1
+                found[b] += 1
+    return sorted((key, found[s]) for key, s in sets.items())

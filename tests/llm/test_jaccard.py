@@ -41,3 +41,35 @@ def test_empty_table_and_rows_without_id(spark, empty):
         (5, 5),
         (None, None),
     ]
+
+
+def links(df):
+    return sorted(map(tuple, df.select("doc_id", "n_links").collect()))
+
+
+def test_links_equal_brute_force(docs, documents):
+    assert links(jaccard.near_duplicates(docs, 4, 85)) == brute.links(documents, 4, 85)
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_links_within_a_component_are_all_counted(spark, monkeypatch, block):
+    """Also over blocks of all sizes, and where an id has several texts."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = random.Random(5)
+    made = [(i, " ".join(f"w{j}" for j in range(60)) + f" x{i}") for i in range(4)]
+    for i in range(40):
+        words = [f"v{j}" for j in range(100 + rng.randrange(60))]
+        for _ in range(rng.choice([0, 1, 2])):
+            words[rng.randrange(len(words))] = f"y{i}"
+        made.append((10 + i, " ".join(words)))
+    made.append((90, made[0][1]))
+    got = links(jaccard.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 4, 85))
+    assert got == brute.links(made)
+    assert [n for _, n in got[:4]] == [3, 3, 3, 3]
+
+
+def test_links_of_repeated_ids(spark):
+    texts = [" ".join(f"w{j}" for j in range(60)) + f" x{i}" for i in range(4)]
+    made = list(zip([1, 1, 2, 3, 3], [*texts, texts[3]]))
+    got = links(jaccard.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 4, 85))
+    assert got == [(1, 2), (1, 2), (2, 3), (3, 3), (3, 3)]
