@@ -9,8 +9,8 @@ symbol of the window, bends the sum, and predicts first a class of symbols of li
 the symbol in its class, so the cost of a word does not depend on the number of symbols.
 
 Training is spread like the data: each task goes over all of its documents and learns at every
-``stride``-th word of each, and the tasks' networks are averaged by the words they learnt at; that is
-repeated for a number of rounds. What is gathered grows with the number of tasks, what the driver gets
+``stride``-th word of each, and the tasks' networks are averaged by the words they learnt at. Each round
+begins at another word, and there are as many rounds as the stride at least, so every word is learnt at. What is gathered grows with the number of tasks, what the driver gets
 is one network.
 """
 
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcount.llm.bytetext import SPACED, mix, signed, slices, tokenize
+from fieldcount.llm.bytetext import SPACED, Words, mix, signed, slices, tokenize
 from fieldcount.session import materialize
 
 CLASSES, PER_CLASS = 64, 64
@@ -129,34 +129,43 @@ class WindowNet:
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, sums: np.ndarray, rate: float) -> None:
-        """One step of Adagrad; ``sums`` holds the squared gradients so far."""
+        """One step of Adagrad; ``sums`` holds the squared gradients so far.
+
+        Of the vectors only those of the symbols around are touched; the others' gradients are 0.
+        """
         vectors, _, to_class, class_bias, to_symbol, symbol_bias = self.parts
-        grad = WindowNet(np.zeros_like(self.flat))
-        n = len(target)
+        squares, n = WindowNet(sums).parts, len(target)
+        grads = [None, *map(np.zeros_like, self.parts[1:])]
         order = np.argsort(target // PER_CLASS, kind="stable")
         around, target = around[order], target[order]
         kind, member = target // PER_CLASS, target % PER_CLASS
         hidden = self.hidden(around)
         wrong = _softmax(hidden @ to_class + class_bias)
         wrong[np.arange(n), kind] -= 1
-        grad.parts[2][:] = hidden.T @ wrong
-        grad.parts[3][:] = wrong.sum(0)
+        grads[2][:] = hidden.T @ wrong
+        grads[3][:] = wrong.sum(0)
         back = wrong @ to_class.T
         edges = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in np.unique(kind).tolist():
             part = slice(edges[c], edges[c + 1])
             wrong = _softmax(hidden[part] @ to_symbol[c] + symbol_bias[c])
             wrong[np.arange(len(wrong)), member[part]] -= 1
-            grad.parts[4][c] = hidden[part].T @ wrong
-            grad.parts[5][c] = wrong.sum(0)
+            grads[4][c] = hidden[part].T @ wrong
+            grads[5][c] = wrong.sum(0)
             back[part] += wrong @ to_symbol[c].T
         back *= 1 - hidden * hidden
-        grad.parts[1][:] = back.sum(0)
+        grads[1][:] = back.sum(0)
+        for part, square, grad in zip(self.parts[1:], squares[1:], grads[1:]):
+            grad /= n
+            square += grad * grad
+            part -= rate * grad / np.sqrt(square + 1e-8)
         for place in range(2 * SIDE):
-            np.add.at(grad.parts[0][place], around[:, place], back)
-        grad.flat /= n
-        sums += grad.flat * grad.flat
-        self.flat -= rate * grad.flat / np.sqrt(sums + 1e-8)
+            by = np.argsort(around[:, place], kind="stable")
+            symbols, begins = np.unique(around[by, place], return_index=True)
+            grad = np.add.reduceat(back[by], begins, axis=0) / n
+            square = squares[0][place, symbols] + grad * grad
+            squares[0][place, symbols] = square
+            vectors[place, symbols] -= rate * grad / np.sqrt(square + 1e-8)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -181,6 +190,19 @@ def windows(symbols: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> np.nd
     return out
 
 
+def learnt_at(part: Words, stride: int, number: int) -> np.ndarray:
+    """Words that a round learns at: each ``stride``-th of a document, from one that its first word decides.
+
+    Any ``stride`` rounds on end have each word once, however the documents are dealt to tasks.
+    """
+    size = np.diff(part.first)
+    begin = part.first[:-1]
+    shift = np.zeros(len(size), np.int64)
+    shift[size > 0] = (part.hash[begin[size > 0]] % np.uint64(stride)).astype(np.int64)
+    within = np.arange(len(part.hash)) - np.repeat(begin - shift, size)
+    return np.flatnonzero((within + number) % stride == 0)
+
+
 def _trained(texts: DataFrame, words, net: WindowNet, stride: int, batch: int, rate: float, number: int) -> WindowNet:
     """The tasks' networks, averaged by the number of words that each learnt at."""
     start = texts.sparkSession.sparkContext.broadcast(net.flat)
@@ -194,10 +216,7 @@ def _trained(texts: DataFrame, words, net: WindowNet, stride: int, batch: int, r
                 if not len(part.hash):
                     continue
                 symbols = words.value.symbols(part.hash)
-                # each document begins at another of its first words, so that all places are learnt at
-                within = np.arange(len(symbols)) - np.repeat(part.first[:-1], np.diff(part.first))
-                shift = np.repeat(np.arange(len(part.first) - 1), np.diff(part.first)) + number
-                at = np.flatnonzero((within + shift) % stride == 0)
+                at = learnt_at(part, stride, number)
                 more = windows(symbols, part.first, at), symbols[at]
                 around, target = more if rest is None else tuple(np.concatenate(x) for x in zip(rest, more))
                 full = len(target) // batch * batch
@@ -240,7 +259,7 @@ def _trained(texts: DataFrame, words, net: WindowNet, stride: int, batch: int, r
 def pseudo_likelihood(
     docs: DataFrame,
     rounds: int = 2,
-    stride: int = 8,
+    stride: int = 2,
     batch: int = 2048,
     rate: float = 0.1,
     id_col: str = "doc_id",
@@ -251,8 +270,11 @@ def pseudo_likelihood(
     Words are runs of anything but ASCII white space, with A-Z in lower case; all of them are scored.
     Null, empty and blank texts have no words, a sum of 0 and no mean. Repeated rows are scored each
     (and learnt from each). Other columns are not looked at; an empty table gives no rows. Results
-    vary a little with how the rows are dealt to tasks.
+    vary a little with how the rows are dealt to tasks. ``rounds`` below ``stride`` are refused, as
+    some words would not be learnt at.
     """
+    if rounds < stride:
+        raise ValueError(f"{rounds} rounds leave out words at a stride of {stride}")
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
     words = context.broadcast(vocabulary(texts))

@@ -107,3 +107,21 @@ def test_pseudo_likelihood_of_odd_rows(spark, docs, documents, empty):
         assert got[key]["n_tokens"] == n
         assert (got[key]["mean_log_likelihood"] is None) == (n == 0)
     assert pseudolikelihood.pseudo_likelihood(empty).collect() == []
+
+
+def test_pseudo_likelihood_learns_at_every_word(spark, docs):
+    """By its defaults, and once each."""
+    import inspect
+
+    import pyarrow as pa
+
+    given = inspect.signature(pseudolikelihood.pseudo_likelihood).parameters
+    rounds, stride = given["rounds"].default, given["stride"].default
+    texts = pa.array(["", "a", "b c", "d e f g h", "a b c d e f g h i j k l m n o p q", " "])
+    part = pseudolikelihood.tokenize(texts, pseudolikelihood.SPACED, lower=True)
+    seen = np.concatenate([pseudolikelihood.learnt_at(part, stride, i) for i in range(rounds)])
+    assert set(seen.tolist()) == set(range(len(part.hash)))
+    seen = np.concatenate([pseudolikelihood.learnt_at(part, 7, i) for i in range(7)])
+    assert sorted(seen.tolist()) == list(range(len(part.hash)))
+    with pytest.raises(ValueError, match="stride"):
+        pseudolikelihood.pseudo_likelihood(docs, rounds=2, stride=3)
