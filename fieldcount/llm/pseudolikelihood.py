@@ -3,8 +3,9 @@
 A window network predicts every word from the words on both its sides, itself left out, and a document's
 score is the sum of the logarithms of these conditional probabilities.
 
-Words are symbols: the most frequent ones of all documents each have one, the others share hashed ones
-and are taken as equally likely within theirs. The network adds a learned vector for each place and
+Words are symbols: the most frequent ones of all documents each have one, the others share hashed ones,
+whose probability is spread over their words by the words' counts. These counts stay a table, which is
+joined to the distinct words of the documents. The network adds a learned vector for each place and
 symbol of the window, bends the sum, and predicts first a class of symbols of like frequency and then
 the symbol in its class, so the cost of a word does not depend on the number of symbols.
 
@@ -38,11 +39,11 @@ _PART = 1 << 14
 
 @dataclass
 class Vocabulary:
-    """Hashes of the named words, sorted, with their symbols; and the words to a shared symbol."""
+    """Hashes of the named words, sorted, with their symbols; and the counts of the shared symbols."""
 
     hashes: np.ndarray
     symbol: np.ndarray
-    to_a_symbol: float
+    shared: np.ndarray
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         shared = NAMED + (mix(hashes) % np.uint64(SYMBOLS - NAMED)).astype(np.int32)
@@ -52,8 +53,8 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.symbol[at], shared)
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    """Counts the words of all documents; the named ones reach the driver."""
+def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """Counts the words of all documents (word, n); the named ones reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,8 +74,20 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     top = counted.orderBy(F.desc("n"), "word").limit(NAMED).collect()
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    shared = max(0, counted.count() - len(top))
-    return Vocabulary(hashes[order], order.astype(np.int32), max(1.0, shared / (SYMBOLS - NAMED)))
+    words = Vocabulary(hashes[order], order.astype(np.int32), np.zeros(SYMBOLS - NAMED, np.int64))
+    given = texts.sparkSession.sparkContext.broadcast(words)
+
+    def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(SYMBOLS, np.int64)
+        for batch in batches:
+            np.add.at(sums, given.value.symbols(batch["word"].to_numpy().view(np.uint64)), batch["n"].to_numpy())
+        found = NAMED + np.flatnonzero(sums[NAMED:])
+        yield pa.record_batch([pa.array(found, pa.int64()), pa.array(sums[found])], names=["symbol", "n"])
+
+    shares = counted.mapInArrow(share, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    for row in shares.collect():
+        words.shared[row["symbol"] - NAMED] = row["n"]
+    return words, counted
 
 
 class WindowNet:
@@ -277,7 +290,8 @@ def pseudo_likelihood(
         raise ValueError(f"{rounds} rounds leave out words at a stride of {stride}")
     texts = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     context = docs.sparkSession.sparkContext
-    words = context.broadcast(vocabulary(texts))
+    known, counted = vocabulary(texts)
+    words = context.broadcast(known)
     net = WindowNet()
     for number in range(rounds):
         net = _trained(texts, words, net, stride, batch, rate / (number + 1), number)
@@ -285,10 +299,12 @@ def pseudo_likelihood(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = WindowNet(model.value)
-        rare = np.float32(np.log(words.value.to_a_symbol))
+        share = np.zeros(SYMBOLS)
+        share[NAMED:] = np.log(np.maximum(words.value.shared, 1))
         for given in batches:
             texts = given["text"]
             counts, sums = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+            rare, times, ends = [], [], [0]
             for a, b in slices(texts):
                 part = tokenize(texts.slice(a, b - a), SPACED, lower=True)
                 symbols = words.value.symbols(part.hash)
@@ -296,15 +312,33 @@ def pseudo_likelihood(
                 for at in range(0, len(symbols), 1 << 15):
                     chosen = np.arange(at, min(len(symbols), at + (1 << 15)))
                     found = own.log_probabilities(windows(symbols, part.first, chosen), symbols[chosen])
-                    each[chosen + 1] = found - np.where(symbols[chosen] >= NAMED, rare, 0)
+                    each[chosen + 1] = found - share[symbols[chosen]]
                 total = np.cumsum(each)
                 counts[a:b] = np.diff(part.first)
                 sums[a:b] = total[part.first[1:]] - total[part.first[:-1]]
-            columns = [given[id_col], pa.array(counts), pa.array(sums)]
-            yield pa.record_batch(columns, names=[id_col, "n_tokens", "log_likelihood"])
+                for begin, end in zip(part.first[:-1].tolist(), part.first[1:].tolist()):
+                    hashes, n = np.unique(part.hash[begin:end][symbols[begin:end] >= NAMED], return_counts=True)
+                    rare.append(signed(hashes))
+                    times.append(n)
+                    ends.append(ends[-1] + len(hashes))
+            lists = [
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64()))
+                for x in (rare, times)
+            ]
+            columns = [given[id_col], pa.array(counts), pa.array(sums), *lists]
+            yield pa.record_batch(columns, names=[id_col, "n_tokens", "log_likelihood", "rare", "times"])
 
     kind = texts.schema[id_col].dataType.simpleString()
-    scored = texts.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, log_likelihood double")
+    schema = f"`{id_col}` {kind}, n_tokens long, log_likelihood double, rare array<long>, times array<long>"
+    scored = texts.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id())
+    scored = materialize(scored, "scored")
+    # a word that occurs once adds log 1
+    weights = counted.filter("n > 1").select("word", F.log("n").alias("weight"))
+    each = scored.select("__row", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "word")
+    more = each.join(weights, "word").groupBy("__row").agg(F.sum(F.col("times") * F.col("weight")).alias("__more"))
+    scored = scored.join(more, "__row", "left").select(
+        id_col, "n_tokens", (F.col("log_likelihood") + F.coalesce("__more", F.lit(0.0))).alias("log_likelihood")
+    )
     return scored.withColumn(
         "mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     )

@@ -125,3 +125,26 @@ def test_pseudo_likelihood_learns_at_every_word(spark, docs):
     assert sorted(seen.tolist()) == list(range(len(part.hash)))
     with pytest.raises(ValueError, match="stride"):
         pseudolikelihood.pseudo_likelihood(docs, rounds=2, stride=3)
+
+
+def test_pseudo_likelihood_spreads_shared_symbols_by_counts(spark):
+    """Alone in their documents, words of one symbol differ by the logarithm of their counts."""
+    import pyarrow as pa
+
+    names = [f"w{i}" for i in range(6000)]
+    rows = [(-1, " ".join(w for i, w in enumerate(names) for _ in range(1 + i % 7))), *enumerate(names)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    known, counted = pseudolikelihood.vocabulary(texts)
+    assert counted.count() == len(names)
+    hashes = pseudolikelihood.tokenize(pa.array(names), pseudolikelihood.SPACED, lower=True).hash
+    symbols = known.symbols(hashes)
+    got = {r["doc_id"]: r["log_likelihood"] for r in pseudolikelihood.pseudo_likelihood(texts).collect()}
+    compared = 0
+    for symbol in np.unique(symbols[symbols >= pseudolikelihood.NAMED]).tolist():
+        same = np.flatnonzero(symbols == symbol).tolist()
+        n = [2 + i % 7 for i in same]
+        assert known.shared[symbol - pseudolikelihood.NAMED] == sum(n)
+        for i, k in zip(same[1:], n[1:]):
+            assert got[i] - got[same[0]] == pytest.approx(np.log(k / n[0]), abs=1e-4)
+            compared += k != n[0]
+    assert compared > 100
