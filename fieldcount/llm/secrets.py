@@ -37,10 +37,21 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-_ANY_HEX = re.compile(r"(?<![0-9A-Za-z+/_-])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Za-z+/_-])")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+#: The shortest secret is the shortest keyword, a sign and 8 characters: 14 bytes.
+_LEAST = 14
+_BREAK = r"(?:\r?\n|\\r\\n|\\n)[\x20\t]*"
+_START = r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?"
+_ANY_HEX = re.compile(_START + rf"((?:[0-9A-Fa-f]{{2}}){{{_LEAST},}})(?![0-9A-Za-z+/_-])")
+_BASE64 = re.compile(_START + rf"([A-Za-z0-9+/_-]{{{-(-4 * _LEAST // 3)},}}={{0,2}})")
+#: Runs that go on over line breaks, also escaped ones.
+_HEX_LINES = re.compile(_START + rf"((?:[0-9A-Fa-f]{{2}})+(?:{_BREAK}(?:[0-9A-Fa-f]{{2}})+)+)(?![0-9A-Za-z+/_-])")
+_BASE64_LINES = re.compile(_START + rf"([A-Za-z0-9+/_-]+(?:{_BREAK}[A-Za-z0-9+/_-]+)+={{0,2}})")
+_BREAKS = re.compile(_BREAK)
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----((?:[^-]|-(?!----))+)-----END \1-----")
+_PEM_HEADER = re.compile(r"^[\x20\t]*([A-Za-z0-9-]+):[\x20\t]*(.*)$", re.M)
+#: PKCS#5 and PKCS#12 encryption.
+_PBE = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
 
 Span = tuple[int, int, str]
 
@@ -71,7 +82,8 @@ def _der_item(data: bytes, at: int) -> tuple[int, int, int] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A sequence that ends with the data, starts with a small version number and nests without a gap."""
+    """A sequence that ends with the data and nests without a gap: a small version number and a key's
+    parts, or the algorithm of an encryption by password and what it made."""
     outer = _der_item(data, 0)
     if not outer or outer[0] != 0x30 or outer[2] != len(data) or len(data) < 24:
         return False
@@ -82,13 +94,16 @@ def is_der_key(data: bytes) -> bool:
             return False
         items.append(item)
         at = item[2]
+    if len(items) == 2 and [tag for tag, _, _ in items] == [0x30, 0x04]:
+        name = _der_item(data[: items[0][2]], items[0][1])
+        return bool(name) and name[0] == 0x06 and data[name[1] : name[2]].startswith(_PBE)
     if len(items) < 3 or items[0][0] != 0x02 or items[0][2] - items[0][1] != 1 or data[items[0][1]] > 2:
         return False
     kinds = [tag for tag, _, _ in items[1:]]
-    rsa = all(k == 0x02 for k in kinds) and len(kinds) >= 8
+    integers = all(k == 0x02 for k in kinds) and (len(kinds) >= 8 or len(kinds) == 5)
     wrapped = kinds[:2] == [0x30, 0x04] and _der_item(data, items[1][1]) is not None
     elliptic = kinds[0] == 0x04 and all(k in (0xA0, 0xA1) for k in kinds[1:])
-    return rsa or wrapped or elliptic
+    return integers or wrapped or elliptic
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -134,22 +149,97 @@ def base_spans(text: str) -> list[Span]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _is_pem_body(body: str) -> bool:
+    body = body.replace("\\r", "\n").replace("\\n", "\n")
+    heads = dict(_PEM_HEADER.findall(body))
+    data = _decode("".join(_PEM_HEADER.sub("", body).split()))
+    if not data:
+        return False
+    if "ENCRYPTED" in heads.get("Proc-Type", "") and "DEK-Info" in heads:
+        return len(data) % 8 == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def _unhex(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
+def _wrapped(text: str, start: int, end: int, decode) -> Iterator[Span]:
+    """What lines of one encoding are together.
+
+    Wrapped lines are of one width but for a shorter last one. An encoded key may also begin at a
+    line among others of its width; its head tells, and its outer length says where it ends.
+    """
+    lines, at = [], start
+    for m in [*_BREAKS.finditer(text, start, end), None]:
+        lines.append((at, m.start() if m else end))
+        at = m.end() if m else end
+    i = 0
+    while i < len(lines):
+        width, k = lines[i][1] - lines[i][0], i + 1
+        while k < len(lines) and lines[k][1] - lines[k][0] == width:
+            k += 1
+        tail = k < len(lines) and lines[k][1] - lines[k][0] < width
+        begins = [i] + [n for n in range(i + 1, k) if _may_begin(text[slice(*lines[n])], decode)]
+        found = None
+        for n in begins:
+            for last in (k + 1, k) if tail else (k,):
+                if last - n > 1 and (kind := _kind_of("".join(text[x:y] for x, y in lines[n:last]), decode)):
+                    found = found or (lines[n][0], lines[last - 1][1], kind)
+            if found:
+                yield found
+                break
+            if n < k and (found := _measured(text, lines[n:], decode)):
+                yield found
+                break
+        i = k
+
+
+def _may_begin(line: str, decode) -> bool:
+    return line.startswith(("30", "6f70656e7373682d", "6F70656E7373682D") if decode is _unhex else ("M", "b3BlbnNzaC1r"))
+
+
+def _measured(text: str, lines: list[tuple[int, int]], decode) -> Span | None:
+    """A DER key that begins with the first line and ends with the line where its length says."""
+    per = 2 if decode is _unhex else 4 / 3
+    head = decode(text[slice(*lines[0])][:8])
+    if not head or head[0] != 0x30 or len(head) < 2:
+        return None
+    more = head[1] & 0x7F if head[1] & 0x80 else 0
+    if more > 3 or len(head) < 2 + more:
+        return None
+    size = 2 + more + (int.from_bytes(head[2 : 2 + more], "big") if more else head[1])
+    need, got = -int(-size * per // 1), 0
+    for n, (x, y) in enumerate(lines):
+        got += len(text[x:y].rstrip("="))
+        if got >= need:
+            if got == need and n and (kind := _kind_of("".join(text[x:y] for x, y in lines[: n + 1]), decode)):
+                return lines[0][0], y, kind
+            return None
+    return None
+
+
+def _kind_of(text: str, decode) -> str | None:
+    data = decode(text)
+    return _meaning(data) if data else None
+
+
 def confirmed_spans(text: str) -> list[Span]:
     out: list[Span] = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = _decode("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                out.append((m.start(), m.end(), "pem_key"))
+        out += [(m.start(), m.end(), "pem_key") for m in _PEM.finditer(text) if _is_pem_body(m[2])]
     if "eyJ" in text:
         out += [(m.start(), m.end(), "signed_token") for m in _TOKEN.finditer(text) if is_signed_header(m[1])]
-    for m in _BASE64.finditer(text):
-        data = _decode(m[0])
-        if data and (kind := _meaning(data)):
-            out.append((m.start(), m.end(), kind))
-    for m in _ANY_HEX.finditer(text):
-        if kind := _meaning(bytes.fromhex(m[0])):
-            out.append((m.start(), m.end(), kind))
+    for one, many, decode in ((_BASE64, _BASE64_LINES, _decode), (_ANY_HEX, _HEX_LINES, _unhex)):
+        joined = [span for m in many.finditer(text) for span in _wrapped(text, m.start(1), m.end(1), decode)]
+        out += joined
+        ends = {p for a, b, _ in joined for p in range(a, b)}
+        for m in one.finditer(text):
+            # an escape's letter may also be the first of the run
+            for begin in dict.fromkeys((m.start(1), m.start())):
+                if begin not in ends and (kind := _kind_of(text[begin : m.end()], decode)):
+                    out.append((begin, m.end(), kind))
+                    break
     return out
 
 

@@ -75,3 +75,46 @@ def test_empty_null_and_repeated(spark, empty):
     rows = spark.createDataFrame([(1, None), (1, None), (None, "token: abcdefgh1")], "doc_id long, text string")
     got = secrets.secret_digest(secrets.scan(rows)).collect()
     assert sorted(r["spans"] for r in got) == ["", "", "assign:0:16"]
+
+
+def _der(tag, data):
+    size = len(data)
+    return bytes([tag]) + (bytes([size]) if size < 128 else b"\x82" + size.to_bytes(2, "big")) + data
+
+
+def _wrap(text, width, sep="\n"):
+    return sep.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_secrets_that_are_short_wrapped_or_escaped():
+    import base64
+    import hashlib
+
+    noise = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(12))
+    number = lambda n: _der(2, b"\x01" + noise[:n])
+    rsa = _der(0x30, _der(2, b"\0") + b"".join(number(n) for n in (128, 3, 127, 64, 64, 64, 64, 64)))
+    dsa = _der(0x30, _der(2, b"\0") + b"".join(number(n) for n in (128, 20, 127, 126, 20)))
+    pbes2 = _der(0x30, _der(6, bytes.fromhex("2a864886f70d01050d")) + _der(0x30, b""))
+    locked = _der(0x30, pbes2 + _der(4, noise[:160]))
+    digest = _der(0x30, _der(0x30, _der(6, bytes.fromhex("608648016503040201")) + _der(5, b"")) + _der(4, noise[:32]))
+    b64 = lambda data: base64.b64encode(data).decode()
+
+    def kinds(text):
+        return [(text[a:b], k) for a, b, k in secrets.confirmed_spans(text)]
+
+    plain = b"password=hunter22"
+    assert kinds(f"x {b64(plain)} y") == [(b64(plain), "encoded_assign")]
+    assert kinds(f"x {plain.hex()} y") == [(plain.hex(), "encoded_assign")]
+    assert kinds("see " + _wrap(b64(plain), 8)) == [(_wrap(b64(plain), 8), "encoded_assign")]
+    for key in (rsa, dsa, locked):
+        assert kinds(f"k {b64(key)}") == [(b64(key), "der_key")]
+        assert kinds(f"some\nwords\n{_wrap(b64(key), 64)}\nmore words") == [(_wrap(b64(key), 64), "der_key")]
+        assert kinds(f'"{_wrap(b64(key), 64, chr(92) + "n")}"') == [(_wrap(b64(key), 64, "\\n"), "der_key")]
+        assert kinds(f"k {_wrap(key.hex(), 64)} z") == [(_wrap(key.hex(), 64), "der_key")]
+    assert kinds(b64(digest)) == []
+    body = _wrap(b64(rsa), 64, "\\n")
+    escaped = f"-----BEGIN PRIVATE KEY-----\\n{body}\\n-----END PRIVATE KEY-----"
+    assert (escaped, "pem_key") in kinds(f'{{"private_key": "{escaped}\\n"}}')
+    heads = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n"
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{heads}\n{_wrap(b64(noise[:320]), 64)}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(pem) == [(pem, "pem_key")]
