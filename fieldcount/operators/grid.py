@@ -275,10 +275,22 @@ def cell_anomaly(
 def ring_edges(ring: DataFrame) -> DataFrame:
     """Closed edges (x1, y1, x2, y2) of ring vertices, whose ``seq`` counts up by one.
 
-    A vertex meets the next one by an equi-join, so one long ring spreads over tasks.
+    A vertex meets the next one by an equi-join, so one long ring spreads over tasks. A ring whose
+    ``seq`` has gaps, repeats or nulls is an error.
     """
-    ends = ring.groupBy("ring").agg(F.min("seq").alias("least"), F.max("seq").alias("most"))
-    following = F.when(F.col("seq") == F.col("most"), F.col("least")).otherwise(F.col("seq") + 1)
+    ends = ring.groupBy("ring").agg(
+        F.min("seq").alias("least"),
+        F.max("seq").alias("most"),
+        F.count(F.lit(1)).alias("vertices"),
+        F.count_distinct("seq").alias("places"),
+    )
+    span = F.col("most") - F.col("least") + 1
+    dense = (F.col("vertices") == span) & (F.col("places") == span)
+    following = (
+        F.when(~F.coalesce(dense, F.lit(False)), F.raise_error(F.lit("seq of a ring does not count up by one")).cast("int"))
+        .when(F.col("seq") == F.col("most"), F.col("least"))
+        .otherwise(F.col("seq") + 1)
+    )
     numbered = ring.join(ends, "ring").select(
         "ring", F.col("x").alias("x1"), F.col("y").alias("y1"), following.alias("seq")
     )

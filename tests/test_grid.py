@@ -153,3 +153,11 @@ def test_seasons(spark):
         ("winter", 2021),
         ("winter", 2021),
     ]
+
+
+@pytest.mark.parametrize("seq", [(10, 20, 30, 40), (0, 1, 3, 4), (0, 1, 1, 3), (0, 1, 2, None)])
+def test_a_ring_with_gaps_is_refused(spark, seq):
+    corners = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    ring = spark.createDataFrame([(1, n, *p) for n, p in zip(seq, corners)], "ring int, seq int, x double, y double")
+    with pytest.raises(Exception, match="count up by one"):
+        grid.mask_polygon(cells(spark, [(5.0, 5.0)]), ring, 1.0).collect()
