@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from fieldcount.llm import pseudolikelihood, quality, toxicity
+from fieldcount.llm.labels import training_sample
 
 SF = "/root/testdata/sf0.1"
 
@@ -148,3 +149,19 @@ def test_pseudo_likelihood_spreads_shared_symbols_by_counts(spark):
             assert got[i] - got[same[0]] == pytest.approx(np.log(k / n[0]), abs=1e-4)
             compared += k != n[0]
     assert compared > 100
+
+
+def test_training_sample_is_bounded_in_bytes(spark):
+    """Whole texts in draw order, of each label as many as the bytes allow, and one at least."""
+    rows = [(i, chr(97 + i % 2) * (900 + i)) for i in range(60)] + [(100, "é" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows[:-1]], "doc_id long, quality int")
+    every, marks = training_sample(docs, labels, "quality", 4000)
+    found, kinds = training_sample(docs, labels, "quality", 4000, most_bytes=5000)
+    for kind in (0, 1):
+        whole = [t for t, y in zip(every, marks) if y == kind]
+        few = [t for t, y in zip(found, kinds) if y == kind]
+        assert few == whole[: len(few)]
+        assert 0 < sum(map(len, few)) <= 5000 < sum(map(len, whole[: len(few) + 1]))
+    huge = spark.createDataFrame([(100, 1)], "doc_id long, quality int")
+    assert training_sample(docs, huge, "quality", 4000, most_bytes=5000) == (["é" * 5000], [1])
