@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldcount.llm import (
     decontaminate,
     exact,
     fmindex,
     jaccard,
+    manifest,
     packing,
     pseudolikelihood,
     quality,
@@ -83,3 +85,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse_suffix.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), offered={"text": lower}, where=fifth)
