@@ -1,7 +1,8 @@
 """SQL that the corpus queries must equal, where SQL can express them over whole tables in reasonable time.
 
 The other queries have no SQL: op1 needs the places of matches, op2, op5 and op6 are trained, op4 needs
-a tokenizer, and op10 names one of several earlier places. Tests hold those against plain versions.
+a tokenizer, op10 names one of several earlier places, and op12 needs eigenvectors. Tests hold those
+against plain versions.
 """
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,4 +101,47 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(s, '')) AS kept_sha256
         FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
     """,
+    "op13_source_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS draw,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+            FROM documents
+        ),
+        sources AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+            FROM d GROUP BY source
+        ),
+        -- sources by how soon they are full: one is clamped if its cap is below its share of what
+        -- the fuller ones leave
+        filled AS (
+            SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER fuller, 0) AS budget,
+                   sum(weight) OVER () - coalesce(sum(weight) OVER fuller, 0) AS weights
+            FROM sources
+            WINDOW fuller AS (
+                ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING
+            )
+        ),
+        clamped AS (SELECT *, 3 * source_size * weights < budget * weight AS over FROM filled),
+        brim AS (SELECT max(budget) AS budget, max(weights) AS weights FROM clamped WHERE NOT over),
+        targets AS (
+            SELECT source, source_size,
+                   CASE WHEN over THEN CAST(3 * source_size AS DOUBLE)
+                        ELSE CAST(brim.budget AS DOUBLE) * weight / CAST(brim.weights AS DOUBLE) END AS target
+            FROM clamped, brim
+        ),
+        places AS (
+            SELECT doc_id, size, source_size, target,
+                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size
+                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                   CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+            FROM d JOIN targets ON d.source IS NOT DISTINCT FROM targets.source
+        ),
+        parts AS (
+            SELECT *, greatest(0, least(size, floor(target + 0.5) - whole * source_size - before)) AS part FROM places
+        )
+        SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken,
+               CAST(whole AS BIGINT) AS whole, CAST(part AS BIGINT) AS part
+        FROM parts
+    """,
 }

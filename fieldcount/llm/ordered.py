@@ -21,9 +21,12 @@ def source_key(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit(":"), column.cast("string")), F.lit(""))
 
 
-def in_order(rows: DataFrame, group: str, order: Sequence[str], value: str | None = None) -> DataFrame:
+def in_order(
+    rows: DataFrame, group: str, order: Sequence[str], value: str | None = None, groups: DataFrame | None = None
+) -> DataFrame:
     """``rows`` with ``place`` (from 0) in their group and ``n``, the rows of the group; with ``value``,
-    also ``before``, the sum of that column over the group's earlier rows, and ``total``.
+    also ``before``, the sum of that column over the group's earlier rows, and ``total``. ``groups`` has
+    more columns of each group; they reach the rows by way of the runs, not by a join on the group.
 
     ``group`` has no nulls; of ``order``, nulls come first. The row's place in the input breaks ties, so
     that copies of one row spread over tasks. ``rows`` is read twice, once for a sample, and should
@@ -50,10 +53,14 @@ def in_order(rows: DataFrame, group: str, order: Sequence[str], value: str | Non
             "total": F.sum("__sum").over(same),
         }
     pieces = runs.groupBy(group, "__run").agg(*[c.alias(k) for k, c in sums.items()]).withColumns(offsets)
-    joined = runs.join(pieces.drop("__n", "__sum"), [group, "__run"])
+    pieces = pieces.drop("__n", "__sum")
+    if groups is not None:
+        pieces = pieces.join(groups, group)
+    joined = runs.join(pieces, [group, "__run"])
     out = {"place": F.col("__offset") + F.col("__at") - F.col("__start")}
     if value:
         within = Window.partitionBy(group, "__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
         out["before"] = F.col("__earlier") + F.coalesce(F.sum(value).over(within), F.lit(0))
     kept = [*rows.columns, "n", *(["total"] if value else [])]
+    kept += [c for c in groups.columns if c != group] if groups is not None else []
     return joined.select(*kept, *[c.alias(k) for k, c in out.items()])

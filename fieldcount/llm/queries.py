@@ -14,12 +14,14 @@ from fieldcount.llm import (
     fmindex,
     jaccard,
     manifest,
+    mixing,
     packing,
     pseudolikelihood,
     quality,
     secrets,
     sparse_suffix,
     toxicity,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +94,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     fifth = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return manifest.manifest(table(spark, sf_dir, "documents"), offered={"text": lower}, where=fifth)
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
