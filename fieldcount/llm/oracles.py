@@ -9,6 +9,91 @@ _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC of an ASCII text, bit by bit."""
+    bits = (
+        f"flatten(list_transform(string_split({text}, ''), "
+        "lambda c: list_transform(range(8), lambda k: (CAST(ascii(c) AS BIGINT) >> k) & 1)))"
+    )
+    step = "lambda c, b: xor(c >> 1, CAST(3988292384 AS BIGINT) * (xor(c, b) & 1))"
+    return f"xor(list_reduce({bits}, {step}, CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT))"
+
+
+def _levels(name: str, depth: int) -> str:
+    """Tables name1 ... of a tree's levels above name0, and name0_sides ... with each node's siblings."""
+    out = []
+    for k in range(depth):
+        out.append(f"""{name}{k + 1} AS (
+            SELECT g, p // 16 AS p, (n + 15) // 16 AS n,
+                   CASE WHEN n = 1 THEN min(h) ELSE sha256(string_agg(h, '' ORDER BY p)) END AS h
+            FROM {name}{k} GROUP BY g, p // 16, n
+        )""")
+        sides = ", ".join(
+            f"coalesce(string_agg(h, '') OVER (PARTITION BY g, p // 16 ORDER BY p ROWS BETWEEN {frame}), '') AS {side}"
+            for side, frame in (
+                ("before", "UNBOUNDED PRECEDING AND 1 PRECEDING"),
+                ("after", "1 FOLLOWING AND UNBOUNDED FOLLOWING"),
+            )
+        )
+        out.append(f"{name}{k}_sides AS (SELECT g, p, n, {sides} FROM {name}{k})")
+    return ",\n        ".join(out)
+
+
+def _merkle(leaf_levels: int = 6, source_levels: int = 4) -> str:
+    """Trees of at most 16^6 rows a source and 16^4 sources; a level of one node stays as it is."""
+    def encoded(columns: list[str]) -> str:
+        texts = [f"CAST({c} AS VARCHAR)" for c in columns]
+        return " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts)
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rest = ["doc_id", "source", "lang", "n_chars"]
+    steps = [("a", k) for k in range(leaf_levels)] + [("b", k) for k in range(source_levels)]
+    joins = []
+    for name, k in steps:
+        at, g = (f"a0.p // {16**k}", "a0.g") if name == "a" else (f"b0.p // {16**k}", "b0.g")
+        joins.append(f"JOIN {name}{k}_sides AS {name}s{k} ON {name}s{k}.g = {g} AND {name}s{k}.p = {at}")
+    folded = []
+    for i, (name, k) in enumerate(steps):
+        x, one = ("other" if i == 0 else f"f{i - 1}"), f"n_{name}{k}"
+        table = "paths" if i == 0 else f"fold{i - 1}"
+        fold = f"CASE WHEN {one} = 1 THEN {x} ELSE sha256(before_{name}{k} || {x} || after_{name}{k}) END"
+        folded.append(f"fold{i} AS (SELECT *, {fold} AS f{i} FROM {table})")
+    sides = ", ".join(
+        f"{n}s{k}.n AS n_{n}{k}, {n}s{k}.before AS before_{n}{k}, {n}s{k}.after AS after_{n}{k}" for n, k in steps
+    )
+    proof = " || ".join(f"before_{n}{k} || after_{n}{k}" for n, k in steps)
+    last = len(steps) - 1
+    return f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(':' || source, '') AS g, sha256({encoded([*rest, "text"])}) AS leaf,
+                   CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0
+                        THEN sha256({encoded([*rest, low])}) END AS other
+            FROM documents
+        ),
+        a0 AS (
+            SELECT doc_id, g, leaf AS h, coalesce(other, leaf) AS other, count(*) OVER (PARTITION BY g) AS n,
+                   row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p
+            FROM d
+        ),
+        {_levels("a", leaf_levels)},
+        b0 AS (
+            SELECT '' AS g, g AS source, h, count(*) OVER () AS n, row_number() OVER (ORDER BY g) - 1 AS p
+            FROM a{leaf_levels}
+        ),
+        {_levels("b", source_levels)},
+        paths AS (
+            SELECT a0.doc_id, a0.h AS leaf, a0.other, b0.h AS subroot, b{source_levels}.h AS root, {sides}
+            FROM a0 JOIN b0 ON b0.source = a0.g CROSS JOIN b{source_levels}
+            {" ".join(joins)}
+        ),
+        {", ".join(folded)}
+        SELECT doc_id, leaf, subroot, root, sha256({proof}) AS proof_sha256, f{last} AS folded_root,
+               f{last} = root AS verified
+        FROM fold{last}
+    """
+
+
 ORACLES: dict[str, str] = {
     "op3_ngram_jaccard_join": f"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_SPACED}) AS w FROM documents),
@@ -101,6 +186,7 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(s, '')) AS kept_sha256
         FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
     """,
+    "op11_merkle_manifest": _merkle(),
     "op13_source_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS draw,
