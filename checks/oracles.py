@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from checks.adapters import SLOTS, STEMS, VIEWS, view_sql
-from checks.queries import CLASSES, DIGITS, DIST, RECENT, SINCE, WIDE_LABELS, YEAR
+from checks.queries import CLASSES, DIGITS, DIST, RECENT, SINCE, THIN, WIDE_LABELS, YEAR
 
 ORACLES: dict[str, str] = {}
 
@@ -899,6 +899,125 @@ oracle(
       JOIN (SELECT cell_id, sum(value) AS total, count(*) AS n FROM grid GROUP BY cell_id) g ON w.cell_id = g.cell_id
       GROUP BY line_id""",
 )
+# Area by going round the border: shapes (strips and discs, numbered), their straight edges and those of the
+# cell, arcs, and the places where any of them may cross; each part between two places is tested on both sides.
+_HALF, _THIN = 0.5, THIN
+_CORNERS = "(0, -1, 1, -1), (1, -1, 1, 1), (1, 1, 0, 1), (0, 1, 0, -1)"
+_SIDES = "(1.0, 0.0, -0.5), (1.0, 0.0, 0.5), (0.0, 1.0, -0.5), (0.0, 1.0, 0.5)"
+
+
+def _holds(x: str, y: str) -> str:
+    dx, dy = f"({x} - s.x)", f"({y} - s.y)"
+    return f"""CASE WHEN s.length > 0
+        THEN {dx} * s.ux + {dy} * s.uy BETWEEN 0 AND s.length AND abs({dy} * s.ux - {dx} * s.uy) <= {_THIN}
+        ELSE {dx} * {dx} + {dy} * {dy} <= {_THIN**2!r}::DOUBLE END"""
+
+
+def _kept_parts(table: str) -> str:
+    """Shares of the parts in ``table`` (k: shape or null for the cell; an inner and an outer point)."""
+    inside = " AND ".join(f"abs({c}) < {_HALF}" for c in ("ix", "iy", "ox", "oy"))
+    return f"""SELECT e.line_id, e.cell_id, any_value(e.share) AS share FROM {table} e
+      JOIN shapes s ON s.line_id = e.line_id AND s.cell_id = e.cell_id
+      GROUP BY e.line_id, e.cell_id, e.id, e.k, e.t, e.ix, e.iy, e.ox, e.oy
+      HAVING CASE WHEN e.k IS NULL THEN bool_or({_holds("e.ix", "e.iy")})
+        ELSE NOT bool_or(s.j <> e.k AND ({_holds("e.ox", "e.oy")} OR s.j < e.k AND {_holds("e.ix", "e.iy")}))
+          AND {inside.replace("abs(", "abs(e.")} END"""
+
+
+step(
+    "shapes",
+    ("jointed", "grid"),
+    f"""SELECT *, row_number() OVER (PARTITION BY line_id, cell_id ORDER BY length = 0, x, y, ux, uy, length) AS j
+      FROM (
+        WITH near AS (
+          SELECT line_id, cell_id, x1 - c.x AS x1, y1 - c.y AS y1, x2 - c.x AS x2, y2 - c.y AS y2, joint1, joint2,
+            sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS length
+          FROM jointed JOIN (SELECT DISTINCT cell_id, x, y FROM grid) c
+          ON c.x BETWEEN least(x1, x2) - 1 AND greatest(x1, x2) + 1 AND c.y BETWEEN least(y1, y2) - 1 AND greatest(y1, y2) + 1)
+        SELECT line_id, cell_id, x1 AS x, y1 AS y, (x2 - x1) / length AS ux, (y2 - y1) / length AS uy, length FROM near
+        UNION SELECT line_id, cell_id, x1, y1, 0, 0, 0 FROM near WHERE joint1
+        UNION SELECT line_id, cell_id, x2, y2, 0, 0, 0 FROM near WHERE joint2) q""",
+)
+step(
+    "edge_lines",
+    "shapes",
+    f"""SELECT line_id, cell_id, j, ux AS nx, uy AS ny, x * ux + y * uy + f * length AS c
+        FROM shapes, (VALUES (0), (1)) AS v(f) WHERE length > 0
+      UNION ALL SELECT line_id, cell_id, j, -uy, ux, y * ux - x * uy + f * {_THIN} FROM shapes, (VALUES (-1), (1)) AS v(f)
+        WHERE length > 0
+      UNION ALL SELECT line_id, cell_id, 0, nx, ny, c FROM (SELECT DISTINCT line_id, cell_id FROM shapes) q,
+        (VALUES {_SIDES}) AS v(nx, ny, c)""",
+)
+step(
+    "edges",
+    "shapes",
+    f"""SELECT *, row_number() OVER () AS id FROM (
+        SELECT line_id, cell_id, j AS k, x + ux * a1 * length - uy * b1 * {_THIN} AS px,
+          y + uy * a1 * length + ux * b1 * {_THIN} AS py, ux * (a2 - a1) * length - uy * (b2 - b1) * {_THIN} AS vx,
+          uy * (a2 - a1) * length + ux * (b2 - b1) * {_THIN} AS vy
+        FROM shapes, (VALUES {_CORNERS}) AS v(a1, b1, a2, b2) WHERE length > 0
+        UNION ALL
+        SELECT line_id, cell_id, NULL, a1 - 0.5, b1 / 2.0, CAST(a2 - a1 AS DOUBLE), (b2 - b1) / 2.0
+        FROM (SELECT DISTINCT line_id, cell_id FROM shapes) q, (VALUES {_CORNERS}) AS v(a1, b1, a2, b2)) e""",
+)
+step(
+    "edge_parts",
+    ("edges", "edge_lines", "shapes"),
+    f"""WITH cuts AS (
+        SELECT id, 0.0::DOUBLE AS t FROM edges UNION SELECT id, 1 FROM edges
+        UNION SELECT id, (c - nx * px - ny * py) / nullif(nx * vx + ny * vy, 0) FROM edges
+          JOIN edge_lines USING (line_id, cell_id)
+        UNION SELECT id, (-pv + f * sqrt(root)) / v2
+          FROM (SELECT *, pv * pv - v2 * (ex * ex + ey * ey - {_THIN**2!r}::DOUBLE) AS root
+            FROM (SELECT *, ex * vx + ey * vy AS pv, vx * vx + vy * vy AS v2
+              FROM (SELECT e.*, px - x AS ex, py - y AS ey FROM edges e JOIN shapes s USING (line_id, cell_id)
+                WHERE length = 0) a) b) c, (VALUES (-1), (1)) AS v(f)
+          WHERE root > 0),
+      parts AS (SELECT id, t, lead(t) OVER (PARTITION BY id ORDER BY t) AS t2 FROM cuts WHERE t BETWEEN 0 AND 1)
+      SELECT line_id, cell_id, k, id, t, (px * vy - py * vx) / 2 * (t2 - t) AS share,
+        px + vx * (t + t2) / 2 - vy * nudge AS ix, py + vy * (t + t2) / 2 + vx * nudge AS iy,
+        px + vx * (t + t2) / 2 + vy * nudge AS ox, py + vy * (t + t2) / 2 - vx * nudge AS oy
+      FROM (SELECT *, {_THIN * 1e-7!r}::DOUBLE / sqrt(vx * vx + vy * vy) AS nudge FROM parts JOIN edges USING (id)) q
+      WHERE t2 > t""",
+)
+step(
+    "arc_parts",
+    ("shapes", "edge_lines"),
+    f"""WITH discs AS (SELECT line_id, cell_id, j AS k, x, y FROM shapes WHERE length = 0),
+      turns AS (
+        SELECT line_id, cell_id, k, atan2(ny, nx) AS middle, (c - nx * x - ny * y) / {_THIN} AS far
+          FROM discs JOIN edge_lines USING (line_id, cell_id)
+        UNION SELECT d.line_id, d.cell_id, k, atan2(s.y - d.y, s.x - d.x),
+          sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y)) / {2 * _THIN}
+          FROM discs d JOIN shapes s ON s.line_id = d.line_id AND s.cell_id = d.cell_id AND s.length = 0 AND s.j <> d.k),
+      cuts AS (
+        SELECT line_id, cell_id, k, 0.0::DOUBLE AS t FROM discs
+        UNION SELECT line_id, cell_id, k, 2 * pi() FROM discs
+        UNION SELECT line_id, cell_id, k, a - 2 * pi() * floor(a / (2 * pi()))
+          FROM (SELECT line_id, cell_id, k, middle + f * acos(far) AS a FROM turns, (VALUES (-1), (1)) AS v(f)
+            WHERE far BETWEEN -1 AND 1) q),
+      parts AS (SELECT *, lead(t) OVER (PARTITION BY line_id, cell_id, k ORDER BY t) AS t2 FROM cuts)
+      SELECT line_id, cell_id, k, 0 AS id, t,
+        ({_THIN**2!r}::DOUBLE * (t2 - t) + {_THIN} * (x * (sin(t2) - sin(t)) - y * (cos(t2) - cos(t)))) / 2 AS share,
+        x + cos((t + t2) / 2) * {_THIN * (1 - 1e-7)!r} AS ix, y + sin((t + t2) / 2) * {_THIN * (1 - 1e-7)!r} AS iy,
+        x + cos((t + t2) / 2) * {_THIN * (1 + 1e-7)!r} AS ox, y + sin((t + t2) / 2) * {_THIN * (1 + 1e-7)!r} AS oy
+      FROM parts JOIN discs USING (line_id, cell_id, k) WHERE t2 > t""",
+)
+step(
+    "cell_areas",
+    ("edge_parts", "arc_parts", "shapes"),
+    f"""SELECT line_id, cell_id, sum(share) AS area
+      FROM ({_kept_parts("edge_parts")} UNION ALL {_kept_parts("arc_parts")}) q
+      GROUP BY line_id, cell_id HAVING sum(share) > 1e-9""",
+)
+oracle("corridor_coverage_area", "cell_areas", "SELECT line_id, cell_id, area, area AS weight FROM cell_areas")
+oracle(
+    "zonal_mean_area",
+    ("cell_areas", "grid"),
+    """SELECT line_id, sum(total * area) / sum(n * area) AS value FROM cell_areas a
+      JOIN (SELECT cell_id, sum(value) AS total, count(*) AS n FROM grid GROUP BY cell_id) g ON a.cell_id = g.cell_id
+      GROUP BY line_id""",
+)
 step(
     "seasons",
     "climate",

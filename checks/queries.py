@@ -11,6 +11,7 @@ from checks.adapters import SLOTS, STEMS, view
 from fieldcount.design import SANDHILL_CRANE, SWAN, WHOOPING_CRANE, SurveyDesign
 from fieldcount.functions.columns import seen_birds
 from fieldcount.operators import (
+    coverage,
     estimate,
     grid,
     habitat,
@@ -659,6 +660,8 @@ def _(spark, sf):
 # ------------------------------------------------------------------ H: lines and grids
 
 DIST = 1.2
+# A corridor a twentieth as wide as a cell.
+THIN = 0.025
 
 
 def pieces(spark, sf):
@@ -712,6 +715,21 @@ def _(spark, sf):
     return grid.zonal_mean(cells(spark, sf), weights, ["line_id"], weight="points")
 
 
+def coverage_area(spark, sf):
+    return coverage.corridor_coverage_area(cells(spark, sf), pieces(spark, sf), THIN, 1.0, keys=["line_id"])
+
+
+@query("corridor_coverage_area", area=9, weight=9)
+def _(spark, sf):
+    """Share of each cell's area in each line's corridor, which is thin against the cell."""
+    return coverage_area(spark, sf)
+
+
+@query("zonal_mean_area", value=9)
+def _(spark, sf):
+    return grid.zonal_mean(cells(spark, sf), coverage_area(spark, sf), ["line_id"], weight="area")
+
+
 @query("season_of")
 def _(spark, sf):
     return grid.season_of(view(spark, sf, "climate"))

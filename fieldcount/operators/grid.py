@@ -117,7 +117,7 @@ def _near_piece(dist: float, x: Column, y: Column) -> Column:
     return ((length2 > 0) & beside) | around
 
 
-def _candidates(
+def candidate_cells(
     cells: DataFrame, pieces: DataFrame, reach: float, bucket: float | None, keys: Sequence[str]
 ) -> DataFrame:
     """Distinct cells beside the pieces whose bucket they share. A cell has one bucket and a
@@ -149,7 +149,7 @@ def within_corridor(
 ) -> DataFrame:
     """Distinct (line, cell) pairs of the cells inside the flat-ended corridors."""
     inside = _near_piece(dist, F.col("x"), F.col("y"))
-    near = _candidates(cells, pieces, dist, bucket, keys).filter(inside)
+    near = candidate_cells(cells, pieces, dist, bucket, keys).filter(inside)
     return near.select(*keys, "cell_id").distinct()
 
 
@@ -185,7 +185,7 @@ def corridor_coverage(
     )
     line_cell = [*keys, "cell_id"]
     covered = (
-        _candidates(cells, pieces, reach, bucket, keys)
+        candidate_cells(cells, pieces, reach, bucket, keys)
         .select("*", F.inline(points))
         .filter(_near_piece(dist, F.col("x") + F.col("dx"), F.col("y") + F.col("dy")))
         .groupBy(*line_cell, *(["word"] if n * n > 62 else []))
