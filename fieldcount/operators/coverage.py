@@ -16,7 +16,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,42 +165,54 @@ def cell_areas(strips: np.ndarray, discs: np.ndarray, dist: float, size: float)
     return area
 
 
-def _measured(dist: float, size: float, keys: Sequence[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gathered(column: pa.Array, width: int, members: np.ndarray) -> np.ndarray:
+    """The lists of some rows, all of one length, as (rows, entries of ``width``, width)."""
+    values = column.take(pa.array(members)).flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(members), -1, width)
+
+
+def _measured(dist: float, size: float, kept: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shape_of, strips, discs = {}, [], []
-            for i, (own, joints) in enumerate(zip(batch["strips"], batch["discs"])):
-                strips.append(np.array([[s[c] for c in ("x1", "y1", "x2", "y2")] for s in own]).reshape(-1, 4))
-                discs.append(np.array([[j["x"], j["y"]] for j in joints]).reshape(-1, 2))
-                shape_of.setdefault((len(own), len(joints)), []).append(i)
-            area = np.zeros(len(batch))
-            for (r, d), members in shape_of.items():
+            strips, discs = batch.column("strips"), batch.column("discs")
+            counts = np.stack([pc.list_value_length(c).to_numpy() for c in (strips, discs)], axis=1)
+            area = np.zeros(len(counts))
+            for r, d in np.unique(counts, axis=0):
+                members = np.flatnonzero((counts == (r, d)).all(axis=1))
+                r, d = r // 4, d // 2
                 step = max(1, _BLOCK // ((r + d + 1) * (4 * r + 2 * d + 8)))
                 for start in range(0, len(members), step):
                     some = members[start : start + step]
-                    block = [np.stack([part[i] for i in some]) for part in (strips, discs)]
-                    area[some] = cell_areas(*block, dist, size)
-            out = batch[[*keys, "cell_id"]].copy()
-            out["area"] = area
-            yield out
+                    area[some] = cell_areas(_gathered(strips, 4, some), _gathered(discs, 2, some), dist, size)
+            columns = [*[batch.column(c) for c in kept], pa.array(area)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "area"])
 
     return run
 
 
+def _bounds(size: float, dist: float) -> dict[str, Column]:
+    """Of a piece, what tells whether its strip comes into a square: they are apart if they are so
+    along one of their four directions. Pieces without a length have nulls."""
+    half = size / 2
+    vx, vy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length = F.sqrt(vx * vx + vy * vy)
+    ux, uy = F.try_divide(vx, length), F.try_divide(vy, length)
+    spread = (F.abs(ux) + F.abs(uy)) * half
+    out = {"ux": ux, "uy": uy, "wide": spread + dist, "early": -spread, "late": length + spread}
+    for c, turned in (("x", uy), ("y", ux)):
+        far = F.abs(turned) * dist + half
+        out |= {f"{c}low": F.least(f"{c}1", f"{c}2") - far, f"{c}high": F.greatest(f"{c}1", f"{c}2") + far}
+    return out
+
+
 def _reaches(size: float, dist: float) -> tuple[Column, list[Column]]:
     """Whether the strip of a piece and the discs of its joints come into the cell's square."""
     half = size / 2
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    length = F.sqrt(dx * dx + dy * dy)
-    ux, uy = dx / F.nullif(length, F.lit(0.0)), dy / F.nullif(length, F.lit(0.0))
     px, py = F.col("x") - F.col("x1"), F.col("y") - F.col("y1")
-    along, across = px * ux + py * uy, py * ux - px * uy
-    spread, wide = half * (F.abs(ux) + F.abs(uy)), half * (F.abs(ux) + F.abs(uy)) + dist
-    beside = (along > -spread) & (along < length + spread) & (F.abs(across) < wide)
-    for low, at, turned in (("x1", "x", uy), ("y1", "y", ux)):
-        far = F.abs(turned) * dist + half
-        beside &= F.col(at) > F.least(low, low[0] + "2") - far
-        beside &= F.col(at) < F.greatest(low, low[0] + "2") + far
+    beside = F.abs(py * F.col("ux") - px * F.col("uy")) < F.col("wide")
+    beside &= (px * F.col("ux") + py * F.col("uy")).between(F.col("early"), F.col("late"))
+    for c in ("x", "y"):
+        beside &= F.col(c).between(F.col(f"{c}low"), F.col(f"{c}high"))
 
     def near(i: int) -> Column:
         gaps = [F.greatest(F.abs(F.col(c) - F.col(f"{c}{i}")) - half, F.lit(0.0)) for c in ("x", "y")]
@@ -225,23 +238,22 @@ def corridor_coverage_area(
     """
     reach = dist + cell_size * 0.5**0.5
     strip, joints = _reaches(cell_size, dist)
-    near = candidate_cells(cells, pieces, reach, bucket, keys).withColumns(
+    near = candidate_cells(cells, pieces, reach, bucket, keys, _bounds(cell_size, dist)).withColumns(
         {"strip": strip, "near1": joints[0], "near2": joints[1]}
     )
 
-    def end(i: int) -> Column:
-        return F.struct((F.col(f"x{i}") - F.col("x")).alias("x"), (F.col(f"y{i}") - F.col("y")).alias("y"))
-
-    body = F.struct(*[(F.col(f"{c}{i}") - F.col(c)).alias(f"{c}{i}") for i in (1, 2) for c in ("x", "y")])
-    joined = F.array_compact(F.array(*[F.when(F.col(f"near{i}"), end(i)) for i in (1, 2)]))
+    ends = [[F.col(f"{c}{i}") - F.col(c) for c in ("x", "y")] for i in (1, 2)]
+    joined = F.array_compact(F.array(*[F.when(F.col(f"near{i}"), F.struct(*ends[i - 1])) for i in (1, 2)]))
     gathered = (
         near.filter(F.col("strip") | F.col("near1") | F.col("near2"))
         .groupBy(*keys, "cell_id")
         .agg(
-            F.collect_list(F.when(F.col("strip"), body)).alias("strips"),
+            F.flatten(F.collect_list(F.when(F.col("strip"), F.array(*ends[0], *ends[1])))).alias("strips"),
             F.array_distinct(F.flatten(F.collect_list(joined))).alias("discs"),
         )
+        .withColumn("discs", F.flatten(F.transform("discs", lambda e: F.array(e["col1"], e["col2"]))))
     )
-    kinds = ", ".join(f"{c} {gathered.schema[c].dataType.simpleString()}" for c in [*keys, "cell_id"])
-    measured = gathered.mapInPandas(_measured(dist, cell_size, keys), f"{kinds}, area double")
+    kept = [*keys, "cell_id"]
+    kinds = ", ".join(f"{c} {gathered.schema[c].dataType.simpleString()}" for c in kept)
+    measured = gathered.mapInArrow(_measured(dist, cell_size, kept), f"{kinds}, area double")
     return measured.filter(F.col("area") > 1e-9 * cell_size**2).withColumn("weight", F.col("area") / cell_size**2)

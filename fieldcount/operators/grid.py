@@ -6,7 +6,7 @@ distinct cells, so the number of months or years per cell does not multiply the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -118,10 +118,16 @@ def _near_piece(dist: float, x: Column, y: Column) -> Column:
 
 
 def candidate_cells(
-    cells: DataFrame, pieces: DataFrame, reach: float, bucket: float | None, keys: Sequence[str]
+    cells: DataFrame,
+    pieces: DataFrame,
+    reach: float,
+    bucket: float | None,
+    keys: Sequence[str],
+    of_pieces: Mapping[str, Column] = {},
 ) -> DataFrame:
     """Distinct cells beside the pieces whose bucket they share. A cell has one bucket and a
-    piece each bucket within ``reach``, so a (cell, piece) pair comes up at most once."""
+    piece each bucket within ``reach``, so a (cell, piece) pair comes up at most once. ``of_pieces`` are
+    computed once a piece, before the join."""
     size = bucket or 2 * reach
     if size < reach:
         raise ValueError("the bucket must not be smaller than the corridor distance")
@@ -130,7 +136,8 @@ def candidate_cells(
         .distinct()
         .withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
     )
-    met = keyed.join(_piece_buckets(_with_joints(pieces, keys), reach, size), ["bx", "by"])
+    jointed = _with_joints(pieces, keys).withColumns(dict(of_pieces))
+    met = keyed.join(_piece_buckets(jointed, reach, size), ["bx", "by"])
     in_box = [
         F.col(c).between(
             F.least(f"{c}1", f"{c}2") - reach, F.greatest(f"{c}1", f"{c}2") + reach

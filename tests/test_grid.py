@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from fieldcount.operators import grid
+from fieldcount.operators import coverage, grid
 
 
 def cells(spark, points):
@@ -94,6 +94,56 @@ def test_coverage_counts_points(spark, n):
     assert all(r.weight == r.points / n**2 for r in got)
 
 
+def covered(points, pieces, d, size, n):
+    """Shares of cells by very many points."""
+    steps = [((i + 0.5) / n - 0.5) * size for i in range(n)]
+    return {
+        i: sum(inside((x + dx, y + dy), pieces, d) for dx in steps for dy in steps) / n**2
+        for i, (x, y) in enumerate(points)
+    }
+
+
+@pytest.mark.parametrize("d", [0.1, 0.77])
+def test_covered_area_of_a_line_that_turns_and_crosses_itself(spark, d):
+    pieces = [(0.0, 0.0, 2.0, 1.0), (2.0, 1.0, 2.0, -0.5), (2.0, -0.5, 0.5, 1.5), (0.5, 1.5, 0.5, 1.5)]
+    points = [(x, y) for x in range(-1, 4) for y in range(-2, 4)]
+    got = coverage.corridor_coverage_area(
+        cells(spark, points), lines(spark, [(1, i, *p) for i, p in enumerate(pieces)]), d, 1.0
+    ).collect()
+    found = {r.cell_id: r.weight for r in got}
+    wanted = covered(points, pieces, d, 1.0, 60)
+    assert all(found.get(i, 0.0) == pytest.approx(w, abs=0.004) for i, w in wanted.items())
+    assert all(wanted[i] or w < 0.004 for i, w in found.items())
+
+
+def test_areas_in_closed_form(spark):
+    """A strip far thinner than its cell; strips that share an edge; a joint's wedge; nothing twice."""
+    rows = [
+        (1, 1, -10, 0.1, 10, 0.1),
+        (2, 1, -10, 0, 10, 0), (2, 2, -10, 0, 10, 0), (2, 3, 10, 0, -10, 0),
+        (3, 1, -10, 0, 3, 0), (3, 2, -2, 0, 10, 0),  # on each other in part
+        (4, 1, -10, 0, 0, 0), (4, 2, 0, 0, 0, 10),  # a right angle
+        (5, 1, -1, 0, 1, 0), (5, 2, -1, 0.02, 1, 0.02),  # side by side, ends in line
+        (6, 1, 0, 0, 0, 0),  # no length
+    ]
+    got = coverage.corridor_coverage_area(cells(spark, [(0, 0)]), lines(spark, rows), 0.025, 2.0).collect()
+    d = 0.025
+    wanted = {
+        1: 2 * 2 * d,
+        2: 2 * 2 * d,
+        3: 2 * 2 * d,
+        4: 2 * 2 * d - d * d + math.pi * d * d / 4,
+        5: 2 * (2 * d + 0.02),
+    }
+    assert {r.transect: r.area for r in got} == pytest.approx(wanted, rel=1e-9)
+
+
+def test_no_cells_and_no_lines(spark):
+    none = coverage.corridor_coverage_area(cells(spark, [(0, 0)]).limit(0), lines(spark, [(1, 1, 0, 0, 1, 0)]), 0.1, 1.0)
+    assert none.count() == 0
+    assert none.columns == ["transect", "cell_id", "area", "weight"]
+
+
 def test_weighted_zone_mean(spark):
     values = spark.createDataFrame([(1, 10.0), (1, 20.0), (2, 40.0), (3, None)], "cell_id int, value double")
     zones = spark.createDataFrame([(7, 1, 1.0), (7, 2, 0.5), (8, 3, 1.0)], "transect int, cell_id int, weight double")

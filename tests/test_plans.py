@@ -13,7 +13,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-PYTHON_STAGES = {"local_level_trend", "local_level_trend_species"}
+PYTHON_STAGES = {
+    "local_level_trend",
+    "local_level_trend_species",
+    "trend_parameters",
+    "corridor_coverage_area",
+    "zonal_mean_area",
+}
 
 
 @pytest.fixture(scope="module")
@@ -28,11 +34,12 @@ def no_broadcast(spark):
 @pytest.mark.parametrize("name", sorted(q.QUERIES))
 def test_plans_without_broadcasts(no_broadcast, sf, name):
     """No query depends on a side being small enough to broadcast: all joins have a shuffled
-    form, none pairs everything with everything, and Python runs in the trend only."""
+    form, none pairs everything with everything, and Python runs in the trend and the measuring of
+    areas only."""
     text = plan(q.QUERIES[name](no_broadcast, sf))
     for bad in ("CartesianProduct", "Broadcast", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in text
-    assert ("InPandas" in text) == (name in PYTHON_STAGES)
+    assert bool(re.search("MapIn(Pandas|Arrow)", text)) == (name in PYTHON_STAGES)
 
 
 ROW_WISE = [
