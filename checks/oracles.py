@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from checks.adapters import SLOTS, STEMS, VIEWS, view_sql
 from checks.queries import CLASSES, DIGITS, DIST, RECENT, SINCE, THIN, WIDE_LABELS, YEAR
 
@@ -626,15 +628,179 @@ step(
     ("pop_estimates", "swan_estimates"),
     "SELECT * FROM pop_estimates UNION ALL SELECT * FROM swan_estimates",
 )
+
+# The trend's posterior on a fixed grid, Gauss nodes in panels: a filter and a smoother by recursion over
+# time, and quantiles of the mixtures by halving.
+def _axis(panels: int, nodes: int) -> str:
+    x, w = np.polynomial.legendre.leggauss(nodes)
+    rows = [((k + (a + 1) / 2) / panels, b) for k in range(panels) for a, b in zip(x.tolist(), w.tolist())]
+    values = ", ".join(f"({u!r}::DOUBLE, {b!r}::DOUBLE)" for u, b in rows)
+    return f"SELECT u, greatest(2 * u * u * u, 1e-6) AS sd, ln(w) + 2 * ln(u) AS lw FROM (VALUES {values}) AS t(u, w)"
+
+
+def _even(nodes: int) -> str:
+    return f"""SELECT u, greatest(2 * u * u * u, 1e-6) AS sd, 2 * ln(u) AS lw
+      FROM (SELECT (i + 0.5::DOUBLE) / {nodes} AS u FROM range({nodes}) AS r(i)) r"""
+
+
+def _filtered(source: str, first: str, second: str) -> str:
+    """``held``: nodes of some weight w, as they are after the last observation (the last k, which has none);
+    ``fwd`` has the states before each observation. ``first`` and ``second`` are the nodes of eps and sigma."""
+    return f"""WITH RECURSIVE observed AS (
+        SELECT series, row_number() OVER (PARTITION BY series ORDER BY t) - 1 AS k, t, log_n AS y FROM {source}
+        UNION ALL SELECT series, count(*), NULL, NULL FROM {source} GROUP BY series),
+      nodes AS MATERIALIZED (
+        SELECT row_number() OVER () AS node, a.sd AS eps, b.sd AS sigma, a.u, b.u AS v, a.lw + b.lw AS lw
+        FROM ({first}) a, ({second}) b),
+      fwd AS MATERIALIZED (
+        SELECT series, node, k, y AS level, 0.0::DOUBLE AS drift, 4.0::DOUBLE AS p, 0.0::DOUBLE AS q, 1.0::DOUBLE AS d,
+          0.0::DOUBLE AS ll, y, eps, sigma FROM observed, nodes WHERE k = 0
+        UNION ALL
+        SELECT f.series, node, o.k, level + drift, drift, p + 2 * q + d + eps * eps, q + d, d, ll, o.y, eps, sigma
+        FROM (SELECT series, node, k, eps, sigma,
+                CASE WHEN y IS NULL THEN level ELSE level + p / s * (y - level) END AS level,
+                CASE WHEN y IS NULL THEN drift ELSE drift + q / s * (y - level) END AS drift,
+                CASE WHEN y IS NULL THEN p ELSE p * sigma * sigma / s END AS p,
+                CASE WHEN y IS NULL THEN q ELSE q * sigma * sigma / s END AS q,
+                CASE WHEN y IS NULL THEN d ELSE greatest(d - q * q / s, 0) END AS d,
+                CASE WHEN y IS NULL THEN ll
+                  ELSE ll - (ln(2 * pi() * s) + (y - level) * (y - level) / s) / 2 END AS ll
+              FROM (SELECT *, p + sigma * sigma AS s FROM fwd) a) f
+        JOIN observed o ON o.series = f.series AND o.k = f.k + 1),
+      ends AS (SELECT series, max(k) AS k FROM observed GROUP BY series),
+      held AS MATERIALIZED (
+        SELECT * FROM (
+          SELECT *, share / sum(share) OVER (PARTITION BY series) AS w
+          FROM (SELECT f.*, n.u, n.v, exp(ll + lw - max(ll + lw) OVER (PARTITION BY f.series)) AS share
+                FROM fwd f JOIN ends e ON e.series = f.series AND e.k = f.k JOIN nodes n ON n.node = f.node) a) b
+        WHERE w > 1e-13)"""
+
+
+def _cdf(z: str) -> str:
+    k = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2.0::DOUBLE)))"
+    poly = f"{k} * (0.254829592 + {k} * (-0.284496736 + {k} * (1.421413741 + {k} * (-1.453152027 + {k} * 1.061405429))))"
+    upper = f"0.5 * ({poly}) * exp(-({z}) * ({z}) / 2)"
+    return f"CASE WHEN {z} > 0 THEN 1 - {upper} ELSE {upper} END"
+
+
+def _quantiles(name: str, table: str, keys: str) -> str:
+    """CTEs that end in ``name``: lcl, median and ucl of mixtures of normals (w, m, s), a row per keys."""
+    same = " AND ".join(f"n.{k} = b.{k}" for k in keys.split(", "))
+    own = ", ".join(f"b.{k}" for k in keys.split(", "))
+    return f"""{name}_halved AS (
+        SELECT {keys}, target::DOUBLE AS target, min(m - 9 * s) AS low, max(m + 9 * s) AS high, 0 AS i
+        FROM {table}, (VALUES (0.025), (0.5), (0.975)) AS v(target) GROUP BY ALL
+        UNION ALL
+        SELECT {keys}, target, CASE WHEN below < target THEN middle ELSE low END,
+          CASE WHEN below < target THEN high ELSE middle END, i + 1
+        FROM (SELECT {own}, target, low, high, middle, i, sum(w * ({_cdf("z")})) AS below
+              FROM (SELECT {own}, target, low, high, middle, i, w, (middle - n.m) / n.s AS z
+                    FROM (SELECT *, (low + high) / 2 AS middle FROM {name}_halved WHERE i < 46) b
+                    JOIN {table} n ON {same}) b GROUP BY ALL) q),
+      {name} AS (
+        SELECT {keys}, max(CASE WHEN target < 0.5 THEN (low + high) / 2 END) AS lcl,
+          max(CASE WHEN target = 0.5 THEN (low + high) / 2 END) AS median,
+          max(CASE WHEN target > 0.5 THEN (low + high) / 2 END) AS ucl
+        FROM {name}_halved WHERE i = 46 GROUP BY {keys})"""
+
+
+def _levels(source: str) -> str:
+    """series, t and the statistics of N from (series, t, log_n)."""
+    axis = _axis(4, 32)
+    return f"""{_filtered(source, axis, axis)},
+      past AS MATERIALIZED (
+        SELECT series, node, k, level, p, q, y, s, 1 - (p + q) / s AS k1, -q / s AS k2
+        FROM (SELECT f.*, f.p + f.sigma * f.sigma AS s
+              FROM fwd f JOIN held h ON h.series = f.series AND h.node = f.node) a),
+      back AS (
+        SELECT series, node, k, 0.0::DOUBLE AS r1, 0.0::DOUBLE AS r2, 0.0::DOUBLE AS n11, 0.0::DOUBLE AS n12,
+          0.0::DOUBLE AS n22, w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS s FROM held
+        UNION ALL
+        SELECT series, node, k, r1, r2, n11, n12, n22, w, level + p * r1 + q * r2,
+          sqrt(greatest(p - (p * p * n11 + 2 * p * q * n12 + q * q * n22), 1e-300))
+        FROM (SELECT f.series, f.node, f.k, f.level, f.p, f.q, b.w,
+                CASE WHEN y IS NULL THEN r1 ELSE (y - level) / f.s + k1 * r1 + k2 * r2 END AS r1, r1 + r2 AS r2,
+                CASE WHEN y IS NULL THEN n11
+                  ELSE 1 / f.s + k1 * k1 * n11 + 2 * k1 * k2 * n12 + k2 * k2 * n22 END AS n11,
+                CASE WHEN y IS NULL THEN n11 + n12 ELSE k1 * (n11 + n12) + k2 * (n12 + n22) END AS n12,
+                n11 + 2 * n12 + n22 AS n22
+              FROM back b JOIN past f ON f.series = b.series AND f.node = b.node AND f.k = b.k - 1) q),
+      levels AS MATERIALIZED (SELECT *, exp(m + s * s / 2) AS value FROM back WHERE s > 0),
+      moments AS (
+        SELECT l.series, l.k, any_value(a.mean) AS mean,
+          sqrt(sum(w * value * value * (exp(s * s) - 1)) + sum(w * (value - a.mean) * (value - a.mean))) AS sd
+        FROM levels l JOIN (SELECT series, k, sum(w * value) AS mean FROM levels GROUP BY series, k) a
+        ON a.series = l.series AND a.k = l.k GROUP BY l.series, l.k),
+      {_quantiles("limits", "levels", "series, k")}
+      SELECT m.series, o.t, mean, sd, exp(lcl) AS lcl, exp(ucl) AS ucl, exp(median) AS median
+      FROM moments m JOIN limits q ON q.series = m.series AND q.k = m.k
+      JOIN observed o ON o.series = m.series AND o.k = m.k"""
+
+
+def _growth(source: str) -> str:
+    axis = _axis(4, 32)
+    return f"""{_filtered(source, axis, axis)},
+      drifts AS MATERIALIZED (SELECT series, w, drift AS m, sqrt(greatest(d, 1e-300)) AS s FROM held),
+      {_quantiles("limits", "drifts", "series")}
+      SELECT d.series, 'growth_rate' AS parameter, any_value(a.mean) AS mean,
+        sqrt(sum(w * (s * s + (m - a.mean) * (m - a.mean)))) AS sd, any_value(lcl) AS lcl, any_value(ucl) AS ucl,
+        any_value(median) AS median
+      FROM drifts d JOIN (SELECT series, sum(w * m) AS mean FROM drifts GROUP BY series) a ON a.series = d.series
+      JOIN limits q ON q.series = d.series GROUP BY d.series"""
+
+
+def _sd(source: str, parameter: str, fine: int = 4000) -> str:
+    """Moments and limits of one sd: narrow strips of it, Gauss nodes of the other."""
+    first, second = _even(fine), _axis(2, 32)
+    sd, at = ("eps", "u") if parameter == "process_sd" else ("sigma", "v")
+    pair = (first, second) if parameter == "process_sd" else (second, first)
+    limit = "max(CASE WHEN before < {p} * total AND upto >= {p} * total THEN (edge + ({p} * total - before) / here) / {n} END)"
+    lcl, median, ucl = (
+        f"2 * power({limit.format(p=p, n=fine)}, 3)" for p in ("0.025::DOUBLE", "0.5::DOUBLE", "0.975::DOUBLE")
+    )
+    return f"""{_filtered(source, *pair)},
+      strips AS (SELECT series, floor({at} * {fine}) AS edge, any_value({sd}) AS value, sum(w) AS here
+        FROM held GROUP BY series, floor({at} * {fine})),
+      summed AS (SELECT *, sum(here) OVER (PARTITION BY series) AS total,
+          sum(here) OVER (PARTITION BY series ORDER BY edge) AS upto,
+          coalesce(sum(here) OVER (PARTITION BY series ORDER BY edge ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            AS before FROM strips),
+      means AS (SELECT series, sum(here * value) / sum(here) AS mean FROM strips GROUP BY series)
+      SELECT s.series, '{parameter}' AS parameter, any_value(mean) AS mean,
+        sqrt(sum(here * (value - mean) * (value - mean)) / sum(here)) AS sd, {lcl} AS lcl, {ucl} AS ucl, {median} AS median
+      FROM summed s JOIN means m ON m.series = s.series GROUP BY s.series"""
+
+
+step("log_series", "series", "SELECT series_id AS series, t, ln(n) AS log_n FROM series")
 oracle(
-    "series_prep",
+    "local_level_trend",
+    "log_series",
+    f"SELECT series AS series_id, t, mean, sd, lcl, ucl, median, 'ok' AS status FROM ({_levels('log_series')}) q",
+)
+step(
+    "species_series",
     "all_estimates",
-    """SELECT g.species, CAST(g.year AS INT) AS year, e.n, ln(e.n) AS log_n
+    """SELECT g.species AS series, CAST(g.year AS INT) AS t, e.n, ln(e.n) AS log_n
       FROM (SELECT species, unnest(range(min(year), max(year) + 1)) AS year FROM all_estimates
             WHERE year >= CASE species WHEN 'canada goose' THEN 1996 WHEN 'trumpeter swan' THEN 1997 ELSE 1973 END
             GROUP BY species) g
       LEFT JOIN all_estimates e ON g.species = e.species AND g.year = e.year""",
 )
+oracle("series_prep", "species_series", "SELECT series AS species, t AS year, n, log_n FROM species_series")
+oracle(
+    "local_level_trend_species",
+    "species_series",
+    f"""SELECT q.series AS species, q.t AS year, mean, sd, lcl, ucl, median, 'ok' AS status, s.n
+      FROM ({_levels('species_series')}) q JOIN species_series s ON s.series = q.series AND s.t = q.t""",
+)
+oracle(
+    "trend_parameters",
+    "species_series",
+    f"""SELECT series AS species, parameter, mean, sd, lcl, ucl, median, 'ok' AS status FROM (
+        {_growth('species_series')}) a
+      UNION ALL SELECT series, parameter, mean, sd, lcl, ucl, median, 'ok' FROM ({_sd('species_series', 'process_sd')}) b
+      UNION ALL SELECT series, parameter, mean, sd, lcl, ucl, median, 'ok' FROM ({_sd('species_series', 'observation_sd')}) c""",
+)
 oracle(
     "trend_with_survey",
     ("trend_results", "all_estimates"),

@@ -531,18 +531,24 @@ def prepared(spark, sf):
 query("series_prep", log_n=9)(prepared)
 
 
-@query("local_level_trend", mean=4, sd=4, lcl=3, ucl=3, median=3)
+@query("local_level_trend", mean=0, sd=0, lcl=0, ucl=0, median=0)
 def _(spark, sf):
     """Monthly totals of every flag as series, one month missing."""
     series = view(spark, sf, "series").withColumn("log_n", F.ln("n"))
-    return trend.local_level_trend(series, "series_id", "t")
+    return trend.local_level_trend(series, "series_id", "t").drop("error", "nodes")
 
 
-@query("local_level_trend_species", mean=4, sd=4, lcl=3, ucl=3, median=3, n=1)
+@query("local_level_trend_species", mean=0, sd=0, lcl=0, ucl=0, median=0, n=1)
 def _(spark, sf):
     """Yearly estimates of every species, prepared, smoothed and joined back."""
     series = materialize(prepared(spark, sf), "series")
-    return trend.trend_with_survey(trend.local_level_trend(series), series)
+    return trend.trend_with_survey(trend.local_level_trend(series), series).drop("error", "nodes")
+
+
+@query("trend_parameters", mean=4, sd=4, lcl=3, ucl=3, median=3)
+def _(spark, sf):
+    """Growth rate, process sd and observation sd of every species' yearly estimates."""
+    return trend.trend_parameters(prepared(spark, sf)).drop("error", "nodes")
 
 
 @query("trend_with_survey")

@@ -233,7 +233,7 @@ def corridor_coverage_area(
 
     Cells are given by their centres (cell_id, x, y). Corridors end flat where a line ends; where it
     goes on, the joint is round. Places that several pieces of a line reach count once. Pieces of no length
-    have no strip, but may join others. Cost grows with the cube of the pieces that one line has in one
+    have no strip; their ends meet in a joint. Cost grows with the cube of the pieces that one line has in one
     cell; ``union_lines`` joins pieces that lie on each other or go straight on.
     """
     reach = dist + cell_size * 0.5**0.5

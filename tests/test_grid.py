@@ -124,7 +124,7 @@ def test_areas_in_closed_form(spark):
         (3, 1, -10, 0, 3, 0), (3, 2, -2, 0, 10, 0),  # on each other in part
         (4, 1, -10, 0, 0, 0), (4, 2, 0, 0, 0, 10),  # a right angle
         (5, 1, -1, 0, 1, 0), (5, 2, -1, 0.02, 1, 0.02),  # side by side, ends in line
-        (6, 1, 0, 0, 0, 0),  # no length
+        (6, 1, 0, 0, 0, 0),  # no length: both ends meet
     ]
     got = coverage.corridor_coverage_area(cells(spark, [(0, 0)]), lines(spark, rows), 0.025, 2.0).collect()
     d = 0.025
@@ -134,6 +134,7 @@ def test_areas_in_closed_form(spark):
         3: 2 * 2 * d,
         4: 2 * 2 * d - d * d + math.pi * d * d / 4,
         5: 2 * (2 * d + 0.02),
+        6: math.pi * d * d,
     }
     assert {r.transect: r.area for r in got} == pytest.approx(wanted, rel=1e-9)
 

@@ -74,12 +74,57 @@ def test_limits_are_quantiles_of_the_dense_mixture(spark):
             assert below == pytest.approx(p, abs=2e-3)
 
 
-def test_grid_has_converged_for_quiet_and_noisy_series(spark):
-    df = frame(spark, {"noisy": make_series(20, 0.8), "quiet": make_series(20, 0.02)})
-    coarse, fine = fit(spark, df, grid=80), fit(spark, df, grid=160)
-    for name in ("noisy", "quiet"):
-        for c in ("mean", "lcl", "median", "ucl"):
-            assert [r[c] for r in coarse[name]] == pytest.approx([r[c] for r in fine[name]], rel=3e-3)
+def whole_square(y, n=130):
+    """Results on one grid that is fine everywhere."""
+    return trend._results(np.asarray(y), trend._Grid(np.asarray(y), np.array([[0.0, 1.0], [0.0, 1.0]]), n))
+
+
+@pytest.mark.parametrize("noise", [0.8, 0.3, 0.02])
+@pytest.mark.parametrize("steps", [2, 8, 20, 60])
+def test_the_fitted_grid_gives_what_a_fine_one_gives(steps, noise):
+    y = make_series(steps, noise, missing=(4,) if steps > 4 else ())
+    levels, parameters = whole_square(y)
+    found, of_parameters, error, nodes = trend._fit(y, 1e-8)
+    assert found == pytest.approx(levels, rel=3e-7)
+    assert of_parameters == pytest.approx(parameters, rel=1e-4, abs=1e-6)
+    assert error < 1e-8
+
+
+def test_four_digits_take_less_than_half_of_a_full_grid():
+    spent = []
+    for steps, noise in ((2, 0.3), (8, 0.3), (20, 0.8), (60, 0.3)):
+        y = make_series(steps, noise, missing=())
+        found, _, _, nodes = trend._fit(y, 1e-4)
+        assert found == pytest.approx(whole_square(y)[0], rel=1e-4)
+        spent.append(nodes)
+    assert sum(spent) / len(spent) < 6400 / 2
+
+
+def test_parameters_match_dense_conditioning(spark):
+    y = make_series(14)
+    rows = trend.trend_parameters(frame(spark, {"a": y})).collect()
+    got = {r.parameter: r for r in rows}
+    grid = 100
+    w, _, _ = dense(y, grid)
+    sds = 2 * ((np.arange(grid) + 0.5) / grid) ** 2
+    for name, weight in (("process_sd", w.reshape(grid, grid).sum(1)), ("observation_sd", w.reshape(grid, grid).sum(0))):
+        mean = weight @ sds
+        assert got[name]["mean"] == pytest.approx(mean, rel=2e-3)
+        assert got[name].sd == pytest.approx(math.sqrt(weight @ (sds - mean) ** 2), rel=5e-3)
+        for c, p in (("lcl", 0.025), ("median", 0.5), ("ucl", 0.975)):
+            assert np.interp(got[name][c], sds, np.cumsum(weight) - weight / 2) == pytest.approx(p, abs=5e-3)
+    # the drift is what the level gains a step in the long run
+    y = 5 + 0.1 * np.arange(40) + RNG.normal(0, 0.02, 40)
+    growth = trend.trend_parameters(frame(spark, {"a": y})).filter("parameter = 'growth_rate'").first()
+    assert growth["mean"] == pytest.approx(0.1, abs=0.01)
+    assert growth.lcl < 0.1 < growth.ucl
+
+
+def test_a_bad_series_has_no_parameters(spark):
+    rows = trend.trend_parameters(frame(spark, {"late": [math.nan, 1.0]})).collect()
+    assert [(r.parameter, r["mean"], r.status) for r in rows] == [
+        (p, None, "first value missing") for p in ("growth_rate", "process_sd", "observation_sd")
+    ]
 
 
 def test_a_bad_series_leaves_the_others_alone(spark):
