@@ -59,6 +59,59 @@ def test_swaps_empty_bins_that_best_fit_leaves():
     assert len(packing.swap_search([[0, 1], [2], [3]], [50, 20, 60, 30], 100)) == 2
 
 
+def plain_search(bins, sizes, most):
+    """Every change between every two bins, tried one by one, until none raises the sum of squares."""
+    bins = [list(b) for b in bins]
+
+    def options(b):
+        return [()] + [(i,) for i in b] + [(i, k) for n, i in enumerate(b) for k in b[n + 1 :]]
+
+    changed = True
+    while changed:
+        changed = False
+        for low in range(len(bins)):
+            for high in range(len(bins)):
+                for give in options(bins[low]):
+                    for take in options(bins[high]):
+                        if low == high or not give or len(give) + len(take) > 3:
+                            continue
+                        if len(give) == 2 and not take:
+                            continue
+                        moved = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
+                        a, b = (sum(sizes[i] for i in bins[x]) for x in (low, high))
+                        if moved > 0 and a <= b and b + moved <= most and set(give) <= set(bins[low]) and set(take) <= set(bins[high]):
+                            bins[low] = [i for i in bins[low] if i not in give] + list(take)
+                            bins[high] = [i for i in bins[high] if i not in take] + list(give)
+                            changed = True
+    return [b for b in bins if b]
+
+
+def test_the_search_leaves_nothing_that_a_plain_one_finds():
+    rng = random.Random(3)
+    totals = [0, 0]
+    for _ in range(15):
+        sizes = [rng.randrange(250, 420) for _ in range(24)]
+        bins = packing.best_fit(sizes, 1000)
+        after = packing.swap_search(bins, sizes, 1000)
+        assert sorted(map(sorted, plain_search(after, sizes, 1000))) == sorted(map(sorted, after))
+        totals[0] += len(after)
+        totals[1] += len(plain_search(bins, sizes, 1000))
+    assert totals[0] <= totals[1]
+
+
+def test_no_bin_is_kept_from_giving():
+    rng = random.Random(1)
+    sizes = [rng.randrange(1000, 1700) for _ in range(2000)]
+    assert len(packing.swap_search(packing.best_fit(sizes, 4096), sizes, 4096)) <= 685
+
+
+def test_ids_keep_their_type(spark):
+    rows = spark.createDataFrame([("a", "x y"), (None, "z"), ("b", None)], "doc_id string, text string")
+    got = packing.pack(rows, PATH)
+    assert got.schema["doc_id"].dataType.simpleString() == "string"
+    assert sorted((r["doc_id"] or "", r["length"]) for r in got.collect()) == [("", 2), ("a", 3), ("b", 1)]
+
+
 def test_many_equal_and_repeated_rows(spark, empty):
     rows = spark.createDataFrame([(1, "a")] * 5000 + [(None, None)], "doc_id long, text string")
     got = packing.pack(rows, PATH, bucket=512).collect()
