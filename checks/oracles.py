@@ -1280,3 +1280,91 @@ oracle(
     """SELECT var_samp(4 + 0.75::DOUBLE * normal) /
       (var_samp(4 + 0.75::DOUBLE * normal) + var_samp(value - (4 + 0.75::DOUBLE * normal))) AS r2 FROM season_pairs""",
 )
+
+
+# Student-t fits by expectation-maximisation in a recursion, the degrees of freedom by one Newton step each time.
+def _digamma(x: str) -> str:
+    shifted = " - ".join(f"1 / ({x} + {i})" for i in range(10))
+    z = f"({x} + 10)"
+    return f"(ln({z}) - 0.5 / {z} - (1 / 12.0 - (1 / 120.0 - 1 / (252.0 * {z} * {z})) / ({z} * {z})) / ({z} * {z}) - {shifted})"
+
+
+def _trigamma(x: str) -> str:
+    shifted = " + ".join(f"1 / (({x} + {i}) * ({x} + {i}))" for i in range(10))
+    z = f"({x} + 10)"
+    return (
+        f"(1 / {z} + 0.5 / ({z} * {z}) + (1 / 6.0 - (1 / 30.0 - 1 / (42.0 * {z} * {z})) / ({z} * {z}))"
+        f" / ({z} * {z} * {z}) + {shifted})"
+    )
+
+
+def _t_fit(pairs: str, dims: int, distance: str, start: str, update: str, nu: str = "10.0", steps: int = 400) -> str:
+    """A row per g of ``pairs`` (g, x, y). ``start`` and ``update`` are columns of the state, from moments of
+    the pairs and from weighted ones; ``distance`` is the squared distance by the state p."""
+    up = f"((nu + {dims}) / 2.0)"
+    first = f"(n / 2.0 * ({_digamma(up)} - {_digamma('(nu / 2)')} - {dims} / nu) - log_tail / 2 + {up} * pull / nu)"
+    second = f"""(n / 4.0 * ({_trigamma(up)} - {_trigamma('(nu / 2)')} + 2 * {dims} / (nu * nu)) + pull / nu
+        - {up} * (pull + nu * bend) / (nu * nu))"""
+    bent = f"(nu * nu * {second} + nu * {first})"
+    turn = f"CASE WHEN {bent} < 0 THEN -nu * {first} / {bent} ELSE sign({first}) * 0.5 END"
+    free = nu == "10.0"
+    new_nu = f"least(200, greatest(1, nu * exp(least(0.5, greatest(-0.5, {turn})))))" if free else "nu"
+    return f"""WITH RECURSIVE fit AS (
+        SELECT g, 0 AS i, count(*) AS n, {nu}::DOUBLE AS nu, {start} FROM {pairs} GROUP BY g
+        UNION ALL
+        SELECT g, i + 1, n, {new_nu}, {update}
+        FROM (SELECT g, i, n, nu, first(p) AS p, sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * x) AS wxx,
+                sum(w * x * y) AS wxy, sum(w * y * y) AS wyy, sum(w * d) AS wd, sum(ln(1 + d / nu)) AS log_tail,
+                sum(d / (d + nu)) AS pull, sum(d / ((d + nu) * (d + nu))) AS bend
+              FROM (SELECT *, (nu + {dims}) / (nu + d) AS w
+                    FROM (SELECT f.g, i, n, nu, p, x, y, {distance} AS d
+                          FROM fit f JOIN {pairs} q ON q.g = f.g WHERE i < {steps}) a) b
+              GROUP BY g, i, n, nu) c)
+      SELECT g, n AS n_pairs, nu, p, nu <= 1 OR nu >= 200 AS nu_at_bound FROM fit WHERE i = {steps}"""
+
+
+_BIVARIATE = {
+    "dims": 2,
+    "distance": """((x - p.mx) * (x - p.mx) * p.syy - 2 * (x - p.mx) * (y - p.my) * p.sxy + (y - p.my) * (y - p.my) * p.sxx)
+        / (p.sxx * p.syy - p.sxy * p.sxy)""",
+    "start": """{'mx': avg(x), 'my': avg(y), 'sxx': var_pop(x), 'sxy': covar_pop(x, y), 'syy': var_pop(y)} AS p""",
+    "update": """{'mx': wx / w, 'my': wy / w, 'sxx': (wxx - wx * wx / w) / n, 'sxy': (wxy - wx * wy / w) / n,
+        'syy': (wyy - wy * wy / w) / n}""",
+}
+_SLOPE = "((wxy - wx * wy / w) / (wxx - wx * wx / w))"
+_LINE = {
+    "dims": 1,
+    "distance": "(y - p.a - p.b * x) * (y - p.a - p.b * x) / p.s2",
+    "start": "{'a': regr_intercept(y, x), 'b': regr_slope(y, x), 's2': regr_syy(y, x) / count(*)} AS p",
+    "update": f"{{'a': (wy - {_SLOPE} * wx) / w, 'b': {_SLOPE}, 's2': wd * p.s2 / n}}",
+}
+step(
+    "species_pairs",
+    ("zones", "grid", "indexed", "species_codes"),
+    f"""SELECT common_name AS g, value AS x, birds AS y
+      FROM (SELECT transect, avg(value) AS value FROM zones z JOIN grid g ON z.cell_id = g.cell_id GROUP BY transect) m
+      JOIN (SELECT transect, common_name, avg(birds) AS birds
+            FROM (SELECT transect, species, year, sum(indicated) AS birds FROM indexed
+                  WHERE {AIR} AND species IN (50, 32, 40, 44) GROUP BY ALL) y
+            LEFT JOIN species_codes c ON y.species = c.species GROUP BY transect, common_name) k
+      ON m.transect = k.transect""",
+)
+oracle(
+    "robust_bivariate",
+    "species_pairs",
+    f"""SELECT g AS common_name, p.mx AS mu_x, p.my AS mu_y, sqrt(p.sxx) AS sigma_x, sqrt(p.syy) AS sigma_y,
+        p.sxy / sqrt(p.sxx * p.syy) AS rescor, nu, n_pairs, true AS converged, nu_at_bound
+      FROM ({_t_fit("species_pairs", **_BIVARIATE)}) f""",
+)
+step("season_xy", "season_pairs", "SELECT season AS g, normal AS x, value AS y FROM season_pairs")
+_SPREAD = "p.b IS NOT NULL AND p.s2 IS NOT NULL"
+_LINES = f"""SELECT g AS season, p.a AS intercept, p.b AS slope, sqrt(p.s2) AS sigma,
+    CASE WHEN {_SPREAD} THEN nu END AS nu, n_pairs, {_SPREAD} AS converged, {_SPREAD} AND nu_at_bound AS nu_at_bound FROM ({_t_fit("season_xy", **_LINE)}) f"""
+oracle("robust_regression", "season_xy", _LINES)
+oracle(
+    "fitted_r2",
+    "season_xy",
+    f"""SELECT season, var_samp(intercept + slope * x) /
+        (var_samp(intercept + slope * x) + var_samp(y - intercept - slope * x)) AS r2
+      FROM ({_LINES}) l JOIN season_xy q ON q.g = l.season GROUP BY season""",
+)

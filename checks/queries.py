@@ -809,10 +809,14 @@ def _(spark, sf):
     return grid.pearson_corr(transect_pairs(spark, sf), "value", "count", ("common_name",))
 
 
-@query("robust_bivariate", mu_x=2, mu_y=2, sigma_x=2, sigma_y=2, rescor=3, nu=0)
+FIT_COLUMNS = ["n_pairs", "converged", "nu_at_bound"]
+
+
+@query("robust_bivariate", mu_x=3, mu_y=3, sigma_x=3, sigma_y=3, rescor=4, nu=1)
 def _(spark, sf):
-    teal = transect_pairs(spark, sf).filter(F.col("common_name") == "Blue-winged Teal")
-    return robust.robust_bivariate(teal, "value", "count")
+    """Corridor mean and mean count together, for every species."""
+    fits = robust.robust_bivariate(transect_pairs(spark, sf), "value", "count", ["common_name"], tol=1e-9, max_iter=300)
+    return fits.select("common_name", "mu_x", "mu_y", "sigma_x", "sigma_y", "rescor", "nu", *FIT_COLUMNS)
 
 
 def season_pairs(spark, sf):
@@ -822,9 +826,28 @@ def season_pairs(spark, sf):
     return current.join(named, ["cell_id", "season"])
 
 
-@query("robust_regression", intercept=2, slope=3, sigma=2, nu=0)
+def season_lines(spark, sf):
+    """The current total on the normal, a line for each season."""
+    return robust.robust_regression(season_pairs(spark, sf), "normal", "value", ["season"], tol=1e-9, max_iter=300)
+
+
+@query("robust_regression", intercept=3, slope=4, sigma=3, nu=1)
+def _(spark, sf):
+    return season_lines(spark, sf).select("season", "intercept", "slope", "sigma", "nu", *FIT_COLUMNS)
+
+
+@query("robust_limits", rescor=4, rescor_se=4, rescor_lcl=4, rescor_ucl=4)
+def _(spark, sf):
+    """The correlation of every species with its standard error and limits."""
+    fits = robust.robust_bivariate(transect_pairs(spark, sf), "value", "count", ["common_name"], nu=5.0, tol=1e-9, max_iter=300)
+    return fits.select("common_name", "rescor", "rescor_se", "rescor_lcl", "rescor_ucl")
+
+
+@query("fitted_r2", r2=6)
 def _(spark, sf):
-    return robust.robust_regression(season_pairs(spark, sf), "normal", "value")
+    """What the fitted lines explain."""
+    pairs = season_pairs(spark, sf)
+    return robust.fitted_r2(pairs, "normal", "value", season_lines(spark, sf), ["season"]).select("season", "r2")
 
 
 @query("model_r2", r2=9)

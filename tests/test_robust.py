@@ -64,6 +64,79 @@ def test_light_tails_end_at_the_upper_limit(spark):
     assert r.nu == robust.NU_RANGE[1]
 
 
+@pytest.mark.parametrize("nu_range", [(1.0, 5.0), (2.0, 200.0)])
+def test_a_bound_gives_what_the_same_nu_gives(spark, nu_range):
+    rng = np.random.default_rng(8)
+    pairs = np.column_stack([rng.normal(0, 1, 3000), rng.normal(0, 1, 3000)])
+    df = frame(spark, pairs)
+    for fit in (robust.robust_regression, robust.robust_bivariate):
+        bound, given = fit(df, "a", "b", nu_range=nu_range).first(), fit(df, "a", "b", nu=nu_range[1]).first()
+        if bound.nu == nu_range[1]:
+            assert bound.nu_at_bound and bound.converged
+            for c in set(bound.asDict()) & {"sigma", "sigma_x", "sigma_y", "slope", "rescor"}:
+                assert bound[c] == pytest.approx(given[c], rel=1e-4)
+        assert nu_range[1] > 5 or bound.nu == 5
+
+
+def dense_errors(log_lik, best):
+    """Standard errors by second differences of a log likelihood."""
+    k, h = len(best), np.array([1e-3 * max(1, abs(b)) for b in best])
+    hess = np.zeros((k, k))
+    for i in range(k):
+        for j in range(k):
+            total = 0
+            for a in (-1, 1):
+                for b in (-1, 1):
+                    moved = np.array(best, float)
+                    moved[i] += a * h[i]
+                    moved[j] += b * h[j]
+                    total += a * b * log_lik(*moved)
+            hess[i, j] = total / (4 * h[i] * h[j])
+    return np.sqrt(np.diag(np.linalg.inv(-hess)))
+
+
+def test_standard_errors_are_those_of_the_observed_information(spark):
+    pairs = t_pairs(800)
+    r = robust.robust_bivariate(frame(spark, pairs), "a", "b").first()
+    names = ["mu_x", "mu_y", "sigma_x", "sigma_y", "rescor", "nu"]
+    wanted = dense_errors(lambda *p: log_lik(pairs, *p), [r[n] for n in names])
+    assert [r[f"{n}_se"] for n in names] == pytest.approx(list(wanted), rel=0.01)
+    assert all(r[f"{n}_lcl"] < r[n] < r[f"{n}_ucl"] for n in names)
+
+    line = robust.robust_regression(frame(spark, pairs), "a", "b").first()
+
+    def of_line(a, b, s, nu):
+        d = ((pairs[:, 1] - a - b * pairs[:, 0]) / s) ** 2
+        const = math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - math.log(nu * math.pi) / 2 - math.log(s)
+        return len(pairs) * const - (nu + 1) / 2 * np.log1p(d / nu).sum()
+
+    names = ["intercept", "slope", "sigma", "nu"]
+    wanted = dense_errors(of_line, [line[n] for n in names])
+    assert [line[f"{n}_se"] for n in names] == pytest.approx(list(wanted), rel=0.01)
+
+
+def test_groups_are_fitted_as_if_alone(spark):
+    sets = {"p": t_pairs(300, seed=1), None: t_pairs(400, 6.0, -0.3, seed=5), "q": t_pairs(200, 3.0, 0.9, seed=9)}
+    rows = [(k, float(a), float(b)) for k, ps in sets.items() for a, b in ps] + [("one", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "kind string, a double, b double").repartition(4)
+    for fit in (robust.robust_bivariate, robust.robust_regression):
+        got = {r.kind: r for r in fit(df, "a", "b", by=["kind"]).collect()}
+        assert set(got) == {"p", None, "q", "one", "flat"}
+        for k, ps in sets.items():
+            alone = fit(frame(spark, ps), "a", "b").first().asDict()
+            for c, v in alone.items():
+                assert got[k][c] == pytest.approx(v, rel=1e-6) if isinstance(v, float) else got[k][c] == v
+        assert (got["one"].nu, got["one"].n_pairs, got["one"].converged) == (None, 1, False)
+        assert got["flat"].nu is None
+    fits = robust.robust_regression(df, "a", "b", by=["kind"])
+    shares = {r.kind: r.r2 for r in robust.fitted_r2(df, "a", "b", fits, ["kind"]).collect()}
+    line = {r.kind: r for r in fits.collect()}["p"]
+    fit = line.intercept + line.slope * sets["p"][:, 0]
+    rest = np.var(sets["p"][:, 1] - fit)
+    assert shares["p"] == pytest.approx(np.var(fit) / (np.var(fit) + rest))
+    assert shares["one"] is None
+
+
 def test_variance_share(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i + (-1) ** i) for i in range(40)], "a double, b double")
     r2 = robust.model_r2(df, "a", "b", 0.0, 2.0).first().r2
