@@ -183,6 +183,15 @@ SELECT DISTINCT l_orderkey AS line_id, CAST(l_orderkey % 66 + 1 AS INT) AS trans
 FROM {lineitem}
 """
 
+# The same lines as they may be flown: some pieces back again, and some in part once more.
+FLOWN = f"""
+WITH p AS ({PIECES.strip()})
+SELECT * FROM p
+UNION ALL SELECT line_id, transect, seq, x2, y2, x1, y1 FROM p WHERE (line_id + seq) % 3 = 0
+UNION ALL SELECT line_id, transect, seq, (x1 + x2) / 2, (y1 + y2) / 2, x2 + (x2 - x1) / 4, y2 + (y2 - y1) / 4 FROM p
+  WHERE (line_id + seq) % 4 = 0
+"""
+
 # Places in degrees.
 PLACES = """
 SELECT l_orderkey AS record_id, l_linenumber AS line,
@@ -233,6 +242,7 @@ VIEWS = {
     "grid": GRID,
     "climate": CLIMATE,
     "pieces": PIECES,
+    "flown": FLOWN,
     "places": PLACES,
     "ring": RING,
     "year_batches": YEAR_BATCHES,

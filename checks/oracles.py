@@ -1012,6 +1012,41 @@ oracle(
     f"""SELECT line_id, sum((x1 + x2) / 2 * {_LEN}) / sum({_LEN}) AS x, sum((y1 + y2) / 2 * {_LEN}) / sum({_LEN}) AS y
       FROM pieces GROUP BY line_id""",
 )
+# Pieces run to the right by one column a step, so a straight line is its slope and its height at x = 0.
+step(
+    "stretches",
+    "flown",
+    """WITH RECURSIVE p AS (
+        SELECT DISTINCT line_id, least(x1, x2) AS a, greatest(x1, x2) AS b, (y2 - y1) / (x2 - x1) AS slope,
+          y1 - x1 * (y2 - y1) / (x2 - x1) AS base FROM flown),
+      -- a stretch begins where no piece of its straight line ends or goes on
+      starts AS (SELECT DISTINCT line_id, slope, base, a FROM p WHERE NOT EXISTS (
+        SELECT 1 FROM p q WHERE q.line_id = p.line_id AND q.slope = p.slope AND q.base = p.base AND q.a < p.a AND q.b >= p.a)),
+      grown AS (
+        SELECT line_id, slope, base, a, a AS b FROM starts
+        UNION SELECT g.line_id, g.slope, g.base, g.a, p.b FROM grown g JOIN p
+          ON p.line_id = g.line_id AND p.slope = g.slope AND p.base = g.base AND p.a <= g.b AND p.b > g.b),
+      whole AS (SELECT line_id, slope, base, a, max(b) AS b FROM grown GROUP BY ALL),
+      s AS (SELECT line_id, a AS x1, base + slope * a AS y1, b AS x2, base + slope * b AS y2 FROM whole),
+      ends AS (SELECT line_id, x1 AS x, y1 AS y, x2 AS ox, y2 AS oy FROM s UNION SELECT line_id, x2, y2, x1, y1 FROM s),
+      reach AS (
+        SELECT DISTINCT line_id, x, y, x AS rx, y AS ry FROM ends
+        UNION SELECT r.line_id, r.x, r.y, e.ox, e.oy FROM reach r JOIN ends e
+          ON e.line_id = r.line_id AND e.x = r.rx AND e.y = r.ry),
+      root AS (SELECT line_id, x, y, min([rx, ry]) AS least FROM reach GROUP BY line_id, x, y)
+      SELECT s.*, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS length,
+        CAST(dense_rank() OVER (PARTITION BY s.line_id ORDER BY least) AS INT) AS part
+      FROM s JOIN root r ON r.line_id = s.line_id AND r.x = s.x1 AND r.y = s.y1""",
+)
+oracle("union_lines", "stretches", "SELECT * FROM stretches")
+oracle(
+    "dissolve_union",
+    "stretches",
+    """SELECT line_id, count(*) AS n_stretches, max(part) AS n_parts, sum(length) AS length, min(least(x1, x2)) AS xmin,
+        max(greatest(x1, x2)) AS xmax, min(least(y1, y2)) AS ymin, max(greatest(y1, y2)) AS ymax,
+        sum((x1 + x2) / 2 * length) / sum(length) AS x, sum((y1 + y2) / 2 * length) / sum(length) AS y
+      FROM stretches GROUP BY line_id""",
+)
 # Brute force: every piece against every point near its box, by projection parameter.
 step(
     "jointed",

@@ -15,6 +15,7 @@ from fieldcount.operators import (
     estimate,
     grid,
     habitat,
+    lines,
     report,
     robust,
     structure,
@@ -688,6 +689,21 @@ def _(spark, sf):
     return grid.line_centroid(pieces(spark, sf), "line_id")
 
 
+def stretches(spark, sf):
+    return lines.line_parts(lines.union_lines(view(spark, sf, "flown"), ["line_id"]), ["line_id"])
+
+
+@query("union_lines", x1=4, y1=4, x2=4, y2=4, length=6)
+def _(spark, sf):
+    """Straight stretches of lines of which some pieces were flown twice or in part, in numbered parts."""
+    return stretches(spark, sf)
+
+
+@query("dissolve_union", length=5, x=5, y=5)
+def _(spark, sf):
+    return lines.dissolve_union(stretches(spark, sf), ["line_id"])
+
+
 @query("within_corridor")
 def _(spark, sf):
     return grid.within_corridor(cells(spark, sf), pieces(spark, sf), DIST, keys=["line_id"])
