@@ -35,6 +35,7 @@ from fieldcount.llm.bytetext import SPACED, Words, grams, mix, signed, slices, t
 from fieldcount.llm.cells import SCHEMA, CellCounts, cell, gather, ranks
 from fieldcount.llm.graph import components
 from fieldcount.llm.sketch import Bloom, bloom
+from fieldcount.llm.workers import small_batches, tidy
 from fieldcount.session import materialize
 
 #: Rounds of comparing a bucket with one of its documents, after the first.
@@ -74,6 +75,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _counts(texts: DataFrame, k: int) -> np.ndarray:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = CellCounts()
         for batch in batches:
@@ -87,6 +89,7 @@ def _counts(texts: DataFrame, k: int) -> np.ndarray:
 def _profiles(texts: DataFrame, k: int, percent: int, rank) -> DataFrame:
     """Per document: size and signature of its set, and its prefix under the first order."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, one, two, first = [], [], [], []
@@ -111,6 +114,7 @@ def _those(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """Texts of some documents; a filter of fixed size spares most others the shuffle."""
     wanted = texts.sparkSession.sparkContext.broadcast(bloom(ids.select(F.xxhash64("doc_id").alias("key")), "key"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(wanted.value.has(batch["key"].to_numpy()))).select(["doc_id", "text"])
@@ -126,6 +130,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def _filters(texts: DataFrame, k: int, percent: int, rank) -> DataFrame:
     """Set sizes and prefixes under the other orders."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch["text"]):
@@ -164,6 +169,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, k: int, percent: int, rank) ->
     )
     left = materialize(left, "filtered")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -189,6 +195,7 @@ def _with_any(profiles: DataFrame, known: Bloom) -> DataFrame:
     shared = profiles.sparkSession.sparkContext.broadcast(known)
     names = ["doc_id", "n", "one", "two"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = batch["prefix"].flatten().to_numpy()
@@ -305,6 +312,7 @@ def _link_counts(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
         dealt.select(*names, F.col("rep").alias("doc_id"), "component", F.concat(own, above, below).alias("tasks")), "dealt-sets"
     )
 
+    @tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch["text"]):
@@ -340,6 +348,11 @@ def near_duplicates(
     that this one links with. Rows that share an id are one document with several texts; rows
     without an id link with nothing. Other columns are not looked at.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k, percent, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rank = docs.sparkSession.sparkContext.broadcast(ranks(_counts(texts, k)))
     profiles = materialize(_profiles(texts, k, percent, rank), "profiles")

@@ -115,9 +115,18 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, doc_id FROM d
             UNION
             SELECT reach.doc_id, steps.y FROM reach JOIN steps ON reach.r = steps.x
+        ),
+        sets AS (SELECT doc_id, md5(string_agg(s, chr(31) ORDER BY s)) AS id FROM shingles GROUP BY doc_id),
+        equal AS (SELECT doc_id, count(*) OVER (PARTITION BY id) AS n_equal FROM sets),
+        others AS (
+            SELECT x AS doc_id, count(DISTINCT b.id) AS n_links
+            FROM steps JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y WHERE a.id <> b.id GROUP BY x
         )
-        SELECT reach.doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id
-        FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id
+        SELECT reach.doc_id, coalesce(max(n), 0) AS n_shingles, min(r) AS component_id,
+               coalesce(max(n_equal), 1) AS n_equal, coalesce(max(n_links), 0) AS n_links
+        FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id
+        LEFT JOIN equal ON equal.doc_id = reach.doc_id LEFT JOIN others ON others.doc_id = reach.doc_id
+        GROUP BY reach.doc_id
     """,
     "op7_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM documents),

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcount.llm.bytetext import SPACED, raw, slices, tokenize
+from fieldcount.llm.workers import tidy
 from fieldcount.session import materialize
 
 END_ID = 1
@@ -176,6 +177,7 @@ def tokenized_pieces(
 
     key_type = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _LOADED.get(tokenizer_path) or _LOADED.setdefault(tokenizer_path, WordIds(tokenizer_path))
         try:

@@ -48,8 +48,7 @@ def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 @query
