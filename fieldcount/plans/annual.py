@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcount.design import SANDHILL_CRANE, SurveyDesign
+from fieldcount.design import SANDHILL_CRANE, SWAN, WHOOPING_CRANE, SurveyDesign
 from fieldcount.operators import estimate, habitat, report, structure, summaries, trend
 from fieldcount.sources import ingest, store
 
@@ -20,6 +20,7 @@ from fieldcount.sources import ingest, store
 RAW_COUNTS = "raw_duck_counts"
 RAW_WETLANDS = "raw_wetland_counts"
 SPECIES_CODES = "species_codes"
+OBSERVERS = "observers"
 POP_ESTIMATES = "vcf_corrected_pop_estimates"
 SWAN_ESTIMATES = "swan_pop_estimates"
 
@@ -72,9 +73,11 @@ def analyze_survey(
     year: int,
     design: SurveyDesign = SurveyDesign(),
     slots: int = 9,
+    cranes_since: int = 2016,
 ) -> dict[str, DataFrame]:
     """Run every stage for one analysis year. Returns the stage tables by name, read back
-    from ``out``."""
+    from ``out``. Whooping cranes are listed from ``cranes_since`` on; observers where a table
+    of their names is stored."""
     clean, structured = structure_stage(spark, root, out, design, slots)
     codes = ingest.load_table(spark, root, SPECIES_CODES)
     results: dict[str, DataFrame] = {}
@@ -91,7 +94,15 @@ def analyze_survey(
     keep("composition", summaries.composition_share(structured, codes, year, design))
     keep("coots", summaries.last_n_years_total(clean))
     keep("cranes", summaries.total_vs_ungrouped(structured, SANDHILL_CRANE))
+    keep("whooping_crane_rows", summaries.species_since(structured, WHOOPING_CRANE, cranes_since))
+    keep("whooping_crane_total", summaries.species_total(structured, WHOOPING_CRANE, year))
     keep("swans", summaries.swans_small_groups(structured, design=design))
+    capped = structure.cap_large_groups(structured)
+    keep("swans_by_transect", summaries.species_by_region_transect(capped, year, SWAN))
+    keep("air_vs_ground", summaries.air_vs_ground_series(structure.platform_view(capped, "paired")))
+    observers = store.read_or_none(spark, f"{root}/{OBSERVERS}")
+    if observers is not None:
+        keep("observers", report.observer_list(clean, observers))
     keep("survey_timing", summaries.survey_timing(clean, year))
 
     wetlands = ingest.load_table(spark, root, RAW_WETLANDS)
@@ -131,7 +142,9 @@ def report_tables(
     regions = results["population_by_region"]
     lines = {"non_linear": "Non-linear", "linear": "Linear"}
     cranes = {"cranes_total": "Total", "cranes_no_groups": "Excluding groups"}
-    return {
+    named = {"observers": report.observer_text(results["observers"])} if "observers" in results else {}
+    return named | {
+        "survey_years": report.survey_year_count(modelled, ("species",), value="n"),
         "wetland_summary": report.wetland_summary_table(wetlands, year, design=design),
         "wetland_narrative": report.change_narrative(wetlands, year),
         "wetland_figure": report.figure_series(wetlands, lines, ("region",), design.missing_years),

@@ -22,10 +22,11 @@ def analysed(spark, sf, tmp_path_factory):
         kept = F.col("year") <= last
         annual.import_year(spark, root, counts.filter(kept), wetlands.filter(kept), f"to-{last}", DESIGN)
     view(spark, sf, "species_codes").write.parquet(f"{root}/{annual.SPECIES_CODES}")
+    view(spark, sf, "observers").write.parquet(f"{root}/{annual.OBSERVERS}")
     early = F.col("year") < 2001
     for name, table in (("pop_estimates", annual.POP_ESTIMATES), ("swan_estimates", annual.SWAN_ESTIMATES)):
         store.append_to_table(view(spark, sf, name).filter(early), f"{root}/{table}", "early")
-    results = annual.analyze_survey(spark, root, out, 2001, DESIGN, SLOTS)
+    results = annual.analyze_survey(spark, root, out, 2001, DESIGN, SLOTS, q.SINCE)
     return root, out, results
 
 
@@ -47,6 +48,10 @@ def test_import_holds_every_row_once(spark, sf, analysed):
         ("seen_by_platform", "seen_by_platform"),
         ("coots", "last_n_years_total"),
         ("cranes", "total_vs_ungrouped"),
+        ("whooping_crane_total", "species_total"),
+        ("swans_by_transect", "species_by_region_transect"),
+        ("air_vs_ground", "air_vs_ground_series"),
+        ("observers", "observer_list"),
         ("paired_sums", "paired_transect_sums"),
         ("wetland_summaries", "wetland_classes"),
         ("ratio_correction", "ratio_correction"),
@@ -63,6 +68,14 @@ def test_stage_equals_its_query(spark, sf, analysed, stage, name):
     assert rows(got, wanted.columns) == rows(wanted, wanted.columns)
 
 
+def test_whooping_crane_rows(spark, sf, analysed):
+    _, _, results = analysed
+    wanted = q.QUERIES["species_since"](spark, sf)
+    rows_kept = results["whooping_crane_rows"]
+    assert rows_kept.count() == wanted.count()
+    assert {r.year for r in rows_kept.select("year").distinct().collect()} == {r.year for r in wanted.select("year").distinct().collect()}
+
+
 def test_estimates_join_the_stored_series(spark, analysed):
     root, _, results = analysed
     stored = spark.read.parquet(f"{root}/{annual.POP_ESTIMATES}")
@@ -80,6 +93,8 @@ def test_report_tables(spark, analysed):
     tables = annual.report_tables(results, 2001, DESIGN)
     counts = {name: df.count() for name, df in tables.items()}
     assert counts["estimates"] == 25
+    assert counts["survey_years"] == 7
+    assert counts["observers"] == q.QUERIES["observer_text"](spark, "/root/testdata/sf0.001").count()
     assert counts["top_region"] == 5
     assert counts["wetland_narrative"] == 4
     assert counts["trend_narrative"] == 7
@@ -92,6 +107,6 @@ def test_report_tables(spark, analysed):
 def test_running_again_changes_nothing(spark, analysed):
     root, out, results = analysed
     before = rows(results["population_by_region"], ["species", "region", "pop_est"])
-    again = annual.analyze_survey(spark, root, out, 2001, DESIGN, SLOTS)
+    again = annual.analyze_survey(spark, root, out, 2001, DESIGN, SLOTS, q.SINCE)
     assert rows(again["population_by_region"], ["species", "region", "pop_est"]) == before
     assert spark.read.parquet(f"{root}/{annual.POP_ESTIMATES}").filter("year = 2001").count() == 6
