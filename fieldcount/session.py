@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,25 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it in spark.checkpoint.dir.
 
     Where that is unset, the session's checkpoint folder or else a folder in its warehouse
-    serves: both are places that Spark itself shares among executors, never a local one.
+    serves. A warehouse on the machine's own disk is shared by nobody but a local session: on a
+    cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = set_dir.get() if set_dir.isDefined() else None
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    if folder:
+        return folder
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    refuse_own_disk(warehouse, spark.sparkContext.master)
+    return f"{warehouse}/scratch"
+
+
+def refuse_own_disk(folder: str, master: str) -> None:
+    """An error if ``folder`` is on the machine's own disk and the executors are on other machines."""
+    one_machine = re.fullmatch(r"local(\[.*\])?", master)
+    if not one_machine and re.match(r"file:|/", folder):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {folder} is not one")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

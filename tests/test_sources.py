@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import queries as q
+from fieldcount import session
 from fieldcount.sources import ingest, store
 from fieldcount.streaming.append import append_stream, batch_writer
 
@@ -176,3 +177,13 @@ def test_new_years_keep_rows_without_a_year(spark):
     existing = spark.range(1990, 1995).select(F.col("id").cast("int").alias("year"))
     incoming = spark.createDataFrame([(1990,), (1996,), (None,)], "year int")
     assert sorted(str(r.year) for r in store.new_years(existing, incoming).collect()) == ["1996", "None"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("local", "local[8]", "local[*]"):
+        session.refuse_own_disk("file:/tmp/warehouse", master)
+    session.refuse_own_disk("hdfs://name/warehouse", "yarn")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://host"):
+        for folder in ("file:/tmp/warehouse", "/tmp/warehouse"):
+            with pytest.raises(ValueError):
+                session.refuse_own_disk(folder, master)
