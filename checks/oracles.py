@@ -1298,6 +1298,53 @@ def _krueger() -> str:
 
 oracle("project_points", "places", _krueger())
 oracle("unproject_points", "places", "SELECT record_id, line, lon, lat FROM places")
+
+
+def _albers() -> str:
+    """With the zone's term by its own integral in logarithms, and all constants computed in SQL."""
+    f = 1 / 298.257222101
+    e2 = f * (2 - f)
+    e = f"{e2**0.5!r}::DOUBLE"
+
+    def zone(lat: str) -> str:
+        s = f"sin(radians({lat}))"
+        return f"{1 - e2!r}::DOUBLE * ({s} / (1 - {e} * {e} * {s} * {s}) - ln((1 - {e} * {s}) / (1 + {e} * {s})) / (2 * {e}))"
+
+    def width2(lat: str) -> str:
+        return f"(cos(radians({lat})) * cos(radians({lat})) / (1 - {e} * {e} * sin(radians({lat})) * sin(radians({lat}))))"
+
+    return f"""WITH k AS (SELECT ({width2('29.5')} - {width2('45.5')}) / (({zone('45.5')}) - ({zone('29.5')})) AS n),
+      c AS (SELECT n, {width2('29.5')} + n * ({zone('29.5')}) AS c FROM k),
+      r AS (SELECT n, c, 6378137.0 * sqrt(c - n * ({zone('23.0')})) / n AS rho0 FROM c),
+      p AS (SELECT record_id, line, lon, lat, n * radians(lon + 96) AS theta, rho0,
+              6378137.0 * sqrt(c - n * ({zone('lat')})) / n AS rho FROM places, r)
+      SELECT record_id, line, lon, lat, rho * sin(theta) AS x, rho0 - rho * cos(theta) AS y FROM p"""
+
+
+oracle("project_albers", "places", _albers())
+oracle("unproject_albers", "places", "SELECT record_id, line, lon, lat FROM places")
+_F1, _F2 = 1 / 294.978698214, 1 / 298.257222101
+_E1, _E2 = _F1 * (2 - _F1), _F2 * (2 - _F2)
+_TURN = "radians(0.5 / 3600)"
+# The latitude by iteration from the geocentric place, which is another way than the operator's.
+oracle(
+    "shift_datum",
+    "places",
+    f"""WITH RECURSIVE g AS (
+        SELECT *, 6378206.4 / sqrt(1 - {_E1!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat))) AS v FROM places),
+      old AS (SELECT record_id, line, v * cos(radians(lat)) * cos(radians(lon)) AS x0,
+          v * cos(radians(lat)) * sin(radians(lon)) AS y0, v * {1 - _E1!r}::DOUBLE * sin(radians(lat)) AS z0 FROM g),
+      new AS (SELECT record_id, line, (x0 - y0 * {_TURN}) * (1 - 0.3e-6) - 8 AS x,
+          (x0 * {_TURN} + y0) * (1 - 0.3e-6) + 160 AS y, z0 * (1 - 0.3e-6) + 176 AS z FROM old),
+      steps AS (
+        SELECT record_id, line, x, y, z, atan2(z, sqrt(x * x + y * y) * {1 - _E2!r}::DOUBLE) AS phi, 0 AS i FROM new
+        UNION ALL
+        SELECT record_id, line, x, y, z,
+          atan2(z + {_E2!r}::DOUBLE * sin(phi) * 6378137.0 / sqrt(1 - {_E2!r}::DOUBLE * sin(phi) * sin(phi)),
+            sqrt(x * x + y * y)), i + 1
+        FROM steps WHERE i < 8)
+      SELECT record_id, line, degrees(atan2(y, x)) AS lon, degrees(phi) AS lat FROM steps WHERE i = 8""",
+)
 oracle(
     "pearson_corr",
     ("zones", "grid", "indexed", "species_codes"),

@@ -16,6 +16,7 @@ from fieldcount.operators import (
     grid,
     habitat,
     lines,
+    projection,
     report,
     robust,
     structure,
@@ -811,6 +812,29 @@ def _(spark, sf):
     return grid.unproject_points(plane).drop("x", "y")
 
 
+@query("project_albers", x=2, y=2)
+def _(spark, sf):
+    return projection.project_albers(view(spark, sf, "places"))
+
+
+@query("unproject_albers", lon=7, lat=7)
+def _(spark, sf):
+    """There and back again: the places as given."""
+    plane = projection.project_albers(view(spark, sf, "places")).drop("lon", "lat")
+    return projection.unproject_albers(plane).drop("x", "y")
+
+
+# An older datum on another ellipsoid, by three shifts, a rotation and a scale.
+OLD_DATUM = projection.DatumShift(
+    projection.Ellipsoid(6378206.4, 294.978698214), dx=-8.0, dy=160.0, dz=176.0, rz=0.5, ppm=-0.3
+)
+
+
+@query("shift_datum", lon=6, lat=6)
+def _(spark, sf):
+    return projection.shift_datum(view(spark, sf, "places"), OLD_DATUM)
+
+
 def transect_pairs(spark, sf):
     """Per transect and species, corridor mean beside mean count."""
     means = grid.zonal_mean(cells(spark, sf), zones(spark, sf))
