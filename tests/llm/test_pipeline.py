@@ -59,6 +59,14 @@ def test_contaminated_documents_go(spark, stages):
     assert len(expected) < stages[3].count()
 
 
+def test_contamination_goes_by_text_not_by_id(spark, stages):
+    quoted = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, quoted, "en", "s", 1), (1, "a clean text", "en", "s", 1), (None, quoted, "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, stages[0].schema)
+    kept = corpus_pipeline.drop_contaminated(spark, docs, SF).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in kept) == [("1", "a clean text"), ("None", "None")]
+
+
 def test_everything_left_is_packed(stages):
     pieces = stages[5]
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {i for i, _ in texts(stages[4])}
