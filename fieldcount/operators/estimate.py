@@ -145,10 +145,25 @@ def _estimate(df: DataFrame, m: float) -> DataFrame:
     )
 
 
+# Columns of the estimates, in their order.
 _ESTIMATE_COLUMNS = (
-    "total_air sqm sum_sq_air sum_sq sum_air_xm var_b se_b cv_b b area r pop_est pop_var "
-    "pop_se_1 pop_se_2"
-).split()
+    "total_air",
+    "sqm",
+    "sum_sq_air",
+    "sum_sq",
+    "sum_air_xm",
+    "var_b",
+    "se_b",
+    "cv_b",
+    "b",
+    "area",
+    "r",
+    "pop_est",
+    "pop_var",
+    "pop_se_1",
+    "pop_se_2",
+)
+
 
 def _transect_sums() -> tuple[Column, Column]:
     t = F.col("total_transect")

@@ -133,6 +133,7 @@ def wetland_summary_table(
         )
 
     table = rows(last_n_surveys(df, n), 1, F.col("year").cast("string"), decimal_text)
+    # The labels of the table's last rows.
     for part in (
         rows(
             pct_change_previous(df, measures),
@@ -286,6 +287,7 @@ def survey_vs_trend_table(
         ]
     )
     percents = [percent_text(F.col(c)) for c in columns]
+    # The labels of the table's last rows.
     parts = (
         rows(
             means(wide.filter(past)),
