@@ -3,8 +3,9 @@ are numbered.
 
 Pieces of a line that run along the same straight line are merged as intervals on it, by one window over
 each straight line. What is left meets at ends only, or crosses; parts are the connected components
-over common ends. They are found by handing each end the smallest end known to its neighbours and
-then following those, which takes as many rounds as the logarithm of the longest chain.
+over common ends. A line of few stretches is one row and finds its parts by itself. For longer lines each
+end is handed the smallest end known to its neighbours and then follows those, which takes as many rounds
+as the logarithm of the longest chain.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldcount.session import discard, scratch_path
+from fieldcount.session import discard, materialize, scratch_path
 
 
 def union_lines(pieces: DataFrame, keys: Sequence[str] = ("transect",), digits: int = 6) -> DataFrame:
@@ -37,15 +38,17 @@ def union_lines(pieces: DataFrame, keys: Sequence[str] = ("transect",), digits:
         .withColumn("size", F.expr("sqrt(dx * dx + dy * dy)"))
         .withColumns({"ux": F.expr("dx / size"), "uy": F.expr("dy / size")})
     )
-    # a straight line: its direction, and how far from the origin it passes
-    on = turned.withColumns(
-        {
-            "lx": F.round("ux", digits + 3),
-            "ly": F.round("uy", digits + 3),
-            "off": F.round(F.expr("low.y * ux - low.x * uy"), digits),
-            "a": F.round(F.expr("low.x * ux + low.y * uy"), digits),
-            "b": F.round(F.expr("high.x * ux + high.y * uy"), digits),
-        }
+    # a straight line: its direction, and how far from the origin it passes, in units of the last decimal
+    unit = 10.0**digits
+    on = turned.select(
+        *keys,
+        "low",
+        "high",
+        F.rint(F.col("ux") * (unit * 1000)).alias("lx"),
+        F.rint(F.col("uy") * (unit * 1000)).alias("ly"),
+        F.rint(F.expr("low.y * ux - low.x * uy") * unit).alias("off"),
+        F.rint(F.expr("low.x * ux + low.y * uy") * unit).alias("a"),
+        F.rint(F.expr("high.x * ux + high.y * uy") * unit).alias("b"),
     )
     line = [*keys, "lx", "ly", "off"]
     along = Window.partitionBy(*line).orderBy("a", "b")
@@ -76,9 +79,46 @@ def _stored(df: DataFrame, before: str | None) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-def line_parts(stretches: DataFrame, keys: Sequence[str] = ("transect",)) -> DataFrame:
+#: Stretches of a line that find their parts within one row; the work grows with the square.
+_SHORT = 256
+
+# Sets of ends that hang together, least end first; then the place of each stretch's set among them.
+_SETS = """array_sort(transform(
+  aggregate(own, cast(array() AS array<array<struct<x: double, y: double>>>), (sets, s) -> concat(
+    filter(sets, t -> NOT (array_contains(t, s.low) OR array_contains(t, s.high))),
+    array(array_union(array(s.low, s.high), flatten(filter(sets, t -> array_contains(t, s.low) OR array_contains(t, s.high))))))),
+  t -> struct(array_min(t) AS least, t AS ends)))"""
+_NUMBERED = """transform(own, s -> struct(
+  s.row AS row, cast(array_position(transform(sets, t -> array_contains(t.ends, s.low)), true) AS int) AS part))"""
+
+
+def line_parts(stretches: DataFrame, keys: Sequence[str] = ("transect",), short: int = _SHORT) -> DataFrame:
     """``stretches`` with ``part``: 1, 2, ... within each line, for stretches that hang together by their
-    ends, in the order of their least end. Ends are compared as they are; null keys are a line."""
+    ends, in the order of their least end. Ends are compared as they are; null keys are a line.
+
+    Lines of more than ``short`` stretches spread over tasks."""
+    stretches = materialize(stretches, "stretches")
+    long_lines = stretches.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > short)
+    if long_lines.isEmpty():
+        return _parts_by_line(stretches, keys)
+    named = long_lines.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    few, many = (stretches.join(named, same, kind) for kind in ("left_anti", "left_semi"))
+    return _parts_by_line(few, keys).union(_parts_by_rounds(many, keys))
+
+
+def _parts_by_line(stretches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    ends = [F.struct(F.col(f"x{i}").cast("double").alias("x"), F.col(f"y{i}").cast("double").alias("y")) for i in (1, 2)]
+    rest = [c for c in stretches.columns if c not in keys]
+    own = F.struct(ends[0].alias("low"), ends[1].alias("high"), F.struct(*rest).alias("row"))
+    lines = stretches.groupBy(*keys).agg(F.collect_list(own).alias("own"))
+    numbered = lines.withColumn("sets", F.expr(_SETS)).select(*keys, F.inline(F.expr(_NUMBERED)))
+    return numbered.select(*keys, "row.*", "part").select(*stretches.columns, "part")
+
+
+def _parts_by_rounds(stretches: DataFrame, keys: Sequence[str]) -> DataFrame:
     own = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
     point = {i: F.struct(*own, F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (1, 2)}
     pairs = stretches.select(F.array(point[1], point[2]).alias("ends"))

@@ -53,3 +53,15 @@ def test_length_and_centroid_of_a_union(spark):
 def test_no_pieces(spark):
     none = lines.line_parts(lines.union_lines(pieces(spark, [("a", 0, 0, 0, 0)])))
     assert none.collect() == [] and "part" in none.columns
+
+
+def test_short_lines_find_their_parts_without_rounds(spark, monkeypatch):
+    rows = [(f"l{i}", j, (i + j) % 2, j + 1, (i + j + 1) % 2) for i in range(20) for j in (0, 1, 2, 5, 6)]
+    rows += [(None, 3, 3, 4, 4), (None, 3, 3, 2, 4), (None, 0, 9, 1, 9), ("ring", 0, 0, 1, 0), ("ring", 1, 0, 1, 1), ("ring", 1, 1, 0, 0)]
+    stretches = lines.union_lines(pieces(spark, rows))
+    columns = ["transect", "x1", "y1", "x2", "y2", "length", "part"]
+    every = {short: sorted(map(str, lines.line_parts(stretches, short=short).select(*columns).collect())) for short in (0, 3, 256)}
+    assert every[0] == every[3] == every[256]
+    assert len(every[0]) == stretches.count()
+    monkeypatch.setattr(lines, "_stored", None)
+    assert lines.line_parts(stretches).agg({"part": "max"}).first()[0] == 2
