@@ -713,8 +713,7 @@ def _(spark, sf):
 def zones(spark, sf):
     """Cells inside the corridors of each transect's lines."""
     keys = ["line_id", "transect"]
-    found = grid.within_corridor(cells(spark, sf), pieces(spark, sf), DIST, keys=keys)
-    return found.select("transect", "cell_id").distinct()
+    return grid.within_corridor(cells(spark, sf), pieces(spark, sf), DIST, keys=keys, zones=["transect"])
 
 
 @query("zonal_mean", value=6)

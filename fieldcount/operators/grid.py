@@ -124,10 +124,12 @@ def candidate_cells(
     bucket: float | None,
     keys: Sequence[str],
     of_pieces: Mapping[str, Column] = {},
+    zones: Sequence[str] | None = None,
 ) -> DataFrame:
     """Distinct cells beside the pieces whose bucket they share. A cell has one bucket and a
     piece each bucket within ``reach``, so a (cell, piece) pair comes up at most once. ``of_pieces`` are
-    computed once a piece, before the join."""
+    computed once a piece, before the join. With ``zones``, some of the keys, a piece that several lines of
+    a zone have alike is one."""
     size = bucket or 2 * reach
     if size < reach:
         raise ValueError("the bucket must not be smaller than the corridor distance")
@@ -136,7 +138,10 @@ def candidate_cells(
         .distinct()
         .withColumns({"bx": F.floor(F.col("x") / size), "by": F.floor(F.col("y") / size)})
     )
-    jointed = _with_joints(pieces, keys).withColumns(dict(of_pieces))
+    jointed = _with_joints(pieces, keys)
+    if zones is not None:
+        jointed = jointed.select(*zones, "x1", "y1", "x2", "y2", "joint1", "joint2").distinct()
+    jointed = jointed.withColumns(dict(of_pieces))
     met = keyed.join(_piece_buckets(jointed, reach, size), ["bx", "by"])
     in_box = [
         F.col(c).between(
@@ -153,11 +158,15 @@ def within_corridor(
     dist: float = 201.168,
     bucket: float | None = None,
     keys: Sequence[str] = ("transect",),
+    zones: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Distinct (line, cell) pairs of the cells inside the flat-ended corridors."""
+    """Distinct (line, cell) pairs of the cells inside the flat-ended corridors.
+
+    Lines are told apart by ``keys``; ``zones``, some of them, give the (zone, cell) pairs of all lines of a
+    zone without making those of each line."""
     inside = _near_piece(dist, F.col("x"), F.col("y"))
-    near = candidate_cells(cells, pieces, dist, bucket, keys).filter(inside)
-    return near.select(*keys, "cell_id").distinct()
+    near = candidate_cells(cells, pieces, dist, bucket, keys, zones=zones).filter(inside)
+    return near.select(*(keys if zones is None else zones), "cell_id").distinct()
 
 
 def corridor_coverage(

@@ -199,36 +199,40 @@ def _covariances(pairs: DataFrame, states: dict[int, dict], model: _Model, nu: f
 @contextmanager
 def _standardized(df: DataFrame, x: str, y: str, by: Sequence[str]) -> Iterator[tuple[DataFrame, dict[int, dict]]]:
     """Pairs (g, x, y) centred and scaled by group, cached across iterations, and of each group its values
-    of ``by`` and the moments that undo it. A cached block lost with its executor is computed again
+    of ``by`` and the moments that undo it. What the pairs come from is computed once, for moments and
+    scaling. A cached block lost with its executor is computed again
     from its source."""
     pairs = df.dropna(subset=[x, y]).select(
         *[F.col(c).alias(f"by{i}") for i, c in enumerate(by)],
         F.col(x).cast("double").alias("x"),
         F.col(y).cast("double").alias("y"),
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     keys = [f"by{i}" for i in range(len(by))]
     moments = {"n": F.count(F.lit(1)), "mx": F.avg("x"), "my": F.avg("y"), "sx": F.stddev_samp("x"), "sy": F.stddev_samp("y")}
-    found = pairs.groupBy(*keys).agg(*[f.alias(k) for k, f in moments.items()]).limit(MOST_GROUPS + 1).collect()
-    if len(found) > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups")
-    groups = {g: row.asDict() for g, row in enumerate(found)}
-    usable = [(g, *[p[c] for c in (*keys, "mx", "my", "sx", "sy")]) for g, p in groups.items() if p["sx"] and p["sy"]]
-    if not by and not usable:
-        raise ValueError("needs at least two pairs and some spread in both columns")
-    kinds = [f"k{i} {pairs.schema[c].dataType.simpleString()}" for i, c in enumerate(keys)]
-    schema = ", ".join(["g int", *kinds, *[f"{c} double" for c in ("mx", "my", "sx", "sy")]])
-    table = df.sparkSession.createDataFrame(usable, schema)
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"k{i}"))
-    joined = pairs.join(table, same) if keys else pairs.withColumns(
-        {"g": F.lit(0), **{c: F.lit(v) for c, v in zip(("mx", "my", "sx", "sy"), usable[0][1:])}}
-    )
-    scaled = joined.selectExpr("g", "(x - mx) / sx AS x", "(y - my) / sy AS y").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield scaled, groups
+        found = pairs.groupBy(*keys).agg(*[f.alias(k) for k, f in moments.items()]).limit(MOST_GROUPS + 1).collect()
+        if len(found) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups")
+        groups = {g: row.asDict() for g, row in enumerate(found)}
+        usable = [(g, *[p[c] for c in (*keys, "mx", "my", "sx", "sy")]) for g, p in groups.items() if p["sx"] and p["sy"]]
+        if not by and not usable:
+            raise ValueError("needs at least two pairs and some spread in both columns")
+        kinds = [f"k{i} {pairs.schema[c].dataType.simpleString()}" for i, c in enumerate(keys)]
+        schema = ", ".join(["g int", *kinds, *[f"{c} double" for c in ("mx", "my", "sx", "sy")]])
+        table = df.sparkSession.createDataFrame(usable, schema)
+        same = F.lit(True)
+        for i, c in enumerate(keys):
+            same = same & F.col(c).eqNullSafe(F.col(f"k{i}"))
+        joined = pairs.join(table, same) if keys else pairs.withColumns(
+            {"g": F.lit(0), **{c: F.lit(v) for c, v in zip(("mx", "my", "sx", "sy"), usable[0][1:])}}
+        )
+        scaled = joined.selectExpr("g", "(x - mx) / sx AS x", "(y - my) / sy AS y").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            yield scaled, groups
+        finally:
+            scaled.unpersist()
     finally:
-        scaled.unpersist()
+        pairs.unpersist()
 
 
 def _fitted(

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from fieldcount.operators import coverage, grid
@@ -212,3 +213,23 @@ def test_a_ring_with_gaps_is_refused(spark, seq):
     ring = spark.createDataFrame([(1, n, *p) for n, p in zip(seq, corners)], "ring int, seq int, x double, y double")
     with pytest.raises(Exception, match="count up by one"):
         grid.mask_polygon(cells(spark, [(5.0, 5.0)]), ring, 1.0).collect()
+
+
+def test_cells_with_the_same_shapes_are_measured_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    kinds, of = rng.uniform(-1, 1, (5, 6)), rng.integers(0, 5, 400)
+    strips, discs = kinds[of][:, None, :4], kinds[of][:, None, 4:]
+    want, sizes, measure = coverage.cell_areas(strips, discs, 0.1, 1.0), [], coverage.cell_areas
+    monkeypatch.setattr(coverage, "cell_areas", lambda s, *rest: sizes.append(len(s)) or measure(s, *rest))
+    assert (coverage._areas_of_distinct(strips, discs, 0.1, 1.0) == want).all()
+    assert sizes == [5]
+
+
+def test_zones_are_the_union_of_their_lines(spark):
+    spots = cells(spark, [(x, y) for x in range(12) for y in range(6)])
+    rows = [(1, 0, 1, 1, 4, 1), (1, 1, 4, 1, 4, 4), (2, 0, 1, 1, 4, 1), (3, 0, 6, 2, 10, 2), (4, 0, 4, 1, 4, 4)]
+    pieces = lines(spark, rows).selectExpr("transect AS line", "transect % 2 AS zone", "x1", "y1", "x2", "y2")
+    keys = ["line", "zone"]
+    each = grid.within_corridor(spots, pieces, 1.2, keys=keys).collect()
+    found = grid.within_corridor(spots, pieces, 1.2, keys=keys, zones=["zone"]).collect()
+    assert sorted((r.zone, r.cell_id) for r in found) == sorted({(r.zone, r.cell_id) for r in each})
