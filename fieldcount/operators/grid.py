@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from fieldcount.functions.columns import ratio
 
+#: How many times as many tasks as a shuffle has deal with the cells beside lines.
+DEALT = 4
+
 # ------------------------------------------------------------------ lines
 
 
@@ -125,11 +128,13 @@ def candidate_cells(
     keys: Sequence[str],
     of_pieces: Mapping[str, Column] = {},
     zones: Sequence[str] | None = None,
+    together: bool = False,
 ) -> DataFrame:
     """Distinct cells beside the pieces whose bucket they share. A cell has one bucket and a
     piece each bucket within ``reach``, so a (cell, piece) pair comes up at most once. ``of_pieces`` are
     computed once a piece, before the join. With ``zones``, some of the keys, a piece that several lines of
-    a zone have alike is one."""
+    a zone have alike is one. With ``together``, the pieces are dealt by line and bucket (``bx``, ``by``)
+    into ``DEALT`` times as many tasks as a shuffle has, since pairs outnumber pieces."""
     size = bucket or 2 * reach
     if size < reach:
         raise ValueError("the bucket must not be smaller than the corridor distance")
@@ -142,7 +147,11 @@ def candidate_cells(
     if zones is not None:
         jointed = jointed.select(*zones, "x1", "y1", "x2", "y2", "joint1", "joint2").distinct()
     jointed = jointed.withColumns(dict(of_pieces))
-    met = keyed.join(_piece_buckets(jointed, reach, size), ["bx", "by"])
+    placed = _piece_buckets(jointed, reach, size)
+    if together:
+        parts = DEALT * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = placed.repartition(parts, *keys, "bx", "by")
+    met = keyed.join(placed, ["bx", "by"])
     in_box = [
         F.col(c).between(
             F.least(f"{c}1", f"{c}2") - reach, F.greatest(f"{c}1", f"{c}2") + reach
@@ -180,9 +189,9 @@ def corridor_coverage(
 ) -> DataFrame:
     """Points (of n x n spread over the cell) and share of each cell inside each corridor.
 
-    The points are bits: pieces of a line cover a point once however many of them reach it,
-    so their bits are or-ed, which happens before the shuffle already. Points must not be farther
-    apart than a corridor is wide, or thin corridors would slip between them.
+    The points are bits: pieces of a line cover a point once however many of them reach it, so their
+    bits are or-ed. That happens where the pieces of a line and bucket are; cells are not shuffled.
+    Points must not be farther apart than a corridor is wide, or thin corridors would slip between them.
     """
     if cell_size / n > 2 * dist:
         raise ValueError(f"{n} points a side leave gaps of {cell_size / n:g}, wider than the corridor")
@@ -199,9 +208,9 @@ def corridor_coverage(
             for k, (dx, dy) in enumerate((dx, dy) for dy in steps for dx in steps)
         ]
     )
-    line_cell = [*keys, "cell_id"]
+    line_cell = [*keys, "bx", "by", "cell_id"]
     covered = (
-        candidate_cells(cells, pieces, reach, bucket, keys)
+        candidate_cells(cells, pieces, reach, bucket, keys, together=True)
         .select("*", F.inline(points))
         .filter(_near_piece(dist, F.col("x") + F.col("dx"), F.col("y") + F.col("dy")))
         .groupBy(*line_cell, *(["word"] if n * n > 62 else []))
@@ -209,6 +218,7 @@ def corridor_coverage(
     )
     if n * n > 62:
         covered = covered.groupBy(*line_cell).agg(F.sum("points").cast("int").alias("points"))
+    covered = covered.select(*keys, "cell_id", "points")
     return covered.withColumn("weight", F.col("points").cast("double") / (n * n))
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from checks import queries as q
-from fieldcount.operators import summaries
+from fieldcount.operators import grid, summaries
 from fieldcount.sources import store
 
 
@@ -108,3 +108,14 @@ def test_stored_observations_push_filters_to_the_scan(spark, sf, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*year[^\]]*2001", text)
     assert "GreaterThanOrEqual(groups,5.0)" in text
     assert "In(grd, [1,4])" in text
+
+
+def test_cells_beside_lines_are_dealt_by_pieces(spark, sf):
+    """Cells outnumber pieces: pieces are dealt by line and bucket into many tasks, cells of a line nowhere else."""
+    df = q.QUERIES["corridor_coverage"](spark, sf)
+    df.collect()
+    text = plan(df).split("Initial Plan")[0]
+    dealt = [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"hashpartitioning\(([^)]*)\)", text)]
+    assert not [keys for keys in dealt if "line_id" in keys and "cell_id" in keys]
+    parts = grid.DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f"line_id, bx, by, {parts}" in dealt
