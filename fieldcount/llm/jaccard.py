@@ -10,12 +10,16 @@ are dropped before any set is shipped; the rest is verified on the full sets.
 Groups of any size cost no pairs within the group:
 
 - Documents with equal sets are one node.
-- Of the documents that share a prefix shingle, each is first compared with the smallest one only.
-  Verified links make components. Shingles whose documents are all in one component are finished.
-- Some more rounds draw another document of each other bucket and compare those with it that are in
-  other components; a large group of near copies grows together in these.
+- Of the documents that share a prefix shingle, each is first compared with a few drawn ones only; a
+  large group of near copies grows together in this. Verified links make components. Shingles whose
+  documents are all in one component are finished.
 - Where a shingle then still joins several components, the documents of different components are
-  paired, and what was not compared yet is. After that no pair that could link components is left.
+  compared. After that no pair that could link components is left.
+
+Both happen inside tasks on bits: of a set's shingles, the parity in each of some hundred or thousand
+cells. Two sets differ in as many shingles at least as their parities differ in cells, so pairs whose
+parities differ in more than the threshold allows never become rows. A shingle that very many documents
+have is dealt in blocks.
 
 Links are then counted within each component, where all of them are: its different sets are dealt into
 blocks by size and hash, every two blocks whose sizes allow a link meet in a task of their own, and
@@ -38,8 +42,12 @@ from fieldcount.llm.sketch import Bloom, bloom
 from fieldcount.llm.workers import small_batches, tidy
 from fieldcount.session import materialize
 
-#: Rounds of comparing a bucket with one of its documents, after the first.
-ROUNDS = 3
+#: Documents of a bucket that all others are compared with first.
+DRAWN = 4
+#: Documents of a bucket that meet in a task on average at most, of each of two blocks.
+BUCKET = 1024
+#: Longs of parities of a set, and of one of more than ``LONG_SET`` shingles.
+PARITIES, MORE_PARITIES, LONG_SET = 8, 32, 384
 #: Sets, and shingles of them, that a block has on average at most.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
@@ -68,6 +76,13 @@ def prefix(shingles: np.ndarray, rank: np.ndarray, salt: int, percent: int) -> n
     return shingles[np.argsort(order, kind="stable")[:few]]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of a set's shingles in each cell is odd, as bits."""
+    longs = PARITIES if len(shingles) <= LONG_SET else MORE_PARITIES
+    at = (mix(shingles ^ np.uint64(3)) & np.uint64(64 * longs - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * longs) & 1).view(np.uint64)
+
+
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     values = np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -92,18 +107,20 @@ def _profiles(texts: DataFrame, k: int, percent: int, rank) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, one, two, first = [], [], [], []
+            size, one, two, first, odd = [], [], [], [], []
             for a, b in slices(batch["text"]):
                 for s in shingle_sets(tokenize(batch["text"].slice(a, b - a), SPACED, lower=True), k):
                     size.append(len(s))
                     one.append(np.sum(mix(s ^ np.uint64(1)), dtype=np.uint64))
                     two.append(np.sum(mix(s ^ np.uint64(2)), dtype=np.uint64))
                     first.append(signed(prefix(s, rank.value, SALTS[0], percent)))
+                    odd.append(parities(s).tobytes())
             columns = [batch["doc_id"], pa.array(size, pa.int64())]
             columns += [pa.array(signed(np.array(x, np.uint64))) for x in (one, two)]
-            yield pa.record_batch([*columns, _lists(first, pa.int64())], names=["doc_id", "n", "one", "two", "prefix"])
+            columns += [_lists(first, pa.int64()), pa.array(odd, pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "n", "one", "two", "prefix", "odd"])
 
-    return texts.mapInArrow(run, f"doc_id {_kind(texts)}, n long, one long, two long, prefix array<long>")
+    return texts.mapInArrow(run, f"doc_id {_kind(texts)}, n long, one long, two long, prefix array<long>, odd binary")
 
 
 def _kind(texts: DataFrame) -> str:
@@ -218,13 +235,106 @@ def _still_apart(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the tokens whose documents the links do not join yet, with their components."""
     known = components(links).withColumnRenamed("node", "doc_id")
     placed = rows.join(known, "doc_id", "left").select(
-        "token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")
+        "token", "doc_id", "n", "one", F.coalesce("component", "doc_id").alias("component")
     )
     placed = materialize(placed, "placed")
     ends = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"))
     return materialize(placed.join(ends.filter("x != y").select("token"), "token", "left_semi"), "open-rows")
 
 
+def _may_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, words: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the pairs of rows are of like size and have parities that do not rule a link out."""
+    ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+    few, more, first, is_long = words
+    for at in range(0, len(i), 1 << 16):
+        part = np.flatnonzero(ok[at : at + (1 << 16)]) + at
+        for long in (False, True):
+            # a set that is not long has no more than its few parities
+            both = is_long[i[part]] & is_long[j[part]]
+            some = part[both] if long else part[~both]
+            own, place = (more, first) if long else (few, np.arange(len(n)))
+            apart = np.bitwise_count(own[place[i[some]]] ^ own[place[j[some]]]).sum(1, dtype=np.int64)
+            ok[some] = (100 + percent) * apart <= (100 - percent) * (n[i[some]] + n[j[some]])
+    return ok
+
+
+def _pairs_of(given: pa.Table, percent: int, every: bool) -> pa.Table:
+    """Pairs (a, b) of rows of whole groups that may link: all, or those with a group's first rows."""
+    group, side, n = (given[c].to_numpy() for c in ("group", "side", "n"))
+    ids, own = given["doc_id"].combine_chunks(), given["component"].combine_chunks().dictionary_encode().indices.to_numpy()
+    odd = [np.frombuffer(x.as_buffer(), np.uint64) for x in given["odd"].combine_chunks()]
+    is_long = np.array([len(x) > PARITIES for x in odd], bool)
+    # cells are numbered from the left of a byte: a long set's parities fold to the few by the low bits of the cell
+    few = np.stack([np.bitwise_xor.reduce(x.reshape(-1, PARITIES), 0) for x in odd])
+    more = np.stack([x for x in odd if len(x) > PARITIES]) if is_long.any() else np.zeros((0, MORE_PARITIES), np.uint64)
+    words = [few, more, np.cumsum(is_long) - 1, is_long]
+    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(begins, len(group)))
+    end = np.repeat(begins + size, size)
+    found = []
+    if every:
+        i, step = np.arange(len(group)), 1
+        while len(i := i[i + step < end[i]]):
+            found.append(_chosen(i, i + step, own, side, n, words, percent))
+            step += 1
+    else:
+        j = np.arange(len(group))
+        for step in range(DRAWN):
+            i = np.repeat(begins + step, size)
+            later = j > i
+            found.append(_chosen(i[later], j[later], own, side, n, words, percent))
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+    return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
+
+
+def _chosen(i, j, own, side, n, words, percent) -> tuple[np.ndarray, np.ndarray]:
+    ok = (own[i] != own[j]) & ((side[i] == 0) | (side[i] != side[j]))
+    i, j = i[ok], j[ok]
+    ok = _may_link(i, j, n, words, percent)
+    return i[ok], j[ok]
+
+
+def _candidates(rows: DataFrame, bits: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Distinct pairs (a, b) of documents that share a token and may link, of different components.
+
+    All of them, or those with some drawn documents of each bucket (or block of it).
+    """
+    sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("blocks")).filter("blocks > 1")
+    dealt = rows.join(sizes, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long"))
+    block = F.pmod(F.xxhash64("doc_id", "n"), F.col("blocks"))
+    others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1) if every else F.array(block)
+    tasks = F.transform(
+        others,
+        lambda k: F.struct(
+            F.least(block, k).alias("p"), F.greatest(block, k).alias("q"), F.signum(block - k).cast("int").alias("side")
+        ),
+    )
+    dealt = dealt.join(bits, ["doc_id", "n", "one"]).select("token", "doc_id", "n", "component", "odd", F.inline(tasks))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    # a hash for the group: two groups that share one only give more candidates to verify
+    dealt = dealt.select(F.xxhash64("token", "p", "q").alias("group"), "side", "doc_id", "n", "component", "odd")
+    dealt = dealt.repartition("group").sortWithinPartitions("group", F.xxhash64("doc_id", F.lit(0)))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch["group"].to_numpy()
+            last = int(np.searchsorted(group, group[-1]))
+            if last or (rest and rest[-1]["group"][-1].as_py() != group[0]):
+                whole = pa.Table.from_batches([*rest, batch.slice(0, last)])
+                rest = []
+                yield from _pairs_of(whole, percent, every).to_batches()
+            rest.append(batch.slice(last))
+        if rest:
+            yield from _pairs_of(pa.Table.from_batches(rest), percent, every).to_batches()
+
+    pairs = dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     """How many values each set of ``one`` has in common with each of ``two``."""
     sides = [np.concatenate(x) for x in (one, two)]
@@ -366,39 +476,16 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     # of documents with equal sets, one stands for all
     chosen = equal.select("n", "one", "two", F.col("rep").alias("doc_id"))
     shared = _with_any(linkable, bloom(tokens, "token")).join(chosen, ["n", "one", "two", "doc_id"], "left_semi")
-    shared = materialize(shared.select("token", "doc_id", "n"), "token-rows")
-    rows = materialize(shared.join(_buckets(shared), "token"), "bucket-rows")
-    first = rows.filter("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = materialize(first, "first-pairs")
-    links, tested = _similar(first, texts, k, percent, rank), first
+    shared = materialize(shared.select("token", "doc_id", "n", "one"), "token-rows")
+    rows = materialize(shared.join(_buckets(shared), "token").drop("least"), "bucket-rows")
+    bits = linkable.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    bits = materialize(bits.groupBy("doc_id", "n", "one").agg(F.min("odd").alias("odd")), "parities")
+    alone = rows.withColumn("component", F.col("doc_id"))
+    first = materialize(_candidates(alone, bits, percent, every=False), "first-pairs")
+    links = _similar(first, texts, k, percent, rank)
     open_rows = _still_apart(rows, links)
-    left = materialize(_those(texts, open_rows.select("doc_id").distinct()), "open-texts")
-    for number in range(ROUNDS):
-        # another document of each bucket, against those that are apart from it
-        pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(number)).alias("draw"), "doc_id", "component")).alias("pick")
-        drawn = open_rows.groupBy("token").agg(pick).select(
-            "token", F.col("pick.doc_id").alias("other"), F.col("pick.component").alias("other_component")
-        )
-        pairs = open_rows.join(drawn, "token").filter("component != other_component")
-        pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
-        pairs = materialize(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "drawn-pairs")
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(_similar(pairs, left, k, percent, rank))
-        open_rows = _still_apart(rows, links)
-    one, two = open_rows.alias("p"), open_rows.alias("q")
-    last = (
-        one.join(
-            two,
-            (F.col("p.token") == F.col("q.token"))
-            & (F.col("p.doc_id") < F.col("q.doc_id"))
-            & (F.col("p.component") != F.col("q.component"))
-            & (100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")),
-        )
-        .select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    links = links.unionByName(_similar(materialize(last, "last-pairs"), left, k, percent, rank))
+    last = _candidates(open_rows, bits, percent, every=True).join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(_similar(materialize(last, "last-pairs"), texts, k, percent, rank))
     found = components(links).select(F.col("node").alias("rep"), "component")
     placed = materialize(equal.join(found, "rep", "left"), "placed-sets")
     counts = _link_counts(placed.filter("component IS NOT NULL").drop("n_equal"), texts, k, percent)

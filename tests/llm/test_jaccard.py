@@ -1,9 +1,11 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from fieldcount.llm import jaccard
+from fieldcount.llm.cells import BITS
 
 
 def rows(df):
@@ -73,3 +75,46 @@ def test_links_of_repeated_ids(spark):
     made = list(zip([1, 1, 2, 3, 3], [*texts, texts[3]]))
     got = links(jaccard.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), 4, 85))
     assert got == [(1, 2), (1, 2), (2, 3), (3, 3), (3, 3)]
+
+
+def test_near_copies_below_the_threshold_are_no_pairs(spark):
+    """100 texts that share a shingle and half of their words: 4950 pairs, none of which may become a row."""
+    rng = random.Random(11)
+    made = []
+    for i in range(100):
+        own = [f"o{i}x{j}" for j in range(100)]
+        made.append((i, " ".join([f"b{j}" for j in range(100 + rng.randrange(20))] + own)))
+    texts = spark.createDataFrame(made, "doc_id long, text string")
+    rank = spark.sparkContext.broadcast(np.zeros(1 << BITS, np.uint8))
+    profiles = jaccard._profiles(texts, 4, 85, rank)
+    rows = profiles.selectExpr("7L AS token", "doc_id", "n", "one", "doc_id AS component")
+    bits = profiles.select("doc_id", "n", "one", "odd")
+    assert [jaccard._candidates(rows, bits, 85, every).count() for every in (True, False)] == [0, 0]
+
+
+def test_parities_lose_no_link_and_hot_shingles_are_dealt_in_blocks(spark, monkeypatch):
+    """Sets of few and many parities in one bucket, in blocks of 4 or not: all pairs that link are candidates."""
+    rng = random.Random(12)
+    made, words = [], [f"w{j}" for j in range(440)]
+    for i in range(30):
+        own = words[: rng.randrange(360, 440)]
+        for _ in range(rng.randrange(8)):
+            own[rng.randrange(len(own))] = f"x{i}"
+        made.append((i, " ".join(own)))
+    texts = spark.createDataFrame(made, "doc_id long, text string")
+    rank = spark.sparkContext.broadcast(np.zeros(1 << BITS, np.uint8))
+    profiles = jaccard._profiles(texts, 4, 85, rank)
+    rows = profiles.selectExpr("7L AS token", "doc_id", "n", "one", "doc_id AS component")
+    bits = profiles.select("doc_id", "n", "one", "odd")
+    sets = {i: brute_set(t) for i, t in made}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])}
+    assert linked
+    for block in (1024, 4):
+        monkeypatch.setattr(jaccard, "BUCKET", block)
+        got = {tuple(r) for r in jaccard._candidates(rows, bits, 85, True).collect()}
+        assert linked <= got
+
+
+def brute_set(text):
+    words = text.split()
+    return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
