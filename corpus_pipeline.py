@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcount.llm import decontaminate, exact, jaccard, packing, quality
+from fieldcount.llm.workers import small_batches
 from fieldcount.session import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,7 +21,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = quality.train(*quality.training_sample(docs, labels, "quality", 4000))
     scored = quality.score_quality(docs.withColumn("__scored", F.col("text")), net, "__scored", "__score")
-    return scored.filter("__score >= 0.3").select(*COLUMNS)
+    # written here, as whole texts must reach the workers in small batches whoever reads the result
+    with small_batches(spark):
+        return materialize(scored.filter("__score >= 0.3").select(*COLUMNS), "accepted")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,5 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with small_batches(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from fieldcount.llm.bytetext import raw, slices
 from fieldcount.llm.labels import held_out, training_sample
+from fieldcount.llm.workers import tidy
 
 PAD = 256
 
@@ -153,6 +154,7 @@ def score_quality(docs: DataFrame, net: ByteConvNet, text_col: str = "text", out
     rest = [c for c in docs.columns if c not in (text_col, out)]
     model = docs.sparkSession.sparkContext.broadcast(net)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldcount.llm import quality
+from fieldcount.llm.workers import BATCH_BYTES
 from fieldcount.session import materialize
 
 SF = "/root/testdata/sf0.01"
@@ -84,3 +85,13 @@ def test_empty_table(spark, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF), "stage-test")
         assert docs.isEmpty()
+
+
+def test_classifier_takes_texts_in_small_batches(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], corpus_pipeline.materialize
+    before = spark.conf.get(key)
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda *given: seen.append(spark.conf.get(key)) or write(*given))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert corpus_pipeline.classify(spark, docs, "/root/testdata/sf0.001").count() <= docs.count()
+    assert [int(size) for size in seen] == [BATCH_BYTES]
+    assert spark.conf.get(key) == before
