@@ -14,16 +14,18 @@ Groups of any size cost no pairs within the group:
   large group of near copies grows together in this. Verified links make components. Shingles whose
   documents are all in one component are finished.
 - Where a shingle then still joins several components, the documents of different components are
-  compared. After that no pair that could link components is left.
+  compared. Of the pairs that may link, each shingle gives only as many as join its components into as
+  few families as they can: fewer than it has documents. Whatever links is of one family then.
 
 Both happen inside tasks on bits: of a set's shingles, the parity in each of some hundred or thousand
 cells. Two sets differ in as many shingles at least as their parities differ in cells, so pairs whose
 parities differ in more than the threshold allows never become rows. A shingle that very many documents
 have is dealt in blocks.
 
-Links are then counted within each component, where all of them are: its different sets are dealt into
-blocks by size and hash, every two blocks whose sizes allow a link meet in a task of their own, and
-that compares all of their pairs and gives a count for each set. Pairs never become rows.
+Links are then found and counted within each family, where all of them are: its different sets are dealt
+into blocks by size and hash, every two blocks whose sizes allow a link meet in a task of their own, and
+that compares all of their pairs and gives for each set a count, and the smallest document that links
+join it with there. Pairs never become rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,8 +261,27 @@ def _may_link(i: np.ndarray, j: np.ndarray, n: np.ndarray, words: list[np.ndarra
     return ok
 
 
-def _pairs_of(given: pa.Table, percent: int, every: bool) -> pa.Table:
-    """Pairs (a, b) of rows of whole groups that may link: all, or those with a group's first rows."""
+def _joined(tree: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the edges between the trees x and y join two; ``tree`` has the smallest of each after."""
+    used = np.zeros(len(x), bool)
+    for e, (u, v) in enumerate(zip(x.tolist(), y.tolist())):
+        while tree[u] != u:
+            u = tree[u]
+        while tree[v] != v:
+            v = tree[v]
+        if u != v:
+            used[e] = True
+            tree[max(u, v)] = min(u, v)
+    while (tree[tree] != tree).any():
+        tree[:] = tree[tree]
+    return used
+
+
+def _pairs_of(given: pa.Table, percent: int, every: bool, joining: bool) -> pa.Table:
+    """Pairs (a, b) of rows of whole groups that may link: all, or those with a group's first rows.
+
+    For ``joining``, of all only so many as join whatever all of them join.
+    """
     group, side, n = (given[c].to_numpy() for c in ("group", "side", "n"))
     ids, own = given["doc_id"].combine_chunks(), given["component"].combine_chunks().dictionary_encode().indices.to_numpy()
     odd = [np.frombuffer(x.as_buffer(), np.uint64) for x in given["odd"].combine_chunks()]
@@ -273,9 +295,16 @@ def _pairs_of(given: pa.Table, percent: int, every: bool) -> pa.Table:
     end = np.repeat(begins + size, size)
     found = []
     if every:
+        # components of one group are trees that its pairs join
+        own = np.unique(np.stack([np.repeat(begins, size), own], 1), axis=0, return_inverse=True)[1].reshape(-1)
+        tree = np.arange(len(group))
         i, step = np.arange(len(group)), 1
         while len(i := i[i + step < end[i]]):
-            found.append(_chosen(i, i + step, own, side, n, words, percent))
+            x, y = _chosen(i, i + step, tree[own], side, n, words, percent)
+            if joining and len(x):
+                used = _joined(tree, tree[own[x]], tree[own[y]])
+                x, y = x[used], y[used]
+            found.append((x, y))
             step += 1
     else:
         j = np.arange(len(group))
@@ -294,10 +323,11 @@ def _chosen(i, j, own, side, n, words, percent) -> tuple[np.ndarray, np.ndarray]
     return i[ok], j[ok]
 
 
-def _candidates(rows: DataFrame, bits: DataFrame, percent: int, every: bool) -> DataFrame:
+def _candidates(rows: DataFrame, bits: DataFrame, percent: int, every: bool, joining: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of documents that share a token and may link, of different components.
 
-    All of them, or those with some drawn documents of each bucket (or block of it).
+    All of them, or those with some drawn documents of each bucket (or block of it). For ``joining``, of
+    all only so many as join whatever all of a bucket join: fewer than it has rows.
     """
     sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("blocks")).filter("blocks > 1")
     dealt = rows.join(sizes, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long"))
@@ -326,10 +356,10 @@ def _candidates(rows: DataFrame, bits: DataFrame, percent: int, every: bool) ->
             if last or (rest and rest[-1]["group"][-1].as_py() != group[0]):
                 whole = pa.Table.from_batches([*rest, batch.slice(0, last)])
                 rest = []
-                yield from _pairs_of(whole, percent, every).to_batches()
+                yield from _pairs_of(whole, percent, every, joining).to_batches()
             rest.append(batch.slice(last))
         if rest:
-            yield from _pairs_of(pa.Table.from_batches(rest), percent, every).to_batches()
+            yield from _pairs_of(pa.Table.from_batches(rest), percent, every, joining).to_batches()
 
     pairs = dealt.mapInArrow(run, f"a {kind}, b {kind}")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -360,19 +390,34 @@ def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _least_joined(near: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The smallest row that the links between the rows ``left`` and ``right`` join each of n rows with."""
+    least, before = np.arange(n), None
+    while before is None or (least != before).any():
+        before = least.copy()
+        least[left] = np.minimum(least[left], np.where(near, least[right][None], n).min(1))
+        least[right] = np.minimum(least[right], np.where(near, least[left][:, None], n).min(0))
+    return least
+
+
 def _links_of(given: pa.Table, k: int, percent: int) -> pa.Table:
-    """The number of links of each set of one or two blocks to the sets of the other, or of the same."""
+    """Per set of one or two blocks the number of its links to sets of the other, or of the same.
+
+    Also its document, and the first of the task's documents that these links join it with.
+    """
     names = ["n", "one", "two"]
     keys = np.stack([given[c].to_numpy() for c in names], 1)
     chosen = np.sort(np.unique(keys, axis=0, return_index=True)[1])
     given, keys = given.take(pa.array(chosen)), keys[chosen]
+    order = pa.compute.sort_indices(given["doc_id"])
+    given, keys = given.take(order), keys[order.to_numpy()]
     ids = given["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy()
     text = given["text"].combine_chunks()
     sets = [s for a, b in slices(text) for s in shingle_sets(tokenize(text.slice(a, b - a), SPACED, lower=True), k)]
     side = given["side"].to_numpy()
     left = np.flatnonzero(side <= 0)
     right = np.flatnonzero(side >= 0)
-    links = np.zeros(len(sets), np.int64)
+    links, least = np.zeros(len(sets), np.int64), np.arange(len(sets))
     if len(left) and len(right):
         both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
         n = keys[:, 0]
@@ -381,22 +426,28 @@ def _links_of(given: pa.Table, k: int, percent: int) -> pa.Table:
         links[left] = near.sum(1)
         if (side != 0).any():
             links[right] = near.sum(0)
+        least = _least_joined(near, left, right, len(sets))
     kept = links > 0
-    return pa.table([*[pa.array(keys[kept, i]) for i in range(3)], pa.array(links[kept])], names=[*names, "n_links"])
+    columns = [*[pa.array(keys[kept, i]) for i in range(3)], pa.array(links[kept])]
+    columns += [given["doc_id"].take(pa.array(np.flatnonzero(kept))), given["doc_id"].take(pa.array(least[kept]))]
+    return pa.table(columns, names=[*names, "n_links", "a", "b"])
+
 
+def _counted_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(n, one, two, n_links, a, b) of the different sets (n, one, two, rep, component, sure) that link.
 
-def _link_counts(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(n, one, two, n_links) of the different sets (n, one, two, rep, component) that link.
+    A set has a row from each task in which it has links; ``b`` is a document that links join its own
+    document ``a`` with. Two sets alone in a component need no comparing if their link is ``sure``.
 
     Classes of sizes are a little wider than what the threshold allows, so sets that link are of the
     same class or of neighbouring ones.
     """
     names = ["n", "one", "two"]
-    totals = members.groupBy("component").agg(F.count(F.lit(1)).alias("n_sets"))
+    totals = members.groupBy("component").agg((F.min("sure") & (F.count(F.lit(1)) == 2)).alias("pair"))
     known = members.join(totals, "component")
-    pairs = known.filter("n_sets = 2").select(*names, F.lit(1).cast("long").alias("n_links"))
+    pairs = known.filter("pair").select(*names, F.lit(1).cast("long").alias("n_links"), F.col("rep").alias("a"), F.col("component").alias("b"))
     step = float(np.log(1.001 * 100 / percent))
-    many = known.filter("n_sets > 2").withColumn("class", F.floor(F.log("n") / step))
+    many = known.filter("NOT pair").withColumn("class", F.floor(F.log("n") / step))
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
     groups = materialize(many.groupBy("component", "class").agg(blocks.alias("blocks")), "size-blocks")
 
@@ -439,10 +490,10 @@ def _link_counts(members: DataFrame, texts: DataFrame, k: int, percent: int) ->
     )
     rows = signed_texts.join(dealt, ["doc_id", *names]).select("*", F.inline("tasks")).drop("tasks")
     counted = rows.groupBy("component", "low", "p", "q").applyInArrow(
-        lambda given: _links_of(given, k, percent), "n long, one long, two long, n_links long"
+        lambda given: _links_of(given, k, percent),
+        f"n long, one long, two long, n_links long, a {_kind(texts)}, b {_kind(texts)}",
     )
-    counted = counted.groupBy(*names).agg(F.sum("n_links").alias("n_links"))
-    return materialize(pairs.unionByName(counted), "link-counts")
+    return materialize(pairs.unionByName(counted), "counted-links")
 
 
 def near_duplicates(
@@ -483,13 +534,15 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     alone = rows.withColumn("component", F.col("doc_id"))
     first = materialize(_candidates(alone, bits, percent, every=False), "first-pairs")
     links = _similar(first, texts, k, percent, rank)
-    open_rows = _still_apart(rows, links)
-    last = _candidates(open_rows, bits, percent, every=True).join(first, ["a", "b"], "left_anti")
-    links = links.unionByName(_similar(materialize(last, "last-pairs"), texts, k, percent, rank))
-    found = components(links).select(F.col("node").alias("rep"), "component")
-    placed = materialize(equal.join(found, "rep", "left"), "placed-sets")
-    counts = _link_counts(placed.filter("component IS NOT NULL").drop("n_equal"), texts, k, percent)
-    groups = placed.join(counts, ["n", "one", "two"], "left")
+    bridges = materialize(_candidates(_still_apart(rows, links), bits, percent, every=True, joining=True), "bridges")
+    families = components(links.unionByName(bridges)).select(F.col("node").alias("rep"), "component")
+    unsure = bridges.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(False).alias("sure")).distinct()
+    members = equal.drop("n_equal").join(families, "rep").join(unsure, "rep", "left")
+    members = materialize(members.withColumn("sure", F.coalesce("sure", F.lit(True))), "families")
+    counted = _counted_links(members, texts, k, percent)
+    found = components(links.unionByName(counted.select("a", "b"))).select(F.col("node").alias("rep"), "component")
+    counts = counted.groupBy("n", "one", "two").agg(F.sum("n_links").alias("n_links"))
+    groups = equal.join(found, "rep", "left").join(counts, ["n", "one", "two"], "left")
     return profiles.join(groups, ["n", "one", "two"], "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),

@@ -118,3 +118,35 @@ def test_parities_lose_no_link_and_hot_shingles_are_dealt_in_blocks(spark, monke
 def brute_set(text):
     words = text.split()
     return {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+
+
+def test_groups_of_near_copies_give_fewer_pairs_than_rows(spark):
+    """120 texts that all link share two shingles: 7140 pairs, of which 119 of each shingle join them all."""
+    words = [f"w{j}" for j in range(200)]
+    made = [(i, " ".join([*words, f"x{i}"])) for i in range(120)]
+    texts = spark.createDataFrame(made, "doc_id long, text string")
+    rank = spark.sparkContext.broadcast(np.zeros(1 << BITS, np.uint8))
+    profiles = jaccard._profiles(texts, 4, 85, rank)
+    rows = profiles.selectExpr("inline(array(struct(7L AS token), struct(8L AS token)))", "doc_id", "n", "one", "doc_id AS component")
+    pairs = [tuple(r) for r in jaccard._candidates(rows, profiles.select("doc_id", "n", "one", "odd"), 85, True, True).collect()]
+    assert len(pairs) <= 2 * 119
+    linked = spark.createDataFrame(pairs, "a long, b long")
+    assert {tuple(r) for r in jaccard.components(linked).collect()} == {(i, 0) for i in range(120)}
+
+
+def test_pairs_that_only_may_link_join_no_components(spark, monkeypatch):
+    """All documents in one family: components and counts are those of the links."""
+    rng = random.Random(13)
+    made = []
+    for i in range(60):
+        words = [f"v{j}" for j in range(60)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"y{i}"
+        made.append((i, " ".join(words)))
+    texts = spark.createDataFrame(made, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "_may_link", lambda i, j, n, words, percent: np.ones(len(i), bool))
+    monkeypatch.setattr(jaccard, "DRAWN", 1)
+    got = jaccard.near_duplicates(texts, 4, 85)
+    assert rows(got) == brute.components(made, 4, 85)
+    assert links(got) == brute.links(made)
+    assert len({c for _, _, c in rows(got)}) > 1
