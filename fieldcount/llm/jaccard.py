@@ -15,7 +15,8 @@ Groups of any size cost no pairs within the group:
   documents are all in one component are finished.
 - Where a shingle then still joins several components, the documents of different components are
   compared. Of the pairs that may link, each shingle gives only as many as join its components into as
-  few families as they can: fewer than it has documents. Whatever links is of one family then.
+  few families as they can: fewer than it has documents. Whatever links is of one family then. Parities
+  say little of very large sets; their pairs are all verified instead.
 
 Both happen inside tasks on bits: of a set's shingles, the parity in each of some hundred or thousand
 cells. Two sets differ in as many shingles at least as their parities differ in cells, so pairs whose
@@ -51,6 +52,8 @@ DRAWN = 4
 BUCKET = 1024
 #: Longs of parities of a set, and of one of more than ``LONG_SET`` shingles.
 PARITIES, MORE_PARITIES, LONG_SET = 8, 32, 384
+#: Shingles of two sets together beyond which their parities say little.
+WIDE = 4096
 #: Sets, and shingles of them, that a block has on average at most.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
@@ -280,7 +283,8 @@ def _joined(tree: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _pairs_of(given: pa.Table, percent: int, every: bool, joining: bool) -> pa.Table:
     """Pairs (a, b) of rows of whole groups that may link: all, or those with a group's first rows.
 
-    For ``joining``, of all only so many as join whatever all of them join.
+    For ``joining``, of all only so many as join whatever all of them join, and every pair of large sets
+    that these do not join; ``wide`` tells the latter.
     """
     group, side, n = (given[c].to_numpy() for c in ("group", "side", "n"))
     ids, own = given["doc_id"].combine_chunks(), given["component"].combine_chunks().dictionary_encode().indices.to_numpy()
@@ -302,7 +306,8 @@ def _pairs_of(given: pa.Table, percent: int, every: bool, joining: bool) -> pa.T
         while len(i := i[i + step < end[i]]):
             x, y = _chosen(i, i + step, tree[own], side, n, words, percent)
             if joining and len(x):
-                used = _joined(tree, tree[own[x]], tree[own[y]])
+                used = n[x] + n[y] > WIDE
+                used[~used] = _joined(tree, tree[own[x[~used]]], tree[own[y[~used]]])
                 x, y = x[used], y[used]
             found.append((x, y))
             step += 1
@@ -313,7 +318,8 @@ def _pairs_of(given: pa.Table, percent: int, every: bool, joining: bool) -> pa.T
             later = j > i
             found.append(_chosen(i[later], j[later], own, side, n, words, percent))
     i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
-    return pa.table([ids.take(pa.array(i)), ids.take(pa.array(j))], names=["a", "b"])
+    columns = [ids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(n[i] + n[j] > WIDE)]
+    return pa.table(columns, names=["a", "b", "wide"])
 
 
 def _chosen(i, j, own, side, n, words, percent) -> tuple[np.ndarray, np.ndarray]:
@@ -326,8 +332,9 @@ def _chosen(i, j, own, side, n, words, percent) -> tuple[np.ndarray, np.ndarray]
 def _candidates(rows: DataFrame, bits: DataFrame, percent: int, every: bool, joining: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of documents that share a token and may link, of different components.
 
-    All of them, or those with some drawn documents of each bucket (or block of it). For ``joining``, of
-    all only so many as join whatever all of a bucket join: fewer than it has rows.
+    All of them, or those with some drawn documents of each bucket (or block of it). For ``joining``,
+    (a, b, wide): of all but those of large sets only so many as join whatever all of a bucket join,
+    fewer than it has rows.
     """
     sizes = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / BUCKET).alias("blocks")).filter("blocks > 1")
     dealt = rows.join(sizes, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)).cast("long"))
@@ -361,8 +368,9 @@ def _candidates(rows: DataFrame, bits: DataFrame, percent: int, every: bool, joi
         if rest:
             yield from _pairs_of(pa.Table.from_batches(rest), percent, every, joining).to_batches()
 
-    pairs = dealt.mapInArrow(run, f"a {kind}, b {kind}")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = dealt.mapInArrow(run, f"a {kind}, b {kind}, wide boolean")
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "wide")
+    return (pairs if joining else pairs.drop("wide")).distinct()
 
 
 def _overlaps(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
@@ -534,7 +542,10 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, id_col: str, text_co
     alone = rows.withColumn("component", F.col("doc_id"))
     first = materialize(_candidates(alone, bits, percent, every=False), "first-pairs")
     links = _similar(first, texts, k, percent, rank)
-    bridges = materialize(_candidates(_still_apart(rows, links), bits, percent, every=True, joining=True), "bridges")
+    pairs = materialize(_candidates(_still_apart(rows, links), bits, percent, every=True, joining=True), "bridges")
+    wide = pairs.filter("wide").select("a", "b").join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(_similar(materialize(wide, "wide-pairs"), texts, k, percent, rank))
+    bridges = pairs.filter("NOT wide").select("a", "b")
     families = components(links.unionByName(bridges)).select(F.col("node").alias("rep"), "component")
     unsure = bridges.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(False).alias("sure")).distinct()
     members = equal.drop("n_equal").join(families, "rep").join(unsure, "rep", "left")

@@ -128,7 +128,8 @@ def test_groups_of_near_copies_give_fewer_pairs_than_rows(spark):
     rank = spark.sparkContext.broadcast(np.zeros(1 << BITS, np.uint8))
     profiles = jaccard._profiles(texts, 4, 85, rank)
     rows = profiles.selectExpr("inline(array(struct(7L AS token), struct(8L AS token)))", "doc_id", "n", "one", "doc_id AS component")
-    pairs = [tuple(r) for r in jaccard._candidates(rows, profiles.select("doc_id", "n", "one", "odd"), 85, True, True).collect()]
+    found = jaccard._candidates(rows, profiles.select("doc_id", "n", "one", "odd"), 85, True, True)
+    pairs = [tuple(r) for r in found.select("a", "b").collect()]
     assert len(pairs) <= 2 * 119
     linked = spark.createDataFrame(pairs, "a long, b long")
     assert {tuple(r) for r in jaccard.components(linked).collect()} == {(i, 0) for i in range(120)}
