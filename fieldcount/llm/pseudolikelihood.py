@@ -120,23 +120,35 @@ class WindowNet:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         vectors, bias = self.parts[:2]
-        total = bias + vectors[0][around[:, 0]]
+        total = vectors[0].take(around[:, 0], 0)
+        total += bias
         for place in range(1, 2 * SIDE):
-            total += vectors[place][around[:, place]]
-        return np.tanh(total)
+            total += vectors[place].take(around[:, place], 0)
+        return np.tanh(total, out=total)
+
+    def of_classes(self, hidden: np.ndarray) -> np.ndarray:
+        """Logits of the classes, a column for each column of ``hidden``."""
+        logits = self.parts[2].T @ hidden
+        logits += self.parts[3][:, None]
+        return logits
+
+    def in_class(self, hidden: np.ndarray, edges: list[int], out: np.ndarray) -> np.ndarray:
+        """Logits of the members of each column's class; columns edges[c] up to edges[c + 1] are of class c."""
+        to_symbol, symbol_bias = self.parts[4:]
+        for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if a < b:
+                np.matmul(to_symbol[c].T, hidden[:, a:b], out=out[:, a:b])
+                out[:, a:b] += symbol_bias[c][:, None]
+        return out
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target symbol given the symbols around it."""
-        _, _, to_class, class_bias, to_symbol, symbol_bias = self.parts
-        kind, member = target // PER_CLASS, target % PER_CLASS
-        order = np.argsort(kind, kind="stable")
-        hidden = self.hidden(around[order])
-        kind, member = kind[order], member[order]
-        found = _log_softmax_at(hidden @ to_class + class_bias, kind)
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in np.unique(kind).tolist():
-            part = slice(edges[c], edges[c + 1])
-            found[part] += _log_softmax_at(hidden[part] @ to_symbol[c] + symbol_bias[c], member[part])
+        order = np.argsort((target // PER_CLASS).astype(np.uint8), kind="stable")
+        kind, member = np.divmod(target[order], PER_CLASS)
+        hidden = np.ascontiguousarray(self.hidden(around[order]).T)
+        logits = self.of_classes(hidden)
+        found = _log_softmax_at(logits, kind)
+        found += _log_softmax_at(self.in_class(hidden, _edges_of(kind), logits), member)
         out = np.empty(len(found), np.float32)
         out[order] = found
         return out
@@ -146,49 +158,77 @@ class WindowNet:
 
         Of the vectors only those of the symbols around are touched; the others' gradients are 0.
         """
-        vectors, _, to_class, class_bias, to_symbol, symbol_bias = self.parts
+        vectors, _, to_class, _, to_symbol, _ = self.parts
         squares, n = WindowNet(sums).parts, len(target)
-        grads = [None, *map(np.zeros_like, self.parts[1:])]
-        order = np.argsort(target // PER_CLASS, kind="stable")
-        around, target = around[order], target[order]
-        kind, member = target // PER_CLASS, target % PER_CLASS
-        hidden = self.hidden(around)
-        wrong = _softmax(hidden @ to_class + class_bias)
-        wrong[np.arange(n), kind] -= 1
-        grads[2][:] = hidden.T @ wrong
-        grads[3][:] = wrong.sum(0)
-        back = wrong @ to_class.T
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in np.unique(kind).tolist():
-            part = slice(edges[c], edges[c + 1])
-            wrong = _softmax(hidden[part] @ to_symbol[c] + symbol_bias[c])
-            wrong[np.arange(len(wrong)), member[part]] -= 1
-            grads[4][c] = hidden[part].T @ wrong
-            grads[5][c] = wrong.sum(0)
-            back[part] += wrong @ to_symbol[c].T
-        back *= 1 - hidden * hidden
-        grads[1][:] = back.sum(0)
-        for part, square, grad in zip(self.parts[1:], squares[1:], grads[1:]):
+        order = np.argsort((target // PER_CLASS).astype(np.uint8), kind="stable")
+        around = around[order]
+        kind, member = np.divmod(target[order], PER_CLASS)
+        rows, edges = np.arange(n), _edges_of(kind)
+        hidden = np.ascontiguousarray(self.hidden(around).T)
+        wrong = _softmax(self.of_classes(hidden))
+        wrong[kind, rows] -= 1
+        of_class, of_class_bias = hidden @ wrong.T, wrong.sum(1)
+        back = to_class @ wrong
+        wrong = _softmax(self.in_class(hidden, edges, wrong))
+        wrong[member, rows] -= 1
+        of_symbol, of_symbol_bias = np.zeros_like(to_symbol), np.zeros((CLASSES, PER_CLASS), np.float32)
+        for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+            if a < b:
+                part = wrong[:, a:b]
+                np.matmul(hidden[:, a:b], part.T, out=of_symbol[c])
+                part.sum(1, out=of_symbol_bias[c])
+                back[:, a:b] += to_symbol[c] @ part
+        hidden *= hidden
+        back *= np.subtract(1, hidden, out=hidden)
+        grads = (back.sum(1), of_class, of_class_bias, of_symbol, of_symbol_bias)
+        for part, square, grad in zip(self.parts[1:], squares[1:], grads):
             grad /= n
-            square += grad * grad
-            part -= rate * grad / np.sqrt(square + 1e-8)
-        for place in range(2 * SIDE):
-            by = np.argsort(around[:, place], kind="stable")
-            symbols, begins = np.unique(around[by, place], return_index=True)
-            grad = np.add.reduceat(back[by], begins, axis=0) / n
-            square = squares[0][place, symbols] + grad * grad
-            squares[0][place, symbols] = square
-            vectors[place, symbols] -= rate * grad / np.sqrt(square + 1e-8)
+            part -= _step(square, grad, rate)
+        # the vectors of all places as one table
+        vectors, square = vectors.reshape(-1, HIDDEN), squares[0].reshape(-1, HIDDEN)
+        keys = (around + np.arange(2 * SIDE, dtype=around.dtype) * (SYMBOLS + 1)).T.ravel()
+        seen = np.zeros(len(vectors), bool)
+        seen[keys] = True
+        symbols = np.flatnonzero(seen)
+        number = np.empty(len(vectors), np.int64)
+        number[symbols] = np.arange(len(symbols))
+        at, grad = number[keys], np.empty((len(symbols), HIDDEN), np.float32)
+        for column, values in enumerate(np.tile(back.astype(np.float64), 2 * SIDE)):
+            grad[:, column] = np.bincount(at, values, len(symbols))
+        grad /= n
+        old = square.take(symbols, 0)
+        vectors[symbols] = vectors.take(symbols, 0) - _step(old, grad, rate)
+        square[symbols] = old
+
+
+def _edges_of(kind: np.ndarray) -> list[int]:
+    return np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+
+
+def _step(square: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
+    """What Adagrad takes off; ``square`` has the gradient's square added after."""
+    root = grad * grad
+    square += root
+    np.add(square, np.float32(1e-8), out=root)
+    np.sqrt(root, out=root)
+    np.divide(grad, root, out=root)
+    root *= np.float32(rate)
+    return root
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
-    each = np.exp(logits - logits.max(1, keepdims=True))
-    return each / each.sum(1, keepdims=True)
+    """Of each column, in place."""
+    logits -= logits.max(0)
+    np.exp(logits, out=logits)
+    logits *= 1 / logits.sum(0)
+    return logits
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    return logits[np.arange(len(at)), at] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+    """Of each column at one row; the logits are used up."""
+    logits -= logits.max(0)
+    chosen = logits[at, np.arange(len(at))]
+    return chosen - np.log(np.exp(logits, out=logits).sum(0))
 
 
 def windows(symbols: np.ndarray, first: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -309,8 +349,8 @@ def pseudo_likelihood(
                 part = tokenize(texts.slice(a, b - a), SPACED, lower=True)
                 symbols = words.value.symbols(part.hash)
                 each = np.zeros(len(symbols) + 1)
-                for at in range(0, len(symbols), 1 << 15):
-                    chosen = np.arange(at, min(len(symbols), at + (1 << 15)))
+                for at in range(0, len(symbols), 1 << 12):
+                    chosen = np.arange(at, min(len(symbols), at + (1 << 12)))
                     found = own.log_probabilities(windows(symbols, part.first, chosen), symbols[chosen])
                     each[chosen + 1] = found - share[symbols[chosen]]
                 total = np.cumsum(each)

@@ -165,3 +165,18 @@ def test_training_sample_is_bounded_in_bytes(spark):
         assert 0 < sum(map(len, few)) <= 5000 < sum(map(len, whole[: len(few) + 1]))
     huge = spark.createDataFrame([(100, 1)], "doc_id long, quality int")
     assert training_sample(docs, huge, "quality", 4000, most_bytes=5000) == (["é" * 5000], [1])
+
+
+def test_pseudo_likelihood_steps_are_those_of_adagrad():
+    """The sums of gradients per symbol, and the squares kept, against a plain version."""
+    rng = np.random.default_rng(4)
+    net, sums = pseudolikelihood.WindowNet(seed=2), None
+    around = rng.integers(0, 9, (300, 2 * pseudolikelihood.SIDE)).astype(np.int32)
+    target = rng.integers(0, pseudolikelihood.SYMBOLS, 300).astype(np.int32)
+    before, sums = net.flat.copy(), np.full(len(net.flat), 1e-4, np.float32)
+    net.learn(around, target, sums, 0.1)
+    grad = np.sqrt(np.maximum(sums.astype(np.float64) - 1e-4, 0))
+    assert np.allclose(np.abs(net.flat - before), 0.1 * grad / np.sqrt(sums + 1e-8), atol=2e-3)
+    touched = (net.parts[0] != pseudolikelihood.WindowNet(before).parts[0]).any(2)
+    for place in range(2 * pseudolikelihood.SIDE):
+        assert set(np.flatnonzero(touched[place])) == set(around[:, place].tolist())
