@@ -38,6 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 _POW = _powers(_BASE, _CHUNK + 1)
 _INV = _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 1)
+_SUM = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_POW[:-1])])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -86,12 +87,18 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def tokenize(texts: pa.Array, kind: np.ndarray, lower: bool = False) -> Words:
     buf, bounds = raw(texts)
-    buf = LOWER[buf] if lower else buf
-    start, end = _edges(kind[buf], bounds)
+    if lower:
+        buf = _translated(buf, LOWER)
+    start, end = _edges(_translated(buf, kind), bounds)
     first = np.searchsorted(start, bounds).astype(np.int64)
     return Words(buf, start, end, first, _word_hashes(buf, start, end))
 
 
+def _translated(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """``table[buf]``, without an index of eight bytes for each byte."""
+    return np.frombuffer(buf.tobytes().translate(table.tobytes()), table.dtype)
+
+
 def _edges(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -118,9 +125,11 @@ def _word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
             continue
         at, to = start[i], end[j - 1]
         run = np.zeros(to - at + 1, np.uint64)
-        np.cumsum((buf[at:to].astype(np.uint64) + np.uint64(1)) * _POW[: to - at], out=run[1:])
+        np.multiply(buf[at:to], _POW[: to - at], out=run[1:])
+        np.cumsum(run[1:], out=run[1:])
         a = start[i:j] - at
-        out[i:j] = (run[end[i:j] - at] - run[a]) * _INV[a]
+        # each byte counts as one more than it is
+        out[i:j] = (run[end[i:j] - at] - run[a]) * _INV[a] + _SUM[size[i:j]]
         i = j
     return mix(out + size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcount.llm.bytetext import SPACED, Words, mix, signed, slices, tokenize
+from fieldcount.llm.workers import keep_freed, tidy
 from fieldcount.session import materialize
 
 CLASSES, PER_CLASS = 64, 64
@@ -34,7 +37,13 @@ SYMBOLS = CLASSES * PER_CLASS
 NAMED = 3072
 SIDE = 2
 HIDDEN = 24
+#: Targets of a class up to which it is small.
+FEW = 16
 _PART = 1 << 14
+_AT_ONCE = 1 << 14
+#: Leading bits of hashes by which words are looked up.
+LEAD = 16
+_LESS = np.uint64(64 - LEAD)
 
 
 @dataclass
@@ -45,18 +54,32 @@ class Vocabulary:
     symbol: np.ndarray
     shared: np.ndarray
 
+    @cached_property
+    def places(self) -> tuple[np.ndarray, int]:
+        """Where hashes of each leading bits begin, and how many share these at most."""
+        lead = np.arange(1 << LEAD, dtype=np.uint64) << _LESS
+        first = np.append(np.searchsorted(self.hashes, lead), len(self.hashes))
+        return np.minimum(first[:-1], len(self.hashes) - 1), int(np.diff(first).max())
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        shared = NAMED + (mix(hashes) % np.uint64(SYMBOLS - NAMED)).astype(np.int32)
+        out = NAMED + (mix(hashes) % np.uint64(SYMBOLS - NAMED)).astype(np.int32)
         if not len(self.hashes):
-            return shared
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.symbol[at], shared)
+            return out
+        first, most = self.places
+        at = first.take((hashes >> _LESS).astype(np.int64))
+        for _ in range(most):
+            found = np.flatnonzero(self.hashes.take(at) == hashes)
+            out[found] = self.symbol.take(at.take(found))
+            at = np.minimum(at + 1, len(self.hashes) - 1)
+        return out
 
 
 def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     """Counts the words of all documents (word, n); the named ones reach the driver."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         for batch in batches:
             parts = [
                 np.unique(tokenize(batch["text"].slice(a, b - a), SPACED, lower=True).hash, return_counts=True)
@@ -90,67 +113,99 @@ def vocabulary(texts: DataFrame) -> tuple[Vocabulary, DataFrame]:
     return words, counted
 
 
+class Dealt:
+    """Targets in the order of their classes, first those of classes that have more than ``FEW`` of them.
+
+    The product of a small class takes its call longer than its numbers, so all small classes have
+    one product, each with ``FEW`` rows, of which those beyond its own are 0.
+    """
+
+    def __init__(self, target: np.ndarray):
+        kind = target // PER_CLASS
+        sizes = np.bincount(kind, minlength=CLASSES)
+        place = np.arange(CLASSES) + CLASSES * (sizes <= FEW)
+        self.order = np.argsort(place.astype(np.uint8).take(kind), kind="stable")
+        self.kind = kind.take(self.order)
+        self.member = target.take(self.order) - self.kind * PER_CLASS
+        large = np.flatnonzero(sizes > FEW)
+        ends = np.cumsum(sizes[large]).tolist()
+        self.large = [(c, slice(a, b)) for c, a, b in zip(large.tolist(), [0, *ends], ends)]
+        self.rest = slice(ends[-1] if ends else 0, len(target))
+        self.small = np.flatnonzero((sizes > 0) & (sizes <= FEW))
+        own = sizes[self.small][:, None]
+        at = np.cumsum(own, 0) - own + np.arange(FEW)
+        self._padding = np.arange(FEW) >= own
+        self._own = np.flatnonzero(~self._padding)
+        self._at = np.where(self._padding, 0, at).ravel()
+
+    def pad(self, columns: np.ndarray) -> np.ndarray:
+        """The small classes' columns as rows: by class, number in it."""
+        out = columns[:, self.rest].T.take(self._at, 0).reshape(len(self.small), FEW, -1)
+        out[self._padding] = 0
+        return out
+
+    def unpad(self, rows: np.ndarray) -> np.ndarray:
+        return rows.reshape(-1, rows.shape[2]).take(self._own, 0).T
+
+
 class WindowNet:
-    """All parameters in one vector; the arrays are views of it."""
+    """All parameters in one vector; the arrays are views of it.
+
+    A bias of classes or symbols is the last row of their weights, as ``hidden`` has a last row of ones.
+    """
 
     SHAPES = (
         (2 * SIDE, SYMBOLS + 1, HIDDEN),
         (HIDDEN,),
-        (HIDDEN, CLASSES),
-        (CLASSES,),
-        (CLASSES, HIDDEN, PER_CLASS),
-        (CLASSES, PER_CLASS),
+        (HIDDEN + 1, CLASSES),
+        (CLASSES, HIDDEN + 1, PER_CLASS),
     )
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 0):
-        size = sum(int(np.prod(s)) for s in self.SHAPES)
-        if flat is None:
-            flat = np.zeros(size, np.float32)
-            rng = np.random.default_rng(seed)
-            start = 0
-            for shape, scale in zip(self.SHAPES, (0.1, 0, 0.1, 0, 0.1, 0)):
-                n = int(np.prod(shape))
-                flat[start : start + n] = rng.normal(0, scale, n) if scale else 0
-                start += n
-        self.flat, self.parts, start = flat, [], 0
+        size = sum(map(prod, self.SHAPES))
+        fresh = flat is None
+        # an array that was sent has a type of its own, with which numpy takes slow paths
+        self.flat = np.zeros(size, np.float32) if fresh else flat.view(np.float32)
+        self.parts, start = [], 0
         for shape in self.SHAPES:
-            n = int(np.prod(shape))
-            self.parts.append(flat[start : start + n].reshape(shape))
+            n = prod(shape)
+            self.parts.append(self.flat[start : start + n].reshape(shape))
             start += n
+        if fresh:
+            rng = np.random.default_rng(seed)
+            vectors, _, to_class, to_symbol = self.parts
+            for part in (vectors, to_class[:-1], to_symbol[:, :-1]):
+                part[...] = rng.normal(0, 0.1, part.shape)
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
+        """A column for each row of ``around``."""
         vectors, bias = self.parts[:2]
         total = vectors[0].take(around[:, 0], 0)
-        total += bias
         for place in range(1, 2 * SIDE):
             total += vectors[place].take(around[:, place], 0)
-        return np.tanh(total, out=total)
+        out = np.ones((HIDDEN + 1, len(around)), np.float32)
+        np.add(total.T, bias[:, None], out=out[:-1])
+        np.tanh(out[:-1], out=out[:-1])
+        return out
 
-    def of_classes(self, hidden: np.ndarray) -> np.ndarray:
-        """Logits of the classes, a column for each column of ``hidden``."""
-        logits = self.parts[2].T @ hidden
-        logits += self.parts[3][:, None]
-        return logits
-
-    def in_class(self, hidden: np.ndarray, edges: list[int], out: np.ndarray) -> np.ndarray:
-        """Logits of the members of each column's class; columns edges[c] up to edges[c + 1] are of class c."""
-        to_symbol, symbol_bias = self.parts[4:]
-        for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if a < b:
-                np.matmul(to_symbol[c].T, hidden[:, a:b], out=out[:, a:b])
-                out[:, a:b] += symbol_bias[c][:, None]
+    def in_class(self, hidden: np.ndarray, dealt: Dealt, out: np.ndarray) -> np.ndarray:
+        """Logits of the members of each column's class."""
+        to_symbol = self.parts[3]
+        for c, own in dealt.large:
+            np.matmul(to_symbol[c].T, hidden[:, own], out=out[:, own])
+        if len(dealt.small):
+            out[:, dealt.rest] = dealt.unpad(dealt.pad(hidden) @ to_symbol.take(dealt.small, 0))
         return out
 
     def log_probabilities(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of each target symbol given the symbols around it."""
-        order = np.argsort((target // PER_CLASS).astype(np.uint8), kind="stable")
-        kind, member = np.divmod(target[order], PER_CLASS)
-        hidden = np.ascontiguousarray(self.hidden(around[order]).T)
-        logits = self.of_classes(hidden)
-        found = _log_softmax_at(logits, kind)
-        found += _log_softmax_at(self.in_class(hidden, _edges_of(kind), logits), member)
-        out = np.empty(len(found), np.float32)
-        out[order] = found
+        dealt = Dealt(target)
+        hidden = self.hidden(around.take(dealt.order, 0))
+        logits = self.parts[2].T @ hidden
+        found = _log_softmax_at(logits, dealt.kind)
+        found += _log_softmax_at(self.in_class(hidden, dealt, logits), dealt.member)
+        out = np.empty_like(found)
+        out[dealt.order] = found
         return out
 
     def learn(self, around: np.ndarray, target: np.ndarray, sums: np.ndarray, rate: float) -> None:
@@ -158,51 +213,51 @@ class WindowNet:
 
         Of the vectors only those of the symbols around are touched; the others' gradients are 0.
         """
-        vectors, _, to_class, _, to_symbol, _ = self.parts
-        squares, n = WindowNet(sums).parts, len(target)
-        order = np.argsort((target // PER_CLASS).astype(np.uint8), kind="stable")
-        around = around[order]
-        kind, member = np.divmod(target[order], PER_CLASS)
-        rows, edges = np.arange(n), _edges_of(kind)
-        hidden = np.ascontiguousarray(self.hidden(around).T)
-        wrong = _softmax(self.of_classes(hidden))
-        wrong[kind, rows] -= 1
-        of_class, of_class_bias = hidden @ wrong.T, wrong.sum(1)
-        back = to_class @ wrong
-        wrong = _softmax(self.in_class(hidden, edges, wrong))
-        wrong[member, rows] -= 1
-        of_symbol, of_symbol_bias = np.zeros_like(to_symbol), np.zeros((CLASSES, PER_CLASS), np.float32)
-        for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
-            if a < b:
-                part = wrong[:, a:b]
-                np.matmul(hidden[:, a:b], part.T, out=of_symbol[c])
-                part.sum(1, out=of_symbol_bias[c])
-                back[:, a:b] += to_symbol[c] @ part
-        hidden *= hidden
-        back *= np.subtract(1, hidden, out=hidden)
-        grads = (back.sum(1), of_class, of_class_bias, of_symbol, of_symbol_bias)
-        for part, square, grad in zip(self.parts[1:], squares[1:], grads):
-            grad /= n
+        vectors, _, to_class, to_symbol = self.parts
+        squares, dealt, n = WindowNet(sums).parts, Dealt(target), len(target)
+        around, rows = around.take(dealt.order, 0), np.arange(n)
+        hidden = self.hidden(around)
+        wrong = _softmax(to_class.T @ hidden)
+        wrong[dealt.kind, rows] -= 1
+        of_class = hidden @ wrong.T
+        back = to_class[:-1] @ wrong
+        wrong = _softmax(self.in_class(hidden, dealt, wrong))
+        wrong[dealt.member, rows] -= 1
+        of_symbol, more = np.zeros_like(to_symbol), np.empty_like(back)
+        for c, own in dealt.large:
+            np.matmul(hidden[:, own], wrong[:, own].T, out=of_symbol[c])
+            np.matmul(to_symbol[c, :-1], wrong[:, own], out=more[:, own])
+        if len(dealt.small):
+            part = dealt.pad(wrong)
+            of_symbol[dealt.small] = dealt.pad(hidden).transpose(0, 2, 1) @ part
+            more[:, dealt.rest] = dealt.unpad(part @ to_symbol.take(dealt.small, 0)[:, :-1].transpose(0, 2, 1))
+        back += more
+        slope = np.square(hidden[:-1], out=more)
+        back *= np.subtract(1, slope, out=slope)
+        back /= n
+        of_class /= n
+        of_symbol /= n
+        for part, square, grad in zip(self.parts[1:], squares[1:], (back.sum(1), of_class, of_symbol)):
             part -= _step(square, grad, rate)
-        # the vectors of all places as one table
-        vectors, square = vectors.reshape(-1, HIDDEN), squares[0].reshape(-1, HIDDEN)
+        # the vectors of all places as one table of rows
         keys = (around + np.arange(2 * SIDE, dtype=around.dtype) * (SYMBOLS + 1)).T.ravel()
-        seen = np.zeros(len(vectors), bool)
+        seen = np.zeros(2 * SIDE * (SYMBOLS + 1), bool)
         seen[keys] = True
         symbols = np.flatnonzero(seen)
-        number = np.empty(len(vectors), np.int64)
+        number = np.empty(len(seen), np.int64)
         number[symbols] = np.arange(len(symbols))
-        at, grad = number[keys], np.empty((len(symbols), HIDDEN), np.float32)
-        for column, values in enumerate(np.tile(back.astype(np.float64), 2 * SIDE)):
-            grad[:, column] = np.bincount(at, values, len(symbols))
-        grad /= n
-        old = square.take(symbols, 0)
-        vectors[symbols] = vectors.take(symbols, 0) - _step(old, grad, rate)
-        square[symbols] = old
+        at, grad = number.take(keys), np.zeros((HIDDEN, len(symbols)), np.float32)
+        for total, values in zip(grad, np.tile(back, 2 * SIDE)):
+            np.add.at(total, at, values)
+        table, square = _rows(vectors), _rows(squares[0])
+        old, own = (x.take(symbols).view(np.float32).reshape(-1, HIDDEN) for x in (square, table))
+        own -= _step(old, np.ascontiguousarray(grad.T), rate)
+        table[symbols], square[symbols] = _rows(own), _rows(old)
 
 
-def _edges_of(kind: np.ndarray) -> list[int]:
-    return np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+def _rows(vectors: np.ndarray) -> np.ndarray:
+    """A vector as one item, which moves faster than its numbers."""
+    return vectors.reshape(-1).view(np.dtype((np.void, 4 * HIDDEN)))
 
 
 def _step(square: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
@@ -260,7 +315,9 @@ def _trained(texts: DataFrame, words, net: WindowNet, stride: int, batch: int, r
     """The tasks' networks, averaged by the number of words that each learnt at."""
     start = texts.sparkSession.sparkContext.broadcast(net.flat)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         own, sums, seen = WindowNet(start.value.copy()), np.full(len(start.value), 1e-4, np.float32), 0
         rest: tuple[np.ndarray, np.ndarray] | None = None
         for given in batches:
@@ -337,7 +394,9 @@ def pseudo_likelihood(
         net = _trained(texts, words, net, stride, batch, rate / (number + 1), number)
     model = context.broadcast(net.flat)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed()
         own = WindowNet(model.value)
         share = np.zeros(SYMBOLS)
         share[NAMED:] = np.log(np.maximum(words.value.shared, 1))
@@ -349,8 +408,8 @@ def pseudo_likelihood(
                 part = tokenize(texts.slice(a, b - a), SPACED, lower=True)
                 symbols = words.value.symbols(part.hash)
                 each = np.zeros(len(symbols) + 1)
-                for at in range(0, len(symbols), 1 << 12):
-                    chosen = np.arange(at, min(len(symbols), at + (1 << 12)))
+                for at in range(0, len(symbols), _AT_ONCE):
+                    chosen = np.arange(at, min(len(symbols), at + _AT_ONCE))
                     found = own.log_probabilities(windows(symbols, part.first, chosen), symbols[chosen])
                     each[chosen + 1] = found - share[symbols[chosen]]
                 total = np.cumsum(each)

@@ -13,6 +13,9 @@ from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch on its way to a worker.
 BATCH_BYTES = 8 << 20
+#: The largest array that freed memory is kept for.
+KEPT_BYTES = 32 << 20
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -36,6 +39,18 @@ def give_back() -> None:
         trim(0)
 
 
+def keep_freed() -> None:
+    """Have the C library keep freed memory of this worker, some dozen MB at most, until it is given back.
+
+    Otherwise it may return an array of numbers as soon as it is freed, and to get the next one page by
+    page then takes longer than to fill it.
+    """
+    allow = getattr(ctypes.CDLL(None), "mallopt", None)
+    if allow:
+        allow(_MMAP_THRESHOLD, KEPT_BYTES)
+        allow(_TRIM_THRESHOLD, 2 * KEPT_BYTES)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """A function for mapInArrow that gives memory back when its task ends."""
 

@@ -180,3 +180,55 @@ def test_pseudo_likelihood_steps_are_those_of_adagrad():
     touched = (net.parts[0] != pseudolikelihood.WindowNet(before).parts[0]).any(2)
     for place in range(2 * pseudolikelihood.SIDE):
         assert set(np.flatnonzero(touched[place])) == set(around[:, place].tolist())
+
+
+def test_pseudo_likelihood_of_large_and_small_classes(monkeypatch):
+    """Probabilities and a step against plain sums; small classes share their products."""
+    rng = np.random.default_rng(6)
+    net = pseudolikelihood.WindowNet(seed=3)
+    net.flat += rng.normal(0, 0.05, len(net.flat)).astype(np.float32)
+    classes, each = pseudolikelihood.CLASSES, pseudolikelihood.PER_CLASS
+    target = np.concatenate([rng.integers(0, 2 * each, 200), rng.integers(0, classes * each, 300)]).astype(np.int32)
+    around = rng.integers(0, 4097, (len(target), 2 * pseudolikelihood.SIDE)).astype(np.int32)
+    before = pseudolikelihood.WindowNet(net.flat.copy())
+    vectors, bias, *weights = (x.astype(np.float64) for x in before.parts)
+    to_class, to_symbol = weights[0].reshape(-1, classes), weights[-1].reshape(classes, -1, each)
+    of_symbol, found = np.zeros_like(to_symbol), []
+    for row, t in zip(around, target):
+        hidden = np.append(np.tanh(bias + sum(vectors[i, s] for i, s in enumerate(row))), 1)
+        first, second = (np.exp(hidden @ w) for w in (to_class, to_symbol[t // each]))
+        first, second = first / first.sum(), second / second.sum()
+        found.append(np.log(first[t // each] * second[t % each]))
+        second[t % each] -= 1
+        of_symbol[t // each] += np.outer(hidden, second) / len(target)
+    assert net.log_probabilities(around, target) == pytest.approx(np.array(found), abs=1e-4)
+
+    products, plain = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda *args, **given: products.append(1) or plain(*args, **given))
+    sums = np.full(len(net.flat), 1e-4, np.float32)
+    net.learn(around, target, sums, 0.1)
+    moved = net.parts[3] - before.parts[3]
+    assert np.allclose(moved, -0.1 * of_symbol / np.sqrt(1e-4 + of_symbol**2), atol=1e-4)
+    assert len(products) <= 3 * sum(np.bincount(target // each, minlength=classes) > 16)
+
+
+def test_pseudo_likelihood_looks_words_up_by_their_leading_bits():
+    rng = np.random.default_rng(7)
+    hashes = np.unique(rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2))
+    hashes = np.unique(np.concatenate([hashes, hashes[:9] + np.uint64(1), [np.uint64(0), np.uint64(2**64 - 1)]]))
+    words = pseudolikelihood.Vocabulary(hashes, np.arange(len(hashes), dtype=np.int32), None)
+    assert words.places[1] >= 2
+    asked = np.concatenate([hashes, hashes[1:] - np.uint64(1), hashes[:-1] + np.uint64(3)])
+    place = {h: i for i, h in enumerate(hashes.tolist())}
+    got = words.symbols(asked)
+    for h, s in zip(asked.tolist(), got.tolist()):
+        assert s == place[h] if h in place else s >= pseudolikelihood.NAMED
+
+
+def test_pseudo_likelihood_networks_that_were_sent_have_the_plain_type():
+    """With another object for the type, steps of the same numbers take several times as long."""
+    import pickle
+
+    sent = pickle.loads(pickle.dumps(pseudolikelihood.WindowNet().flat, 5))
+    net = pseudolikelihood.WindowNet(sent.copy())
+    assert all(x.dtype is np.zeros(0, np.float32).dtype for x in (net.flat, *net.parts))
